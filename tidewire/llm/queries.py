@@ -7,10 +7,14 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.llm.decontaminate import op3_suffix_automaton
 from tidewire.llm.near_dedup import op9_probminhash
+from tidewire.llm.pieces import op10_unigram_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_automaton": op3_suffix_automaton,
     "op9_probminhash": op9_probminhash,
+    "op10_unigram_pieces": op10_unigram_pieces,
 }
 ORACLE_SQL: dict[str, str] = {}
 
