@@ -1,0 +1,49 @@
+import hashlib
+import random
+import re
+
+from tidewire.llm import secrets as S
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [f"{k}:{s}:{e}" for s, _, k, e in sorted(out)]
+
+
+def test_base_spans_match_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["token", "SECRET", "api_key", "apikey", " : ", "=", "'", '"', "abc", "abcdef", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "é😀", "\n", " ", "secret=token=abcdefgh", "secret: token: abcdefgh", "."]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(150)] + ["", None, "x" * 50_000 + " token=abcdefg"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
+    for r in S.scan(docs).collect():
+        want = base(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+        assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+def test_weak_parts_need_their_complements(spark):
+    secret = "Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4MTIz"
+    far = " word" * 100
+    texts = {
+        1: f"user: someone{far}",
+        2: f"user: someone key {secret}",
+        3: f"user: someone{far} {secret}",
+        4: f"see https://example.com/path and {secret}",
+        5: f"https://example.com/path user=someone {secret}",
+        6: "https://example.com/path only",
+        7: "username=someone, password=hunter22",
+    }
+    docs = spark.createDataFrame([*texts.items(), (2, texts[2]), (None, texts[2])], "doc_id long, text string")
+    rows = S.scan(docs).collect()
+    got = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in rows}
+    assert len(rows) == 9
+    assert got[1] == got[3] == got[6] == set() and got[2] == got[None] == {"identifier", "secret"}
+    assert got[4] == {"secret"} and got[5] == {"identifier", "secret", "endpoint"} and got[7] == {"identifier", "assign"}
+    out = {r.doc_id: r.text for r in S.redacted(docs.withColumn("n_chars", docs.doc_id)).collect()}
+    assert out[2] == "[REDACTED] key [REDACTED]" and out[6] == texts[6] and out[7] == "[REDACTED], [REDACTED]"
+    assert S.scan(docs.where("false")).count() == 0

@@ -410,6 +410,23 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     return rows.mapInArrow(_encoded(docs.sparkSession.sparkContext.broadcast(v)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def with_ids(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """docs with the column ids (replaced if it exists); a null or empty text has no ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    @F.arrow_udf("array<int>")
+    def ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(shared)
+        for column in columns:
+            parts = []
+            for part in K.slices([pa.RecordBatch.from_arrays([column], ["text"])], "text"):
+                got, firsts = encoder.encode(part.column("text"))
+                parts.append(pa.ListArray.from_arrays(firsts.astype(np.int32), pa.array(got.astype(np.int32))))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    return docs.withColumn("ids", ids(F.col("text").cast("string")))
+
+
 def decode(tokens: DataFrame, v: Vocabulary) -> DataFrame:
     """doc_id and text of rows (doc_id, ids); null ids give null, no ids the empty text."""
     shared = tokens.sparkSession.sparkContext.broadcast(v)

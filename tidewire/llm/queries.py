@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewire.llm.decontaminate import op3_suffix_automaton
 from tidewire.llm.near_dedup import op9_probminhash
 from tidewire.llm.pieces import op10_unigram_pieces
+from tidewire.llm.secrets import op8_credential_links
+from tidewire.llm.toxicity import op7_string_kernel
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_module("corpus_pipeline").run(spark, sf_dir)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_automaton": op3_suffix_automaton,
+    "op7_string_kernel": op7_string_kernel,
+    "op8_credential_links": op8_credential_links,
     "op9_probminhash": op9_probminhash,
     "op10_unigram_pieces": op10_unigram_pieces,
+    "pipeline": _pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}
-
-
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return import_module("corpus_pipeline").run(spark, sf_dir)
