@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm.decontaminate import op3_suffix_automaton
+from tidewire.llm.huffman import op6_huffman_ids
+from tidewire.llm.media import op5_gear_chunks
 from tidewire.llm.near_dedup import op9_probminhash
 from tidewire.llm.pieces import op10_unigram_pieces
 from tidewire.llm.secrets import op8_credential_links
@@ -20,6 +22,8 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_automaton": op3_suffix_automaton,
+    "op5_gear_chunks": op5_gear_chunks,
+    "op6_huffman_ids": op6_huffman_ids,
     "op7_string_kernel": op7_string_kernel,
     "op8_credential_links": op8_credential_links,
     "op9_probminhash": op9_probminhash,
