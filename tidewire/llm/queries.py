@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewire.llm.decontaminate import op3_suffix_automaton
 from tidewire.llm.html_text import op4_nearest_url
 from tidewire.llm.huffman import op6_huffman_ids
+from tidewire.llm.language_model import op2_deleted_interpolation
 from tidewire.llm.media import op5_gear_chunks
 from tidewire.llm.near_dedup import op9_probminhash
 from tidewire.llm.pieces import op10_unigram_pieces
@@ -22,6 +23,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_suffix_automaton": op3_suffix_automaton,
     "op4_nearest_url": op4_nearest_url,
     "op5_gear_chunks": op5_gear_chunks,
