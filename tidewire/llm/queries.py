@@ -13,6 +13,7 @@ from tidewire.llm.huffman import op6_huffman_ids
 from tidewire.llm.language_model import op2_deleted_interpolation
 from tidewire.llm.media import op5_gear_chunks
 from tidewire.llm.near_dedup import op9_probminhash
+from tidewire.llm.passages import op1_compact_windows
 from tidewire.llm.pieces import op10_unigram_pieces
 from tidewire.llm.secrets import op8_credential_links
 from tidewire.llm.toxicity import op7_string_kernel
@@ -23,6 +24,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compact_windows": op1_compact_windows,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_suffix_automaton": op3_suffix_automaton,
     "op4_nearest_url": op4_nearest_url,
