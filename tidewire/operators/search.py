@@ -1,0 +1,79 @@
+"""Search: keyword scores for retrieval, concept ranking and strict re-ranking."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Weights of a hit by field.
+FIELD_WEIGHTS = {"name": 5, "tags": 4, "topics": 3, "note": 3, "description": 2, "extra": 1}
+
+
+def retrieved(items: DataFrame, query: str, limit: int = 15) -> DataFrame:
+    """Items by score: 10 for the query in the title; for each word 5 in the title, 2 in the summary, 3 in the source; up to 3 for heat."""
+    low = query.strip().lower()
+    words = [w for w in re.split(r"[\s,.，。?？!！]+", low) if len(w) >= 2]
+
+    def points(field: str, text: str, n: int) -> Column:
+        return F.when(F.contains(F.lower(F.coalesce(field, F.lit(""))), F.lit(text)), n).otherwise(0)
+
+    score = points("title", low, 10)
+    for w in words:
+        score = score + points("title", w, 5) + points("summary", w, 2) + points("source", w, 3)
+    score = score + F.least(F.coalesce("heat", F.lit(0)) / 40.0, F.lit(3.0))
+    return items.withColumn("score", F.round(score, 6)).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def term_pattern(term: str) -> str:
+    """A pattern for a term: Latin ones as word beginnings, or whole words up to two letters; spaces and hyphens are optional."""
+    if not re.fullmatch(r"[a-z0-9 .+#-]+", term):
+        return re.escape(term)
+    body = "[ -]?".join(re.escape(x) for x in re.split(r"[ -]", term))
+    return f"(?<![a-z0-9]){body}" + ("(?![a-z0-9])" if len(term) <= 2 else "")
+
+
+def concept_ranked(rows: DataFrame, groups: list[list[str]], fields: dict[str, int], key: str = "id", keep: float = 0.5) -> DataFrame:
+    """Rows by the sum over concept groups of idf times the best field weight; (key, score).
+
+    idf is ln(1 + N / (1 + df)).  Nothing is found if a group has no row; rows below half the top score are left out.
+    """
+    hits = []
+    for k, terms in enumerate(groups):
+        pattern = "|".join(term_pattern(t) for t in terms)
+        weight = F.lit(0)
+        for field, w in fields.items():
+            weight = F.greatest(weight, F.when(F.lower(F.coalesce(field, F.lit(""))).rlike(pattern), w).otherwise(0))
+        hits.append(weight.alias(f"h{k}"))
+    found = rows.select(key, *hits)
+    counts = found.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(f"h{k}") > 0).alias(f"df{k}") for k in range(len(groups))))
+    both = found.join(F.broadcast(counts))  # one row
+    every = F.lit(True)
+    score = F.lit(0.0)
+    for k in range(len(groups)):
+        every = every & (F.col(f"df{k}") > 0)
+        score = score + F.log(1 + F.col("n") / (1 + F.col(f"df{k}"))) * F.col(f"h{k}")
+    scored = both.where(every).select(key, F.round(score, 6).alias("score")).where("score > 0")
+    top = scored.agg(F.max("score").alias("top"))
+    return scored.join(F.broadcast(top)).where(F.col("score") >= keep * F.col("top")).select(key, "score")
+
+
+def reranked(rows: DataFrame, groups: list[list[str]], fields: dict[str, int], key: str = "id") -> DataFrame:
+    """Rows that every concept hits, by the sum of their best field weights."""
+    total, every = F.lit(0), F.lit(True)
+    for terms in groups:
+        pattern = "|".join(term_pattern(t) for t in terms)
+        weight = F.lit(0)
+        for field, w in fields.items():
+            weight = F.greatest(weight, F.when(F.lower(F.coalesce(field, F.lit(""))).rlike(pattern), w).otherwise(0))
+        total, every = total + weight, every & (weight > 0)
+    return rows.where(every).select(key, total.cast("long").alias("score"))
+
+
+def context_lines(items: DataFrame) -> DataFrame:
+    """A numbered line of each retrieved item for a prompt."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
+    return items.select("id", F.concat_ws(" ", F.concat(F.lit("["), n.cast("string"), F.lit("]")), "title", F.concat(F.lit("("), "source", F.lit(")"))).alias("line"))
