@@ -21,7 +21,10 @@ from tidewire.llm import kernels as K
 from tidewire.llm.components import connected
 
 U64 = np.uint64
-REGISTERS, BANDS, THRESHOLD, WIDTH = 64, 16, 0.8, 5
+REGISTERS, BANDS, THRESHOLD, WIDTH = 256, 32, 0.8, 5
+#: Pairs whose registers agree this much less than the threshold aren't verified: eight standard deviations.
+SLACK = 0.2
+FIRST_OTHERS = 64
 
 
 def weighted(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,11 +100,24 @@ def similarity(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> tu
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in K.slices(batches, "text"):
         hashes, counts, firsts = weighted(part.column("text"))
-        keys = band_keys(sketches(hashes, counts, firsts)).view(np.int64)
+        sketch = sketches(hashes, counts, firsts)
+        keys = band_keys(sketch).view(np.int64)
+        marks = pa.array([row.tobytes() for row in (sketch & U64(255)).astype(np.uint8)], pa.binary())
         some = np.diff(firsts) > 0
         offsets = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
         bands = pa.ListArray.from_arrays(offsets, pa.array(keys[some].ravel()))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fp"), bands], ["doc_id", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fp"), bands, marks], ["doc_id", "fp", "bands", "marks"])
+
+
+def _near(least: float):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (K.buffers(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("a_marks", "b_marks"))
+                batch = batch.filter(pa.array((a == b).mean(axis=1) >= least))
+            yield batch.select(["a", "b"])
+
+    return near
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +135,35 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sims, pa.float64()), pa.array(plain, pa.float64())], ["a", "b", "similarity", "jaccard"])
 
 
+def _of_members(base: DataFrame, one: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, text) and (fp, marks) of the nodes that share a bucket with others."""
+    wanted = buckets.select("fp", "node").distinct()
+    keyed = base.select("fp", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("node"))
+    texts = keyed.join(wanted, ["fp", "node"], "left_semi").dropDuplicates(["fp", "node"]).select("fp", "text")
+    marks = one.join(wanted, ["fp", "node"], "left_semi").select("fp", "marks")
+    return K.kept(texts, "texts"), K.kept(marks, "marks")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, with similarity and jaccard."""
+    near = pairs.join(marks.select(F.col("fp").alias("a"), F.col("marks").alias("a_marks")), "a").join(marks.select(F.col("fp").alias("b"), F.col("marks").alias("b_marks")), "b")
+    near = near.mapInArrow(_near(threshold - SLACK), "a binary, b binary")
+    sides = near.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("b_text")), "b")
+    sides = sides.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("a_text")), "a")
+    found = sides.select("a", "b", "a_text", "b_text").mapInArrow(_verified, "a binary, b binary, similarity double, jaccard double")
+    return found.where(F.greatest("similarity", "jaccard") >= threshold)
+
+
+def _apart(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, fp, n, label, head_label) of the buckets whose nodes aren't all in one class."""
+    known = classes.select(F.col("node").alias("fp"), "label")
+    named = buckets.select("key", "fp", "n", F.col("head.fp").alias("head_fp")).join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = named.join(known.select(F.col("fp").alias("head_fp"), F.col("label").alias("head_label")), "head_fp", "left").withColumn("head_label", F.coalesce("head_label", "head_fp"))
+    named = K.kept(named.drop("head_fp"), "named")
+    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return named.join(open_keys, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, links) of documents (doc_id, text).
 
@@ -130,43 +175,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     Rows with equal texts are one node; repeated rows are kept, each with its class.  A null doc_id stays
     null and sorts first.  Other columns are ignored.
 
-    In a bucket of a band, all nodes are paired with the bucket's least node only.  The nodes that
-    verification parts from it stay in the bucket for another round, under another least node, until no
-    bucket has two nodes left: no link is lost to the choice of a leader, and no bucket is paired in full.
+    In a bucket of a band, all nodes are first paired with the bucket's least node only.  Where a bucket's nodes are
+    not all in one class after that, those outside its head's class meet nodes of other classes: 64 of the
+    bucket drawn by hash, then eight times as many, until all have been met.  The classes are those of all
+    pairs that share a bucket, and a bucket of copies isn't paired in full.  Pairs go to verification if
+    the registers' last bytes agree enough.
     """
     spark: SparkSession = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("fp", F.unhex(F.md5("text")))
-    sketched = K.kept(base.mapInArrow(_sketched, "doc_id long, fp binary, bands array<long>"), "sketches")
+    sketched = K.kept(base.mapInArrow(_sketched, "doc_id long, fp binary, bands array<long>, marks binary"), "sketches")
     nodes = sketched.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     nodes = K.kept(nodes.withColumn("node", F.coalesce("least", F.lit(-(2**63)))), "nodes")
-    left = sketched.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("node"), "bands").join(nodes.select("fp", "node"), ["fp", "node"]).dropDuplicates(["fp", "node"])
-    left = left.select(F.explode("bands").alias("key"), "fp", "node")
-    links, seen, turn, texts = None, None, 0, None
+    one = sketched.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("node"), "bands", "marks").join(nodes.select("fp", "node"), ["fp", "node"]).dropDuplicates(["fp", "node"])
+    banded = one.select(F.explode("bands").alias("key"), "fp", "node")
+    heads = banded.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = K.kept(banded.join(heads, "key").select("key", "fp", "node", "n", "head"), "buckets")
+    texts, marks = _of_members(base, one, buckets)
+
+    pairs = buckets.where(F.col("head.fp") != F.col("fp")).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    links = K.kept(_verify(pairs, texts, marks, threshold), "links")
+    most = buckets.agg(F.max("n")).first()[0] or 0
+    done, others = 2, FIRST_OTHERS
     while True:
-        heads = left.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        left = K.kept(left.join(heads, "key").where(F.struct("node", "fp") != F.col("head")).select("key", "fp", "node", F.col("head.fp").alias("head_fp"), F.col("head.node").alias("head_node")), "buckets")
-        pairs = left.select(F.col("head_fp").alias("a"), F.col("fp").alias("b"), F.col("head_node").alias("a_node"), F.col("node").alias("b_node")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = K.kept(pairs, "pairs")
-        if pairs.isEmpty():
+        classes = connected(links)
+        if done >= most:
             break
-        if texts is None:
-            wanted = pairs.select(F.col("a").alias("fp"), F.col("a_node").alias("node")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("b_node").alias("node"))).distinct()
-            keyed = base.select("fp", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("node"))
-            texts = K.kept(keyed.join(wanted, ["fp", "node"], "left_semi").dropDuplicates(["fp", "node"]).select("fp", "text"), "texts")
-        sides = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("b_text")), "b")
-        sides = sides.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("a_text")), "a")
-        found = K.kept(sides.select("a", "b", "a_text", "b_text").mapInArrow(_verified, "a binary, b binary, similarity double, jaccard double"), "verified")
-        good = found.where(F.greatest("similarity", "jaccard") >= threshold)
-        links = good if links is None else links.unionByName(good)
-        seen = found.select("a", "b") if seen is None else seen.unionByName(found.select("a", "b"))
-        left = left.join(links.select(F.col("a").alias("head_fp"), F.col("b").alias("fp")), ["head_fp", "fp"], "left_anti").select("key", "fp", "node")
-        turn += 1
-    if links is None:
-        links = spark.createDataFrame([], "a binary, b binary, similarity double, jaccard double")
-    classes = connected(links)
+        rest = _apart(buckets, classes).where(F.col("n") > done)
+        drawn = rest.where((F.col("n") <= others) | (F.pmod(F.xxhash64("fp", "key"), F.col("n")) < others))
+        met = rest.where("label <> head_label").select("key", F.col("fp").alias("x"), F.col("label").alias("x_label"))
+        met = met.join(drawn.select("key", F.col("fp").alias("y"), F.col("label").alias("y_label")), "key").where("x_label <> y_label")
+        found = K.kept(_verify(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), texts, marks, threshold), "links")
+        links = K.kept(links.unionByName(found).dropDuplicates(["a", "b"]), "links")
+        done, others = others, 8 * others
     labelled = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     labelled = K.kept(labelled.join(ids, "label").select("fp", "class_id", "class_size", "least"), "classes")
