@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 _BASE = 0x5851F42D4C957F2D

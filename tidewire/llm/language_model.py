@@ -29,7 +29,7 @@ U64 = np.uint64
 END = U64(0xE4D0F7E47)
 HEAD, HOT = 1 << 20, 1024
 PAD = 0.1
-FLUSH = 1_500_000
+FLUSH = 800_000
 ID_BITS = 21
 BUCKETS, QUARTERS = 24, 4
 
@@ -127,6 +127,7 @@ def _blocks(shared, parts: int):
         def flush():
             keys, owner = (np.concatenate(x) for x in zip(*held))
             ids, out = np.concatenate(rids), np.concatenate(flags)
+            name = int(K.mix(ids.view(U64)).sum(dtype=U64).view(np.int64))  # the same whenever this task runs again
             part = (K.mix(keys) % U64(parts)).astype(np.int64)
             bits = max(1, int(len(ids)).bit_length())
             occ = (keys << U64(bits)) | owner.astype(U64)
@@ -138,9 +139,9 @@ def _blocks(shared, parts: int):
                 x = occ[edge[p] : edge[p + 1]]
                 local, where = np.unique((x & U64((1 << bits) - 1)).astype(np.int64), return_inverse=True)
                 few = max(1, len(local).bit_length())
-                rows.append((int(p), few, _pack(np.sort(((x >> U64(bits)) << U64(few)) | where.astype(U64))), ids[local].tobytes(), out[local].tobytes()))
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["part", "bits", "occ", "rids", "out"])
+                rows.append((int(p), name, few, _pack(np.sort(((x >> U64(bits)) << U64(few)) | where.astype(U64))), _pack(local.astype(U64)), out[local].tobytes(), None, None))
+            rows.append((-1 - name % parts, name, 0, b"", ids.tobytes(), b"", None, None))
+            return _rows(rows)
 
         for part in K.slices(batches, "text"):
             hashes, firsts = tokens(part.column("text"))
@@ -160,26 +161,35 @@ def _blocks(shared, parts: int):
             yield flush()
         used = np.flatnonzero(hot)
         if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([used.tobytes()], pa.binary()), pa.array([hot[used].tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["part", "bits", "occ", "rids", "out"])
+            yield _rows([(-1 - int(hot[used].sum()) % parts, 0, -1, b"", b"", b"", used.tolist(), hot[used].tolist())])
 
     return blocks
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(bigrams, their owners, training counts, [rids]) of each part in turn; rows come sorted by part."""
+#: Rows of three kinds: a part's occurrences of one flush (part from 0), a flush's texts (bits 0), and a task's hot pairs (bits -1).
+BLOCK = "part int, flush long, bits int, occ binary, docs binary, out binary, pairs array<long>, pair_counts array<long>"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 2)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "flush", "bits", "occ", "docs", "out", "pairs", "pair_counts"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]]:
+    """(bigrams, their owners, whether they are for training, [(flush, its texts' places)]) of each part in turn; rows come sorted by part."""
     now, rows = None, []
 
     def joined():
-        keys, owners, out, rids, base = [], [], [], [], 0
-        for bits, occ, ids, flags in rows:
+        keys, owners, out, docs, base = [], [], [], [], 0
+        for flush, bits, occ, places, flags in rows:
             x = _unpack(occ)
             keys.append((x >> U64(bits)).astype(np.int64))
             local = (x & U64((1 << bits) - 1)).astype(np.int64)
             owners.append(local + base)
             out.append(np.frombuffer(flags, np.uint8)[local])
-            rids.append(np.frombuffer(ids, np.int64))
-            base += len(rids[-1])
-        return np.concatenate(keys), np.concatenate(owners), np.concatenate(out) == 0, np.concatenate(rids)
+            docs.append((flush, _unpack(places)))
+            base += len(docs[-1][1])
+        return np.concatenate(keys), np.concatenate(owners), np.concatenate(out) == 0, docs
 
     for batch in batches:
         for r in batch.to_pylist():
@@ -187,7 +197,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 yield joined()
                 rows = []
             now = r["part"]
-            rows.append((r["bits"], r["occ"], r["rids"], r["out"]))
+            rows.append((r["flush"], r["bits"], r["occ"], r["docs"], r["out"]))
     if rows:
         yield joined()
 
@@ -262,19 +272,50 @@ def log_probability(words: Words, mix: np.ndarray, h: np.ndarray, w: np.ndarray,
     return np.log10(m[:, 0] * n / np.maximum(c_h, 1) + m[:, 1] * words.counts[w] / max(1, words.total) + m[:, 2] / len(words.counts))
 
 
+PART_SCORES = "flush long, docs binary, scores binary"
+
+
 def _bigram_scores(shared):
+    """A row for each part and flush: places of texts, and the sums of their log probabilities in that part."""
+
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, mix = shared.value
-        for keys, owner, train, rids in _parts(batches):
+        for keys, owner, train, docs in _parts(batches):
             unique, which = np.unique(keys, return_inverse=True)
             n = np.bincount(which[train], minlength=len(unique))
             value = log_probability(words, mix, unique >> ID_BITS, unique & ((1 << ID_BITS) - 1), n)[which]
-            ids, place = np.unique(rids, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(place[owner], value, len(ids)), pa.float64())], ["rid", "part_score"])
+            edges = np.cumsum([0, *(len(x) for _, x in docs)])
+            total = np.bincount(owner, value, edges[-1]).astype(np.float32)
+            columns = [[f for f, _ in docs], [_pack(x) for _, x in docs], [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["flush", "docs", "scores"])
 
     return scores
 
 
+def _flush_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, part_score) from the rows of each flush in turn, sorted by flush; the row without scores names its texts."""
+
+    def summed(rows):
+        names = next(np.frombuffer(d, np.int64) for d, x in rows if x is None)
+        total = np.zeros(len(names))
+        for d, x in rows:
+            if x is not None:
+                total[_unpack(d).astype(np.int64)] += np.frombuffer(x, np.float32)
+        ids, where = np.unique(names, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(where, total, len(ids)), pa.float64())], ["rid", "part_score"])
+
+    now, rows = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["flush"] != now and rows:
+                yield summed(rows)
+                rows = []
+            now = r["flush"]
+            rows.append((r["docs"], r["scores"]))
+    if rows:
+        yield summed(rows)
+
+
 def _text_scores(shared):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot = shared.value
@@ -307,16 +348,16 @@ def score_texts(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
     counts = word_counts(rows)
     words = head(counts, head_size)
     shared = spark.sparkContext.broadcast(words)
-    parts = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.total // 4_000_000))
-    blocks = rows.mapInArrow(_blocks(shared, parts), "part int, bits int, occ binary, rids binary, out binary").repartition(parts // 2, "part").sortWithinPartitions("part")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.total // 4_000_000))
+    blocks = rows.mapInArrow(_blocks(shared, parts), BLOCK).repartition(parts, "part").sortWithinPartitions("part")
     path = K.shared_path(spark, "bigrams")
     # one row group a file, so that no part is read by two tasks
     blocks.write.option("parquet.block.size", 1 << 30).option("compression", "none").parquet(path)
-    blocks = spark.read.schema("part int, bits int, occ binary, rids binary, out binary").parquet(path)
-    pairs = blocks.where("part >= 0")
+    blocks = spark.read.schema(BLOCK).parquet(path)
+    pairs = blocks.where("part >= 0").select("part", "flush", "bits", "occ", "docs", "out")
     hot = np.zeros(HOT * HOT, np.int64)
-    for r in blocks.where("part = -1").select("occ", "rids").toLocalIterator():
-        hot[np.frombuffer(r.occ, np.int64)] += np.frombuffer(r.rids, np.int64)
+    dense = blocks.where("bits = -1").select(F.explode(F.arrays_zip("pairs", "pair_counts")).alias("p")).groupBy("p.pairs").agg(F.sum("p.pair_counts").alias("n")).toArrow()
+    hot[dense.column("pairs").to_numpy()] = dense.column("n").to_numpy()  # at most HOT * HOT rows
     cells = pairs.mapInArrow(_cells(shared), CELLS).groupBy("b", "x", "y").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).collect()
     used = np.flatnonzero(hot)
     more = held_out_cells(words, (used // HOT << ID_BITS) | used % HOT, hot[used]) if len(used) else []
@@ -328,7 +369,9 @@ def score_texts(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
 
     kind = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"
     own = K.kept(rows.mapInArrow(_text_scores(spark.sparkContext.broadcast((words, grid.ravel()))), kind), "scores")
-    partial = pairs.mapInArrow(_bigram_scores(spark.sparkContext.broadcast((words, mix))), "rid long, part_score double")
+    scored = pairs.mapInArrow(_bigram_scores(spark.sparkContext.broadcast((words, mix))), PART_SCORES)
+    named = blocks.where("part < 0 and bits = 0").select("flush", "docs", F.lit(None).cast("binary").alias("scores"))
+    partial = scored.unionByName(named).repartition(parts, "flush").sortWithinPartitions("flush").mapInArrow(_flush_scores, "rid long, part_score double")
     copies = own.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
     scale = F.lit(float(np.log10(words.total + PAD * (words.distinct + 1))))
     share = F.lit(float(np.log10(words.tail_total + PAD * (words.tail_distinct + 1))))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.operators import classify, dedupe, feed, heat, search, state, stories, trends
-from tidewire.sources import archive, tables
+from tidewire.functions import times
+from tidewire.operators import classify, dedupe, feed, heat, repos, search, state, stories, trends
+from tidewire.sources import archive, exports, tables
 
 NOW = "2024-01-31T00:00:00"
 CATEGORIES = ["click", "error", "purchase", "signup", "view"]
@@ -427,3 +428,43 @@ def concept_search(spark, d):
 @query("wide_rerank", f"WITH {PARTS}, h AS (SELECT id, CASE WHEN regexp_matches(lower(name), '(^|[^a-z0-9])widget') THEN 5 ELSE 0 END AS h0, CASE WHEN regexp_matches(lower(name), '(^|[^a-z0-9])red') THEN 5 ELSE 0 END AS h1 FROM parts) SELECT id, CAST(h0 + h1 AS BIGINT) AS score FROM h WHERE h0 > 0 AND h1 > 0")
 def wide_rerank(spark, d):
     return search.reranked(parts(spark, d), [["widget"], ["red"]], {"name": 5})
+
+
+# -- exports, times and repositories
+
+
+@query("editorial_days", "WITH s AS (SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, strftime(date_trunc('week', ts + INTERVAL 8 HOUR), '%Y-%m-%d') AS week FROM (SELECT date_trunc('second', ts) AS ts FROM events)) SELECT day, week, count(*) AS n FROM s GROUP BY day, week")
+def editorial_days(spark, d):
+    at = F.col("published_at")
+    return stream(spark, d).groupBy(times.editorial_day(at).alias("day"), times.editorial_week(at).alias("week")).agg(F.count(F.lit(1)).alias("n"))
+
+
+XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query("feed_export", f"WITH {ITEMS}, t AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, id) AS place FROM items) SELECT place, '<item><title>' || {XML.format('title')} || '</title><link>' || {XML.format(chr(99) + 'oalesce(source_url, ' + chr(39) * 2 + ')')} || '</link><guid>' || CAST(id AS VARCHAR) || '</guid><description>' || {XML.format('CASE WHEN summary <> ' + chr(39) * 2 + ' THEN summary ELSE title END')} || '</description></item>' AS entry FROM t WHERE place <= 30")
+def feed_export(spark, d):
+    return exports.rss_entries(tables.items(spark, d))
+
+
+@query("sitemap", f"WITH {TAGGED}, n AS (SELECT tag, count(*) AS n FROM tagged GROUP BY tag) SELECT 'https://site.example/' AS url UNION ALL SELECT 'https://site.example/about' UNION ALL SELECT 'https://site.example/topic/' || tag FROM n WHERE n >= 5 UNION ALL SELECT DISTINCT 'https://site.example/daily/' || substr(published_at, 1, 10) FROM items")
+def sitemap(spark, d):
+    days = tables.items(spark, d).select(F.substring("published_at", 1, 10).alias("day")).distinct()
+    return exports.sitemap("https://site.example", classify.tag_counts(tagged(spark, d)), days, ["/", "/about"])
+
+
+REPOS = f"{PARTS}, p AS (SELECT 'http://' || CAST(id AS VARCHAR) AS x, * FROM parts), repos AS (SELECT 'r' || CAST(page_id AS VARCHAR) AS full_name, lower(regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')) AS url, page_id AS ord, CASE WHEN page_id % 3 = 0 THEN page_id % 7 END AS weekly, CASE WHEN page_id % 2 = 0 THEN page_id % 5 END AS daily, page_id % 11 AS monthly FROM pages)"
+
+
+@query("trend_attach", f"WITH {ITEMS}, {REPOS}, m AS (SELECT *, CASE WHEN weekly IS NOT NULL THEN 'weekly' WHEN daily IS NOT NULL THEN 'daily' ELSE 'monthly' END AS period, coalesce(weekly, daily, monthly) AS gained, row_number() OVER (PARTITION BY url ORDER BY ord DESC) AS n FROM repos), w AS (SELECT e.event_id AS id, arg_min('r' || CAST(user_id AS VARCHAR), e.event_id) AS full_name FROM events e GROUP BY 1), j AS (SELECT i.id, coalesce(u.full_name, v.full_name) AS repo, CASE WHEN u.full_name IS NOT NULL THEN u.period ELSE v.period END AS period, CASE WHEN u.full_name IS NOT NULL THEN u.gained ELSE v.gained END AS gained FROM items i LEFT JOIN m u ON u.n = 1 AND u.url = lower(regexp_replace(regexp_replace(i.source_url, '[#?].*$', ''), '/+$', '')) LEFT JOIN w ON w.id = i.id LEFT JOIN m v ON v.full_name = w.full_name) SELECT id, CASE WHEN gained > 0 THEN repo END AS repo, CASE WHEN gained > 0 THEN period END AS period, CASE WHEN gained > 0 THEN gained END AS gained FROM j")
+def trend_attach(spark, d):
+    page = F.col("page_id")
+    found = tables.table(spark, d, "pages").select(F.concat(F.lit("r"), page.cast("string")).alias("full_name"), repos.plain_url(F.col("url")).alias("url"), page.alias("ord"), F.when(page % 3 == 0, page % 7).alias("weekly"), F.when(page % 2 == 0, page % 5).alias("daily"), (page % 11).alias("monthly"))
+    news = tables.table(spark, d, "events").select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("full_name"), F.col("event_id").alias("ord"), F.col("event_id").alias("id"))
+    return repos.with_trend(tables.items(spark, d), found, news).select("id", "repo", "period", "gained")
+
+
+@query("news_match", f"WITH {ITEMS}, r AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS repo, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS token FROM benchmark), t AS (SELECT id, published_at, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9_.-]*'))) AS token FROM items WHERE CAST(published_at AS TIMESTAMP) >= TIMESTAMP '2024-01-31' - INTERVAL 45 DAY), m AS (SELECT repo, id, row_number() OVER (PARTITION BY repo ORDER BY published_at DESC, id) AS rank FROM t JOIN r USING (token)) SELECT * FROM m WHERE rank <= 5")
+def news_match(spark, d):
+    names = tables.table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("full_name"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("name"))
+    return repos.mentioned(tables.items(spark, d), names, 45, NOW)
