@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     null and sorts first.  Other columns are ignored.
 
     In a bucket of a band, all nodes are first paired with the bucket's least node only.  Where a bucket's nodes are
-    not all in one class after that, those outside its head's class meet nodes of other classes: 64 of the
+    not all in one class after that, those outside its head's class meet nodes of other classes: about 64 of the
     bucket drawn by hash, then eight times as many, until all have been met.  The classes are those of all
     pairs that share a bucket, and a bucket of copies isn't paired in full.  Pairs go to verification if
     the registers' last bytes agree enough.
@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
         if done >= most:
             break
         rest = _apart(buckets, classes).where(F.col("n") > done)
-        drawn = rest.where((F.col("n") <= others) | (F.pmod(F.xxhash64("fp", "key"), F.col("n")) < others))
+        # the draw is the same in all buckets of a size, so that buckets of one group pair the same nodes
+        drawn = rest.where((F.col("n") <= others) | (F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < others / F.col("n") * (1 << 30)))
         met = rest.where("label <> head_label").select("key", F.col("fp").alias("x"), F.col("label").alias("x_label"))
         met = met.join(drawn.select("key", F.col("fp").alias("y"), F.col("label").alias("y_label")), "key").where("x_label <> y_label")
         found = K.kept(_verify(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), texts, marks, threshold), "links")
