@@ -1,9 +1,9 @@
 """Media columns: content-defined chunks, deduplicated by joins, and reconstruction from ordered chunk lists.
 
-A payload is cut where a rolling gear hash of its last 32 bytes has zeros in its low bits.  Chunks are named by their
-SHA-256; of equal chunks one media object keeps the bytes, and the others only list the name.  A media
+A payload is cut where a rolling gear hash of its last 32 bytes has zeros in its low bits.  Chunks are named by the first
+16 bytes of their SHA-256; of equal chunks one media object keeps the bytes, and the others only list the name.  A media
 object, in its stored form, is "CDC1", the number of chunks, each chunk's size and digest, and the chunks' 8-bit samples.
-In the store it is a row: the chunk list, and the compressed bytes of the chunks that it owns.
+In the store it is a row: the chunk list, and the bytes of the chunks that it owns, which Parquet compresses.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from tidewire.llm import kernels as K
 LEAST, MOST, CUT_BITS = 1024, 16384, 11
 FRAME = 576
 GEAR = (K.mix((np.arange(256, dtype=np.uint64) + np.uint64(77)) * K.GOLDEN) >> np.uint64(32)).astype(np.uint32)
+#: Bytes of the dictionary of what is shuffled, and of the texts that it is taken from.
+DICTIONARY, DICTIONARY_TEXTS = 1 << 18, (256, 4096)
+NAME_BYTES, LEVEL = 16, 9
 CHUNK = "struct<pos:int,digest:binary,size:int,owned:boolean,shared:boolean>"
 
 
@@ -68,6 +71,24 @@ def payloads(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, out_offsets, sizes
 
 
+def name_of(data) -> bytes:
+    """The name of a chunk or payload."""
+    return hashlib.sha256(data).digest()[:NAME_BYTES]
+
+
+def dictionary(texts: DataFrame) -> bytes:
+    """At most DICTIONARY bytes of texts, which help to compress small payloads; only the size of the shuffle depends on them."""
+    short = texts.where(F.octet_length("text").between(*DICTIONARY_TEXTS)).select("text").limit(DICTIONARY // DICTIONARY_TEXTS[0])
+    return (b"\xff" * FRAME + b"".join(r.text.encode() for r in short.toLocalIterator()))[:DICTIONARY]
+
+
+def packers(content: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """A compressor and a decompressor with this dictionary."""
+    shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    shared.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared), zstandard.ZstdDecompressor(dict_data=shared)
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32())]))
     for part in K.slices(batches, "text"):
@@ -75,47 +96,50 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, rows, names = memoryview(data), [], []
         for a, ends in zip(offsets[:-1].tolist(), cuts(data, offsets)):
             begins = [a, *ends[:-1]]
-            rows.append([{"digest": hashlib.sha256(raw[s:e]).digest(), "size": e - s} for s, e in zip(begins, ends)])
-            names.append(hashlib.sha256(raw[a : ends[-1]]).digest())
+            rows.append([{"digest": name_of(raw[s:e]), "size": e - s} for s, e in zip(begins, ends)])
+            names.append(name_of(raw[a : ends[-1]]))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(rows, kind)], ["doc_id", "node", "n_bytes", "media_id", "chunks"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=6)
-    for part in K.slices(batches, "text"):
-        data, offsets, _ = payloads(part.column("text"))
-        raw = memoryview(data)
-        spans = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([hashlib.sha256(s).digest() for s in spans], pa.binary()), pa.array([squeeze.compress(s) for s in spans], pa.binary())], ["node", "media_id", "blob"])
-
+def _packed(content):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, _ = packers(content.value)
+        for part in K.slices(batches, "text"):
+            data, offsets, _ = payloads(part.column("text"))
+            raw = memoryview(data)
+            spans = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([name_of(s) for s in spans], pa.binary()), pa.array([squeeze.compress(s) for s in spans], pa.binary())], ["node", "media_id", "blob"])
+
+    return packed
+
+
+def _owned(content):
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keeps of each payload the chunks that it owns."""
+        _, expand = packers(content.value)
+        for part in K.slices(batches, "blob", 1 << 18):
+            blobs = []
+            for blob, chunks in zip(part.column("blob"), part.column("chunks").to_pylist()):
+                raw, at, own = expand.decompress(blob.as_py()), 0, []
+                for c in chunks:
+                    if c["owned"]:
+                        own.append(raw[at : at + c["size"]])
+                    at += c["size"]
+                blobs.append(b"".join(own))
+            yield pa.RecordBatch.from_arrays([part.column("media_id"), part.column("chunks"), pa.array(blobs, pa.binary())], ["media_id", "chunks", "blob"])
 
-def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps of each payload the chunks that it owns."""
-    squeeze, expand = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
-    for part in K.slices(batches, "blob", 1 << 20):
-        blobs = []
-        for blob, chunks in zip(part.column("blob"), part.column("chunks").to_pylist()):
-            if all(c["owned"] for c in chunks):
-                blobs.append(blob.as_py())
-                continue
-            raw, at, own = expand.decompress(blob.as_py()), 0, []
-            for c in chunks:
-                if c["owned"]:
-                    own.append(raw[at : at + c["size"]])
-                at += c["size"]
-            blobs.append(squeeze.compress(b"".join(own)))
-        yield pa.RecordBatch.from_arrays([part.column("media_id"), part.column("chunks"), pa.array(blobs, pa.binary())], ["media_id", "chunks", "blob"])
+    return owned
 
 
 def _lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, bytes) of owned chunks that others list."""
-    expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6)
-    for part in K.slices(batches, "blob", 1 << 20):
+    squeeze = zstandard.ZstdCompressor(level=LEVEL)
+    for part in K.slices(batches, "blob"):
         names, parts = [], []
         for blob, chunks in zip(part.column("blob"), part.column("chunks").to_pylist()):
             own = [c for c in chunks if c["owned"]]
             if any(c["shared"] for c in own):
-                raw, at = expand.decompress(blob.as_py()), 0
+                raw, at = blob.as_py(), 0
                 for c in own:
                     if c["shared"]:
                         names.append(c["digest"])
@@ -138,22 +162,23 @@ def features(payload: bytes, n_chunks: int) -> str:
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
-    for part in K.slices(batches, "blob", 1 << 20):
+    for part in K.slices(batches, "blob"):
         rows = []
         for name, blob, chunks, lent in zip(part.column("media_id"), part.column("blob"), part.column("chunks").to_pylist(), part.column("lent").to_pylist()):
-            own, at, other, out = expand.decompress(blob.as_py()), 0, {x["pos"]: x["part"] for x in lent or []}, []
+            own, at, other, out = blob.as_py(), 0, {x["pos"]: x["part"] for x in lent or []}, []
             for c in chunks:
                 if c["owned"]:
                     bit = own[at : at + c["size"]]
                     at += c["size"]
                 else:
                     bit = expand.decompress(other[c["pos"]])
-                if hashlib.sha256(bit).digest() != c["digest"]:
+                digest = hashlib.sha256(bit).digest()
+                if digest[:NAME_BYTES] != c["digest"]:
                     raise ValueError("a chunk isn't the one that its list names")
-                out.append((c["digest"], bit))
+                out.append((digest, bit))
             payload, media = b"".join(x for _, x in out), stored_form(out)
-            rows.append((name.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, len(out))))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 7, (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows.append((name.as_py(), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).digest(), features(payload, len(out))))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 7, (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def write(docs: DataFrame, path: str) -> None:
@@ -163,6 +188,7 @@ def write(docs: DataFrame, path: str) -> None:
     """
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("node")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node, F.col("text").cast("string").alias("text"))
+    content = rows.sparkSession.sparkContext.broadcast(dictionary(rows))
     listed = K.kept(rows.mapInArrow(_listed, "doc_id long, node long, n_bytes long, media_id binary, chunks array<struct<digest:binary,size:int>>"), "lists")
     listed.select("doc_id", "n_bytes", "media_id").write.parquet(f"{path}/rows")
     keeper = listed.groupBy("media_id").agg(F.min("node").alias("node"))
@@ -171,9 +197,9 @@ def write(docs: DataFrame, path: str) -> None:
     owner = each.groupBy("digest").agg(F.min(F.struct("media_id", "pos")).alias("owner"), F.count(F.lit(1)).alias("n"))
     flags = each.join(owner, "digest").withColumn("owned", F.struct("media_id", "pos") == F.col("owner"))
     lists = flags.groupBy("media_id", "node").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "size", "owned", (F.col("n") > 1).alias("shared")))).alias("chunks"))
-    blobs = rows.select("node", "text").mapInArrow(_packed, "node long, media_id binary, blob binary")
+    blobs = rows.select("node", "text").mapInArrow(_packed(content), "node long, media_id binary, blob binary")
     whole = blobs.join(lists, ["media_id", "node"]).dropDuplicates(["media_id", "node"])
-    whole.select("media_id", "chunks", "blob").mapInArrow(_owned, f"media_id binary, chunks array<{CHUNK}>, blob binary").write.option("compression", "none").parquet(f"{path}/media")
+    whole.select("media_id", "chunks", "blob").mapInArrow(_owned(content), f"media_id binary, chunks array<{CHUNK}>, blob binary").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(f"{path}/media")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -190,9 +216,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     some = media.where(~whole).join(got, "media_id")
     none = media.where(whole).withColumn("lent", F.lit(None).cast("array<struct<pos:int,part:binary>>"))
     every = none.unionByName(some).select("media_id", "chunks", "blob", "lent")
-    rebuilt = every.mapInArrow(_rebuilt, "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rebuilt = every.mapInArrow(_rebuilt, "media_id binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
     rows = spark.read.schema("doc_id long, n_bytes long, media_id binary").parquet(f"{path}/rows")
-    return rows.join(rebuilt, "media_id").drop("media_id")
+    both = rows.join(rebuilt, "media_id").drop("media_id")
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 def op5_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
