@@ -85,6 +85,16 @@ def test_score_is_the_interpolation(spark):
         assert r.score == pytest.approx(total, rel=1e-6)
 
 
+@pytest.mark.parametrize("size", [0, 40])
+def test_words_outside_the_head_keep_their_own_counts(spark, size):
+    rows = made() + [(600, "rare3 rare4 É"), (601, "rare3 rare4 rare3 rare4 nowhere rare5"), (602, "rare3 rare4 nowhere")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
+    whole, small = (sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in L.score_texts(docs, out, s).collect()) for s in (1 << 20, size))
+    for a, b in zip(whole, small):
+        assert a[:3] == b[:3] and b[3:] == pytest.approx(a[3:], rel=1e-4)
+
+
 def test_expectation_maximisation_finds_the_mixture():
     rng = np.random.default_rng(0)
     f = rng.random((4000, 3))

@@ -4,12 +4,13 @@ p(w | h) = l2 c(h, w) / c(h) + l1 c(w) / N + l0 / V, with weights by the bucket
 are learned by expectation-maximisation on held-out counts: each training bigram is predicted from the
 counts without itself, (c(h, w) - 1) / (c(h) - 1) and (c(w) - 1) / (N - 1).
 
-The model's words are the most frequent ones, at most HEAD; the others are one class, and a word of it has the
-class's probability times its smoothed share, from exact counts.  A text is preceded and closed by the end token.
+Every training word is a word of the model, and words that training lacks are one more, without counts.  A text is
+preceded and closed by the end token.
 
-Words are 64-bit hashes.  Bigram occurrences are shuffled by key in packed blocks, so that counts meet the texts
-that need them; pairs of the HOT most frequent words, which could be many of all tokens, are instead counted in a dense table
-and scored where the texts are read.
+Words are 64-bit hashes.  The HEAD most frequent ones have ids that all tasks know.  Their bigram occurrences are shuffled
+by key in packed blocks, so that counts meet the texts that need them; pairs of the HOT most frequent words, which could be
+many of all tokens, are instead counted in a dense table and scored where the texts are read.  Bigrams with a word outside
+the head are rows that meet the word's count, and each other, by a join on the word.  All take the same counts and weights.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import kernels as K
@@ -36,15 +38,17 @@ BUCKETS, QUARTERS = 24, 4
 
 @dataclass
 class Words:
-    """The head words: sorted hashes, their ids by falling count (the end token is one), counts by id; id len(counts) - 1 is the class."""
+    """The head words: sorted hashes, their ids by falling count (the end token is one), counts by id; id len(counts) - 1 is any other word.
+
+    total and distinct are of all training tokens; size is the number of words of the model.
+    """
 
     hashes: np.ndarray
     ids: np.ndarray
     counts: np.ndarray
     total: int
     distinct: int
-    tail_total: int
-    tail_distinct: int
+    size: int
 
     @property
     def other(self) -> int:
@@ -72,7 +76,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def head(counts: DataFrame, size: int = HEAD) -> Words:
-    """The words whose count reaches the least threshold that at most size words reach."""
+    """The words whose count reaches the least threshold that at most size words reach, and the end token."""
     by = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
     levels = by.orderBy(F.desc("n")).toLocalIterator()
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -81,16 +85,16 @@ def head(counts: DataFrame, size: int = HEAD) -> Words:
         if taken + r.k > size:
             break
         taken, least = taken + r.k, r.n
-    rows = counts.where(F.col("n") >= (least if least is not None else 2**62)).toArrow()
+    end = F.col("word") == int(END.view(np.int64))
+    rows = counts.where((F.col("n") >= (least if least is not None else 2**62)) | end).toArrow()
     words, n = rows.column("word").to_numpy().view(U64), rows.column("n").to_numpy()
+    grand, distinct = int(total.n or 0), int(total.v or 0)
     if END not in words:
         words, n = np.append(words, END), np.append(n, 0)
     order = np.lexsort((words, -n))
     words, n = words[order], n[order]
     by_hash = np.argsort(words)
-    grand, distinct = int(total.n or 0), int(total.v or 0)
-    tail = grand - int(n.sum())
-    return Words(words[by_hash], by_hash.astype(np.int32), np.append(n, tail), grand, distinct, tail, distinct - int((n > 0).sum()))
+    return Words(words[by_hash], by_hash.astype(np.int32), np.append(n, 0), grand, distinct, max(1, distinct) + 1)
 
 
 def bigrams(words: Words, hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,13 +151,15 @@ def _blocks(shared, parts: int):
             hashes, firsts = tokens(part.column("text"))
             h, w, owner = bigrams(words, hashes, firsts)
             out = part.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)
-            both = (h < HOT) & (w < HOT)
+            head = (h != words.other) & (w != words.other)
+            both = (h < HOT) & (w < HOT) & head
+            own = head & ~both
             some = both & (out[owner] == 0)
             hot += np.bincount(h[some] * HOT + w[some], minlength=HOT * HOT)
-            held.append(((h[~both].astype(U64) << U64(ID_BITS)) | w[~both].astype(U64), owner[~both] + docs))
+            held.append(((h[own].astype(U64) << U64(ID_BITS)) | w[own].astype(U64), owner[own] + docs))
             rids.append(part.column("rid").to_numpy())
             flags.append(out)
-            size, docs = size + int((~both).sum()), docs + part.num_rows
+            size, docs = size + int(own.sum()), docs + part.num_rows
             if size >= FLUSH:
                 yield flush()
                 held, rids, flags, size, docs = [], [], [], 0, 0
@@ -207,14 +213,18 @@ def _log_cell(f: np.ndarray) -> np.ndarray:
         return np.where(f > 0, np.round(QUARTERS * np.log2(np.maximum(f, 1e-30))), -1000).astype(np.int64)
 
 
-def held_out_cells(words: Words, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+def counts_of(words: Words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of the contexts and words of pairs of head words."""
+    return words.counts[keys >> ID_BITS], words.counts[keys & ((1 << ID_BITS) - 1)]
+
+
+def held_out_cells(total: int, c_h: np.ndarray, c_w: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
     """(bucket, bigram cell, unigram cell, weight, weighted bigram and unigram estimates) of bigrams seen n times, without themselves."""
-    c_h, c_w = words.counts[keys >> ID_BITS], words.counts[keys & ((1 << ID_BITS) - 1)]
-    f2, f1 = np.where(c_h > 1, (n - 1) / np.maximum(c_h - 1, 1), 0.0), (c_w - 1) / max(1, words.total - 1)
+    f2, f1 = np.where(c_h > 1, (n - 1) / np.maximum(c_h - 1, 1), 0.0), (c_w - 1) / max(1, total - 1)
     cell = np.stack([bucket(c_h), _log_cell(f2), _log_cell(f1)], 1)
     unique, which = np.unique(cell, axis=0, return_inverse=True)
     which = which.ravel()
-    return (*unique.T, *(np.bincount(which, v, len(unique)) for v in (n.astype(float), n * f2, n * f1)))
+    return (*unique.T, *(np.bincount(which, v, len(unique)) for v in (weight.astype(float), weight * f2, weight * f1)))
 
 
 def bucket(context_counts: np.ndarray) -> np.ndarray:
@@ -224,17 +234,90 @@ def bucket(context_counts: np.ndarray) -> np.ndarray:
 CELLS = "b long, x long, y long, n double, s2 double, s1 double"
 
 
+def _cell_rows(got: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in got[:3]), *(pa.array(c, pa.float64()) for c in got[3:])], ["b", "x", "y", "n", "s2", "s1"])
+
+
 def _cells(shared):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for keys, _, train, _ in _parts(batches):
             unique, n = np.unique(keys[train], return_counts=True)
             if len(unique):
-                got = held_out_cells(shared.value, unique, n)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in got[:3]), *(pa.array(c, pa.float64()) for c in got[3:])], ["b", "x", "y", "n", "s2", "s1"])
+                yield _cell_rows(held_out_cells(words.total, *counts_of(words, unique), n, n))
+
+    return cells
+
+
+RARE = "t long, o long, c_o long, side boolean, rid long, train boolean, k long"
+
+
+def _rare(shared):
+    """Bigrams with a word outside the head, k times in a text: t is such a word, the context where side holds, and o the
+    bigram's other word with its count, or -1 where it is outside the head too."""
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for part in K.slices(batches, "text"):
+            hashes, firsts = tokens(part.column("text"))
+            h, w, owner = bigrams(words, hashes, firsts)
+            before = np.roll(hashes, 1)
+            before[firsts[:-1]] = END
+            at = np.flatnonzero((h == words.other) | (w == words.other))
+            h, w, before, hashes, owner = h[at], w[at], before[at], hashes[at], owner[at]
+            order = np.lexsort((hashes, before, owner))
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (hashes, before, owner)], axis=0)
+            edge = np.flatnonzero(new)
+            at, k = order[edge], np.diff(np.append(edge, len(order)))
+            side = h[at] == words.other
+            t, o = np.where(side, before[at], hashes[at]), np.where(side, hashes[at], before[at])
+            c_o = np.where(side, np.where(w[at] == words.other, -1, words.counts[w[at]]), words.counts[h[at]])
+            texts = pa.array(owner[at])
+            columns = [pa.array(t.view(np.int64)), pa.array(o.view(np.int64)), pa.array(c_o.astype(np.int64)), pa.array(side), part.column("rid").take(texts), pa.compute.invert(part.column("held_out").take(texts)), pa.array(k.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["t", "o", "c_o", "side", "rid", "train", "k"])
+
+    return rare
+
+
+def rare_bigrams(rows: DataFrame, shared, counts: DataFrame) -> DataFrame:
+    """(rid, train, k, n, c_h, c_w, rare) of the bigrams of RARE: training has them n times and their words c_h and c_w times; rare where the second word is outside the head."""
+    found = rows.mapInArrow(_rare(shared), RARE).join(counts.select(F.col("word").alias("t"), F.col("n").alias("c")), "t", "left")
+    n = F.sum(F.when(F.col("train"), F.col("k")).otherwise(0)).over(Window.partitionBy("t", "o", "side"))
+    found = found.select("rid", "train", "k", n.alias("n"), F.coalesce("c", F.lit(0)).alias("c"), "c_o", "side", F.when(F.col("c_o") < 0, F.col("o")).alias("o"))
+    found = K.kept(found, "rare")
+    two = found.where("c_o < 0").join(counts.select(F.col("word").alias("o"), F.col("n").alias("second")), "o", "left")
+    two = K.kept(two.select("rid", "train", "k", "n", F.col("c").alias("c_h"), F.coalesce("second", F.lit(0)).alias("c_w"), F.lit(True).alias("rare")), "rare")
+    one = found.where("c_o >= 0").select("rid", "train", "k", "n", F.when(F.col("side"), F.col("c")).otherwise(F.col("c_o")).alias("c_h"), F.when(F.col("side"), F.col("c_o")).otherwise(F.col("c")).alias("c_w"), (~F.col("side")).alias("rare"))
+    return one.unionByName(two)
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _rare_cells(total: int):
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c_h, c_w, n, k = _numbers(batch, "c_h", "c_w", "n", "k")
+                yield _cell_rows(held_out_cells(total, c_h, c_w, n, k))
 
     return cells
 
 
+def _rare_scores(mix: np.ndarray, total: int, distinct: int, size: int):
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scale = np.log10(total + PAD * (distinct + 1))
+        for batch in batches:
+            c_h, c_w, n, k, rare = _numbers(batch, "c_h", "c_w", "n", "k", "rare")
+            score = k * log_probability(total, size, mix, c_h, c_w, n)
+            base = np.where(rare, k * (np.log10(c_w + PAD) - scale), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(score, pa.float64()), pa.array(base, pa.float64()), pa.array(np.where(rare & (c_w > 0), k, 0), pa.int64())], ["rid", "part_score", "tail_base", "tail_known"])
+
+    return scores
+
+
 def expectation_maximisation(f: np.ndarray, n: np.ndarray, start: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Mixture weights of the columns of f that maximise the likelihood of its rows, seen n times."""
     w = start
@@ -255,7 +338,7 @@ def weights(words: Words, cells: list[tuple]) -> np.ndarray:
     if not cells:
         return out
     x = np.array(sorted(cells), float)
-    f = np.stack([x[:, 4] / x[:, 3], x[:, 5] / x[:, 3], np.full(len(x), 1 / len(words.counts))], 1)
+    f = np.stack([x[:, 4] / x[:, 3], x[:, 5] / x[:, 3], np.full(len(x), 1 / words.size)], 1)
     out[:] = expectation_maximisation(f, x[:, 3], third)
     for b in range(BUCKETS):
         own = x[:, 0] == b
@@ -265,11 +348,10 @@ def weights(words: Words, cells: list[tuple]) -> np.ndarray:
     return (out + 1e-6) / (out + 1e-6).sum(axis=1, keepdims=True)
 
 
-def log_probability(words: Words, mix: np.ndarray, h: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 p(w | h) of ids with bigram counts n."""
-    c_h = words.counts[h]
+def log_probability(total: int, size: int, mix: np.ndarray, c_h: np.ndarray, c_w: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 p(w | h) of words seen c_h and c_w times, with bigram counts n."""
     m = mix[bucket(c_h)]
-    return np.log10(m[:, 0] * n / np.maximum(c_h, 1) + m[:, 1] * words.counts[w] / max(1, words.total) + m[:, 2] / len(words.counts))
+    return np.log10(m[:, 0] * n / np.maximum(c_h, 1) + m[:, 1] * c_w / max(1, total) + m[:, 2] / size)
 
 
 PART_SCORES = "flush long, docs binary, scores binary"
@@ -283,7 +365,7 @@ def _bigram_scores(shared):
         for keys, owner, train, docs in _parts(batches):
             unique, which = np.unique(keys, return_inverse=True)
             n = np.bincount(which[train], minlength=len(unique))
-            value = log_probability(words, mix, unique >> ID_BITS, unique & ((1 << ID_BITS) - 1), n)[which]
+            value = log_probability(words.total, words.size, mix, *counts_of(words, unique), n)[which]
             edges = np.cumsum([0, *(len(x) for _, x in docs)])
             total = np.bincount(owner, value, edges[-1]).astype(np.float32)
             columns = [[f for f, _ in docs], [_pack(x) for _, x in docs], [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]]
@@ -325,12 +407,11 @@ def _text_scores(shared):
             hashes, firsts = tokens(part.column("text"))
             h, w, owner = bigrams(words, hashes, firsts)
             n = part.num_rows
-            both, known, tail = (h < HOT) & (w < HOT), (words.counts[w] > 0) & (w != words.other), w == words.other
+            both, known, head = (h < HOT) & (w < HOT) & (h != words.other) & (w != words.other), words.counts[w] > 0, w != words.other
             score = np.bincount(owner[both], hot[h[both] * HOT + w[both]], n)
-            plain = np.bincount(owner[~tail], base[w[~tail]], n)
-            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(tail)))[firsts].astype(np.int32), pa.array(hashes[tail].view(np.int64)))
-            columns = [part.column("doc_id"), part.column("rid"), part.column("held_out"), pa.array(np.diff(firsts), pa.int64()), pa.array(np.bincount(owner[known], minlength=n), pa.int64()), pa.array(plain), pa.array(score), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+            plain = np.bincount(owner[head], base[w[head]], n)
+            columns = [part.column("doc_id"), part.column("rid"), part.column("held_out"), pa.array(np.diff(firsts), pa.int64()), pa.array(np.bincount(owner[known], minlength=n), pa.int64()), pa.array(plain, pa.float64()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rid", "held_out", "n_tokens", "n_known", "base", "score"])
 
     return scores
 
@@ -358,31 +439,27 @@ def score_texts(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
     hot = np.zeros(HOT * HOT, np.int64)
     dense = blocks.where("bits = -1").select(F.explode(F.arrays_zip("pairs", "pair_counts")).alias("p")).groupBy("p.pairs").agg(F.sum("p.pair_counts").alias("n")).toArrow()
     hot[dense.column("pairs").to_numpy()] = dense.column("n").to_numpy()  # at most HOT * HOT rows
-    cells = pairs.mapInArrow(_cells(shared), CELLS).groupBy("b", "x", "y").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).collect()
+    rare = rare_bigrams(rows, shared, counts)
+    cells = pairs.mapInArrow(_cells(shared), CELLS).unionByName(rare.where("train").mapInArrow(_rare_cells(words.total), CELLS)).groupBy("b", "x", "y").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).collect()
     used = np.flatnonzero(hot)
-    more = held_out_cells(words, (used // HOT << ID_BITS) | used % HOT, hot[used]) if len(used) else []
+    more = held_out_cells(words.total, words.counts[used // HOT], words.counts[used % HOT], hot[used], hot[used]) if len(used) else []
     mix = weights(words, [*(tuple(r) for r in cells), *zip(*(c.tolist() for c in more))])
     ids = min(HOT, len(words.counts))
     grid = np.zeros((HOT, HOT))
     h, w = (x.ravel() for x in np.meshgrid(np.arange(ids), np.arange(ids), indexing="ij"))
-    grid[h, w] = log_probability(words, mix, h, w, hot.reshape(HOT, HOT)[h, w])
+    grid[h, w] = log_probability(words.total, words.size, mix, words.counts[h], words.counts[w], hot.reshape(HOT, HOT)[h, w])
 
-    kind = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"
+    kind = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double"
     own = K.kept(rows.mapInArrow(_text_scores(spark.sparkContext.broadcast((words, grid.ravel()))), kind), "scores")
     scored = pairs.mapInArrow(_bigram_scores(spark.sparkContext.broadcast((words, mix))), PART_SCORES)
     named = blocks.where("part < 0 and bits = 0").select("flush", "docs", F.lit(None).cast("binary").alias("scores"))
     partial = scored.unionByName(named).repartition(parts, "flush").sortWithinPartitions("flush").mapInArrow(_flush_scores, "rid long, part_score double")
     copies = own.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
-    scale = F.lit(float(np.log10(words.total + PAD * (words.distinct + 1))))
-    share = F.lit(float(np.log10(words.tail_total + PAD * (words.tail_distinct + 1))))
-    tail = own.select("rid", F.explode("tail").alias("word")).groupBy("rid", "word").agg(F.count(F.lit(1)).alias("k"))
-    tail = tail.join(counts.withColumnRenamed("n", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    each = F.log10(F.col("c") + PAD)
-    tail = tail.groupBy("rid").agg(F.sum(F.col("k") * (each - share)).alias("part_score"), F.sum(F.col("k") * (each - scale)).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tail_known"))
+    tail = rare.mapInArrow(_rare_scores(mix, words.total, words.distinct, words.size), "rid long, part_score double, tail_base double, tail_known long")
     none = partial.select("rid", "part_score", F.lit(0.0).alias("tail_base"), F.lit(0).cast("long").alias("tail_known"))
     added = none.unionByName(tail).groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("part_score", "tail_base", "tail_known")))
     added = added.join(copies, "rid").select("rid", "part_score", "tail_base", "tail_known", "copies")
-    out = own.drop("tail").join(added, "rid", "left")
+    out = own.join(added, "rid", "left")
     zero = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))  # noqa: E731  equal rows were summed
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("tail_known").cast("long")).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("base") + zero("tail_base")).alias("base_score"), (F.col("score") + zero("part_score")).alias("score"))
 
