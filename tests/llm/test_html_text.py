@@ -57,3 +57,18 @@ def test_shared_lines_go(spark):
     assert got[100] == "Only page" and got[101] == got[102] == "Copied" and got[103] == got[104] == ""
     assert all(r.n_chars == len(r.text) for r in rows)
     assert H.main_text(frame.where("false")).count() == 0
+
+
+def texts(spark, pages):
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    return [r.text for r in sorted(H.main_text(frame).collect(), key=lambda r: r.page_id)]
+
+
+def test_copies_are_no_neighbours(spark):
+    page = lambda i, date="": f"<div>Welcome</div><div>Long text of page number {i}, which only this one has.</div><p>More of {i}, and more again.</p><p>{date}</p><div>Terms</div>"
+    own = lambda i: f"Long text of page number {i}, which only this one has.\nMore of {i}, and more again."
+    pages = [("http://a.example/n/1", page(1)), ("https://a.example/n/1?x=1", page(1)), ("http://a.example/n/1/", page(1)), ("http://a.example/n/1/print", page(1, "p. 1")), ("http://a.example/n/2", page(2)), ("http://a.example/n/3", page(3))]
+    pages += [("http://copies.example/1", page(7)), ("http://copies.example/1?print", page(7)), ("http://copies.example/1/print", page(7, "p. 1"))]
+    got = texts(spark, pages)
+    assert got[:6] == [own(1), own(1), own(1), own(1) + "\np. 1", own(2), own(3)]
+    assert got[6:] == [f"Welcome\n{own(7)}\nTerms"] * 2 + [f"Welcome\n{own(7)}\np. 1\nTerms"]

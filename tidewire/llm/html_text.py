@@ -9,15 +9,18 @@ that markup names as such are left out on every page.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import kernels as K
+from tidewire.llm.components import connected
 
 # Names of HTML elements and of what sites call their parts.
 RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "object", "audio", "video", "canvas", "math"}
@@ -28,6 +31,8 @@ MAIN = {"article", "main"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "dl", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "caption", "thead", "tbody", "blockquote", "pre", "figure", "figcaption", "form", "fieldset", "address", "hr", "body", "html", "head", "details", "summary", "dialog", "menu"}
 PLAIN_PARTS = {"p", "li", "dt", "dd", "tr", "td", "th", "b", "i", "em", "strong", "a", "span", "u", "small", "font", "code", "sup", "sub", "q", "cite", "mark", "abbr", "time", "label", "html", "body"}
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|adsense|banner|sponsor(?:s|ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alert|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|replies|share|sharing|social|related|recommended|popup|modal|newsletter|subscribe|signup|paywall|widget|toolbar|pagination|pager|skip-link)(?:$|[\s_-]|\d)", re.I)
+#: Pages that share this part of the longer one's characters are copies, and no evidence of what the site repeats.
+NEAR = 0.8
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -76,9 +81,10 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             main = state[0] or name in MAIN
             aside = state[1] or name in ASIDE or (name in FRAME_PARTS and not state[0])
             if not aside and name not in MAIN and name not in ("html", "body") and m[3]:
+                named = NAMED
                 for a in NAMES.finditer(m[3]):
                     value = a[2] or a[3] or a[4] or ""
-                    aside |= value.strip().lower() in ROLES if a[1].lower() == "role" else bool(NAMED.search(value))
+                    aside |= value.strip().lower() in ROLES if a[1].lower() == "role" else bool(named.search(value))
             if name not in PLAIN_PARTS or aside != state[1]:
                 end()
                 open_.append((name, main, aside))
@@ -89,6 +95,11 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def own_blocks(page: str | None) -> list[tuple[str, bool]]:
+    """(text, in an article or main element) of the blocks that markup doesn't leave out."""
+    return [(t, main) for t, main, aside in blocks(page) if not aside]
+
+
 def common(a: list[int], b: list[int]) -> list[int]:
     """Indices of a that a longest common subsequence with b takes, by rows of bits."""
     head = 0
@@ -123,30 +134,35 @@ def common(a: list[int], b: list[int]) -> list[int]:
 
 
 def _hash(text: str) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in K.slices(batches, "html"):
-        rows = [[_hash(t) for t, _, _ in blocks(h)] for h in part.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "host", "path")), pa.array(rows, pa.list_(pa.int64()))], ["key", "host", "path", "lines"])
+        found = [[t for t, _ in own_blocks(h)] for h in part.column("html").to_pylist()]
+        rows, sizes = [[_hash(t) for t in x] for x in found], [[len(t) for t in x] for x in found]
+        content = [hashlib.blake2b(np.array(x, "<i8").tobytes(), digest_size=16).digest() for x in rows]
+        columns = [*(part.column(c) for c in ("key", "host", "path")), pa.array(content, pa.binary()), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "host", "path", "content", "lines", "sizes"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = zip(batch.column("lines").to_pylist(), batch.column("other_lines").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([common(a, b) for a, b in pairs], pa.list_(pa.int32()))], ["key", "shared"])
+        shared, close = [], []
+        for a, x, b, y in zip(*(batch.column(c).to_pylist() for c in ("lines", "sizes", "other_lines", "other_sizes"))):
+            shared.append(common(a, b))
+            close.append(sum(x[k] for k in shared[-1]) >= NEAR * max(sum(x), sum(y), 1))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("other"), pa.array(shared, pa.list_(pa.int32())), pa.array(close, pa.bool_())], ["key", "other", "shared", "close"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in K.slices(batches, "html"):
         out = []
         for page, shared in zip(part.column("html").to_pylist(), part.column("shared").to_pylist()):
-            gone, found = set(shared or ()), blocks(page)
-            inner = any(main and not aside for _, main, aside in found)
-            out.append("\n".join(t for k, (t, main, aside) in enumerate(found) if not aside and (main if inner else k not in gone)))
+            gone = set(shared or ())
+            found = own_blocks(page)
+            inner = any(main for _, main in found)
+            out.append("\n".join(t for k, (t, main) in enumerate(found) if (main if inner else k not in gone)))
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -159,10 +175,10 @@ def _path(url: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """(key, other) of rows (key, host, path): the page next to it by (path, key) within its host that shares more of the path.
+    """(key, other, host, path, part) of rows (key, host, path): the page next to it by (path, key) within its host that shares more of the path.
 
     Ties go to the one before.  Pages are put in order over all hosts by ranges, so that a large host is many
-    tasks; only the ends of ranges meet across tasks.
+    tasks; only the ends of ranges meet across tasks.  part is the range.
     """
     row = F.struct("host", "path", "key")
     order = keys.select("host", "path", "key").repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
@@ -180,7 +196,51 @@ def neighbours(keys: DataFrame) -> DataFrame:
         return F.when(F.col(f"{other}.host") == F.col("host"), F.size(same)).otherwise(-1)
 
     near = near.withColumn("b", F.coalesce(shared("before"), F.lit(-1))).withColumn("a", F.coalesce(shared("after"), F.lit(-1)))
-    return near.where("a > 0 or b > 0").select("key", F.when(F.col("b") >= F.col("a"), F.col("before.key")).otherwise(F.col("after.key")).alias("other"))
+    return near.where("a > 0 or b > 0").select("key", F.when(F.col("b") >= F.col("a"), F.col("before.key")).otherwise(F.col("after.key")).alias("other"), "host", "path", "part")
+
+
+def _compare(near: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, other, shared, close) of pairs (key, other): the blocks of key that other repeats, and whether they are copies."""
+    own = lines.select("key", "lines", "sizes")
+    other = lines.select(F.col("key").alias("other"), F.col("lines").alias("other_lines"), F.col("sizes").alias("other_sizes"))
+    pairs = near.select("key", "other").join(own, "key").join(other, "other")
+    return K.kept(pairs.mapInArrow(_compared, "key string, other string, shared array<int>, close boolean"), "pairs")
+
+
+def repeated(lines: DataFrame) -> DataFrame:
+    """(key, shared) of pages (key, host, path, content, lines, sizes): the blocks that the nearest page that is no copy repeats.
+
+    Pages of a host with equal blocks are one.  Nearest pages that are near copies are joined into one as well, which is
+    paired anew, until none are left; each of them is then held against the page that theirs was paired with.  Where all pages of a
+    host are copies of each other nothing tells the site's blocks from theirs, and none is shared.
+    """
+    heads = lines.groupBy("host", "content").agg(F.min(F.struct("path", "key")).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = K.kept(heads.select("host", "content", "n", "head.path", "head.key"), "heads")
+    copies = lines.select("key", "host", "content").join(heads.where("n > 1").select("host", "content", F.col("key").alias("head")), ["host", "content"]).where("key <> head").select("key", "head")
+    active, final, merged = heads.select("key", "host", "path"), None, None
+    while True:
+        near = K.kept(neighbours(active), "near")
+        pairs = _compare(near, lines)
+        named = pairs.join(near.select("key", "host", "path", "part"), "key")
+        # by range and host, so that a large host is many tasks
+        hosts = near.select("part", "host").distinct().join(named.where("close").select("host").distinct(), "host", "left_semi")
+        settled = named.join(hosts, ["part", "host"], "left_anti").select("key", "other", "shared")
+        final = settled if final is None else final.unionByName(settled)
+        links = pairs.where("close").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        if links.isEmpty():
+            break
+        joined = K.kept(connected(links).where("node <> label").select(F.col("node").alias("key"), "label"), "joined")
+        if merged is None:
+            merged = joined
+        else:
+            over = joined.select(F.col("key").alias("label"), F.col("label").alias("over"))
+            merged = K.kept(merged.join(over, "label", "left").select("key", F.coalesce("over", "label").alias("label")).unionByName(joined), "merged")
+        active = K.kept(near.join(hosts, ["part", "host"], "left_semi").join(joined, "key", "left_anti").select("key", "host", "path"), "active")
+    shared = final.select("key", "shared")
+    if merged is not None:
+        shared = shared.unionByName(_compare(merged.join(final.select(F.col("key").alias("label"), "other"), "label"), lines).select("key", "shared"))
+    shared = K.kept(shared.where(F.size("shared") > 0), "shared")
+    return shared.unionByName(copies.join(shared.withColumnRenamed("key", "head"), "head").select("key", "shared"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -192,10 +252,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.md5(F.concat_ws("\u0001", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), "html")))
     keyed = rows.select("key", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"), "html")
-    lines = K.kept(keyed.mapInArrow(_hashed, "key string, host string, path string, lines array<long>"), "lines").dropDuplicates(["key"])
-    near = neighbours(lines)
-    pairs = near.join(lines.select("key", "lines"), "key").join(lines.select(F.col("key").alias("other"), F.col("lines").alias("other_lines")), "other")
-    shared = pairs.select("key", "lines", "other_lines").mapInArrow(_compared, "key string, shared array<int>").where(F.size("shared") > 0)
+    lines = keyed.mapInArrow(_hashed, "key string, host string, path string, content binary, lines array<long>, sizes array<int>").dropDuplicates(["key"])
+    shared = repeated(K.kept(lines, "lines"))
     kind = rows.schema["page_id"].dataType.simpleString()
     out = rows.join(shared, "key", "left").select("page_id", "url", "html", "shared").mapInArrow(_texts, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
