@@ -64,6 +64,14 @@ def texts(spark, pages):
     return [r.text for r in sorted(H.main_text(frame).collect(), key=lambda r: r.page_id)]
 
 
+def test_site_lines_inside_articles_go_and_named_blocks_of_the_text_stay(spark):
+    page = lambda i: f"<article><div class='post-header'><h1>Title {i}</h1></div><p>Share this</p><div id='social-policy'>Policy of {i}</div><p>Text of number {i}, long enough.</p><div class='share-buttons'>Like</div></article>"
+    got = texts(spark, [(f"http://a.example/{i}", page(i)) for i in range(6)])
+    assert got == [f"Title {i}\nPolicy of {i}\nText of number {i}, long enough." for i in range(6)]
+    teaser = lambda i: f"<article><p>Teaser {i}</p></article><div>The whole text of page {i} is outside of it.</div><div>Terms</div>"
+    assert texts(spark, [(f"http://b.example/{i}", teaser(i)) for i in range(4)]) == [f"Teaser {i}\nThe whole text of page {i} is outside of it." for i in range(4)]
+
+
 def test_copies_are_no_neighbours(spark):
     page = lambda i, date="": f"<div>Welcome</div><div>Long text of page number {i}, which only this one has.</div><p>More of {i}, and more again.</p><p>{date}</p><div>Terms</div>"
     own = lambda i: f"Long text of page number {i}, which only this one has.\nMore of {i}, and more again."

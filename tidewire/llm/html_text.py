@@ -1,10 +1,10 @@
 """Main text of web pages by differencing pages with their nearest URL.
 
 A page is read into blocks of text.  Pages of a host are ordered by path, and each is paired with the neighbour that
-shares more of its path; the longest common subsequence of their blocks is what the site repeats, and goes.
-Blocks inside an article or main element are the page's own even where a copy repeats them; where a page has such an
-element, only its blocks are text.  Menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-that markup names as such are left out on every page.
+shares more of its path; the longest common subsequence of their blocks is what the site repeats, and goes, inside
+article and main elements too.  Of what is left, the blocks in such elements are the text if they hold at least half of its
+characters; else all are, as the element is a teaser.  Menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments that markup names as such are left out on every page, in an article only where the name is of the whole part.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ MAIN = {"article", "main"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "dl", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "caption", "thead", "tbody", "blockquote", "pre", "figure", "figcaption", "form", "fieldset", "address", "hr", "body", "html", "head", "details", "summary", "dialog", "menu"}
 PLAIN_PARTS = {"p", "li", "dt", "dd", "tr", "td", "th", "b", "i", "em", "strong", "a", "span", "u", "small", "font", "code", "sup", "sub", "q", "cite", "mark", "abbr", "time", "label", "html", "body"}
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|adsense|banner|sponsor(?:s|ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alert|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|replies|share|sharing|social|related|recommended|popup|modal|newsletter|subscribe|signup|paywall|widget|toolbar|pagination|pager|skip-link)(?:$|[\s_-]|\d)", re.I)
+# Inside an article or main element a whole class or id, or one of a list or box of such: "post-header" and "social-policy" are text.
+INNER = re.compile(r"(?:^|\s)(?:ads?|advert(?:s|isement|ising)?|adsense|banner|sponsor(?:s|ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|share|sharing|social|related|recommended|popup|modal|newsletter|subscribe|signup|paywall|widget|toolbar|pagination|pager|skip-link)(?:[_-](?:lists?|links?|buttons?|bar|box|section|widget|posts?|articles?|items?|stories|thread|form|area|container|wrapper|block|icons?|notice|banner|slot|unit|\d+))*(?:$|\s)", re.I)
 #: Pages that share this part of the longer one's characters are copies, and no evidence of what the site repeats.
 NEAR = 0.8
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
@@ -81,7 +83,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             main = state[0] or name in MAIN
             aside = state[1] or name in ASIDE or (name in FRAME_PARTS and not state[0])
             if not aside and name not in MAIN and name not in ("html", "body") and m[3]:
-                named = NAMED
+                named = INNER if main else NAMED
                 for a in NAMES.finditer(m[3]):
                     value = a[2] or a[3] or a[4] or ""
                     aside |= value.strip().lower() in ROLES if a[1].lower() == "role" else bool(named.search(value))
@@ -160,9 +162,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for page, shared in zip(part.column("html").to_pylist(), part.column("shared").to_pylist()):
             gone = set(shared or ())
-            found = own_blocks(page)
-            inner = any(main for _, main in found)
-            out.append("\n".join(t for k, (t, main) in enumerate(found) if (main if inner else k not in gone)))
+            left = [(t, main) for k, (t, main) in enumerate(own_blocks(page)) if k not in gone]
+            inner = [t for t, main in left if main]
+            most = inner and 2 * sum(map(len, inner)) >= sum(len(t) for t, _ in left)
+            out.append("\n".join(inner if most else (t for t, _ in left)))
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
