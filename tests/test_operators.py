@@ -122,3 +122,45 @@ def test_search(spark):
     assert got.keys() == {1, 2} and got[1] > got[2]
     assert search.concept_ranked(rows, [["pdf"], ["missing"]], {"name": 5}).count() == 0
     assert [r.id for r in search.reranked(rows, [["pdf"], ["tool"]], {"name": 5, "topics": 3}).collect()] == [1]
+
+
+def test_near_copies_collapse_as_in_order(spark):
+    import random
+    import re
+    from datetime import datetime, timezone
+
+    rng = random.Random(4)
+    vocab = ["openai", "gpt-5", "launch", "model", "apple", "iphone", "发布", "正式上线", "大模型", "new", "chip", "x1"]
+    rows = []
+    for i in range(120):
+        words = rng.sample(vocab, rng.randrange(2, 8)) if i < 20 or rng.random() < 0.3 else (lambda w: rng.sample(w, len(w) - (rng.random() < 0.4)))(rows[rng.randrange(len(rows))][1].split(" "))
+        at = rng.choice([None, *(f"2026-07-{d:02}T12:00:00" for d in (1, 3, 5, 20))])
+        rows.append(item(i, " ".join(words), rng.choice([None, "", "s"]), at=at, engagement=rng.choice([None, 5]), selected=rng.choice([None, True]), heat=rng.choice([None, 9])))
+
+    def tokens(t):
+        out = set(re.findall("[a-z0-9][a-z0-9.-]{2,}", t.lower()))
+        for run in re.findall("[\u2e80-\u9fff]+", t.lower()):
+            out |= {run} if len(run) == 1 else {run[k : k + 2] for k in range(len(run) - 1)}
+        return out
+
+    def like(x, y):
+        latin = [{t for t in z if re.match("[a-z0-9]", t)} for z in (x, y)]
+        agree = len(latin[0] & latin[1]) / min(map(len, latin)) >= 0.5 if all(latin) else not any(latin)
+        return min(len(x), len(y)) >= 4 and len(x & y) / len(x | y) >= 0.65 and agree
+
+    kept, gone = [], set()
+    for r in rows:
+        time = datetime.fromisoformat(r[5]).replace(tzinfo=timezone.utc).timestamp() if r[5] else 0
+        score = (2 if r[2] else 0) + (0.5 if r[8] else 0) + next((v for v in (r[6], r[10]) if v is not None), 0) * 1e-6
+        for k in kept:
+            if (time and k[2] and abs(time - k[2]) > 72 * 3600) or not like(tokens(r[1]), k[1]):
+                continue
+            gone.add(k[0] if score > k[3] else r[0])
+            if score > k[3]:
+                k[:] = [r[0], tokens(r[1]), time, score]
+            break
+        else:
+            kept.append([r[0], tokens(r[1]), time, score])
+    got = dedupe.collapse_near_dups(spark.createDataFrame(rows, ITEM).repartition(3))
+    assert len(gone) > 10 and sorted(r.id for r in got.collect()) == [i for i in range(120) if i not in gone]
+    assert dedupe.collapse_near_dups(spark.createDataFrame([], ITEM)).count() == 0

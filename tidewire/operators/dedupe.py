@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import title_key, url_key
+from tidewire.functions.text import jaccard, title_key, url_key
+from tidewire.operators.stories import components
+
+LIKENESS, LATIN, LEAST_TOKENS, NEAR_HOURS = 0.65, 0.5, 4, 72
 
 
 def richness() -> Column:
@@ -28,3 +32,63 @@ def by_title(rows: DataFrame) -> DataFrame:
     """Titles of eight or more characters after normalisation are keys; others are their own."""
     key = title_key(F.col("title"))
     return best_by(rows, F.when(F.length(key) >= 8, F.concat(F.lit("t:"), key)).otherwise(F.concat(F.lit("i:"), F.col("id").cast("string"))), richness())
+
+
+def near_tokens(c: Column) -> Column:
+    """Distinct ASCII words of three or more characters, CJK characters that stand alone, and pairs of neighbouring ones, in order."""
+    low = F.lower(c)
+    runs = F.regexp_extract_all(low, F.lit("[\\x{2E80}-\\x{9FFF}]+"), F.lit(0))
+    pairs = F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: r.substr(i, F.lit(2)))))
+    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9][a-z0-9.-]{2,}"), F.lit(0)), F.flatten(pairs))))
+
+
+def _like(x: set, y: set) -> bool:
+    both = len(x & y)
+    if both / (len(x) + len(y) - both) < LIKENESS:
+        return False
+    p, q = ({t for t in z if t[0] in "abcdefghijklmnopqrstuvwxyz0123456789"} for z in (x, y))
+    return len(p & q) / min(len(p), len(q)) >= LATIN if p and q else not p and not q
+
+
+def _collapsed(table: pa.Table) -> pa.Table:
+    """The ids that go, of items that may be like each other: each meets the kept ones in order, and of two alike the better stays."""
+    kept, gone = [], []
+    for r in sorted(table.to_pylist(), key=lambda r: r["ord"]):
+        tokens = set(r["tokens"])
+        for k in kept:
+            if (r["time"] and k["time"] and abs(r["time"] - k["time"]) > NEAR_HOURS * 3_600_000) or not _like(tokens, k["tokens"]):
+                continue
+            if r["score"] > k["score"]:
+                gone.append(k["id"])
+                k.update(r, tokens=tokens)
+            else:
+                gone.append(r["id"])
+            break
+        else:
+            kept.append(r | {"tokens": tokens})
+    return pa.table({"id": pa.array(gone, table.schema.field("id").type)})
+
+
+def collapse_near_dups(items: DataFrame, ord: str = "id") -> DataFrame:
+    """Items (unique id) without near copies: token Jaccard 0.65, within 72 hours where both times are known, four tokens, and half of the Latin tokens.
+
+    Items come in the order of ord.  Distinct token sets meet by the rarest tokens that sets so alike must share, and
+    each component of like sets is gone through in order: items of different components are never alike.
+    """
+    score = F.when(F.coalesce(F.length("summary"), F.lit(0)) > 0, 2.0).otherwise(0.0) + F.when(F.col("ai_selected"), 0.5).otherwise(0.0) + F.coalesce("engagement", "heat", F.lit(0)) * 1e-6
+    time = F.coalesce(F.unix_millis(F.try_to_timestamp("published_at")), F.lit(0))
+    rows = items.select("id", F.col(ord).alias("ord"), near_tokens(F.coalesce("title", F.lit(""))).alias("tokens"), time.alias("time"), score.alias("score"))
+    rows = rows.where(F.size("tokens") >= LEAST_TOKENS).withColumn("set", F.md5(F.concat_ws(" ", "tokens")))
+    sets = rows.select("set", "tokens").dropDuplicates(["set"])
+    each = sets.select("set", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    ranked = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    place = F.row_number().over(Window.partitionBy("set").orderBy("df", "token"))
+    some = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * LIKENESS - 1e-9) + 1)
+    x, y = (some.select("token", F.col("set").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    met = x.join(y, "token").where("a < b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * LIKENESS - 1e-9).select("a", "b").distinct()
+    met = met.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
+    links = met.where(jaccard(F.col("x"), F.col("y")) >= LIKENESS).select("a", "b")
+    named = rows.join(components(links).withColumnRenamed("id", "set"), "set", "left").withColumn("story", F.coalesce("story", "set")).drop("set")
+    several = named.groupBy("story").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("story")
+    gone = named.join(several, "story", "left_semi").groupBy("story").applyInArrow(_collapsed, f"id {items.schema['id'].dataType.simpleString()}")
+    return items.join(gone, "id", "left_anti")

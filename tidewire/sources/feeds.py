@@ -1,4 +1,4 @@
-"""Feed documents as items: RSS 2.0, RDF and Atom, parsed with Spark's XML functions."""
+"""Feed documents as items: RSS 2.0, parsed with Spark's XML functions."""
 
 from __future__ import annotations
 
