@@ -90,3 +90,14 @@ def test_empty_repeated_and_null_ids(spark):
     assert len(got) == 5 and {r.class_id for r in got if r.doc_id in (2, 3)} == {2}
     kept = N.deduplicated(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3]
+
+
+def test_texts_that_differ_in_repeats_only_are_found(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        block, rest = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (20, 60))
+        rows += [(2 * g, " ".join(block * 50 + rest)), (2 * g + 1, " ".join(block * 3 + rest))]
+    members, links = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in members.collect()} == {i: i - i % 2 for i in range(24)}
+    assert all(r.similarity < 0.6 and r.jaccard >= 0.8 for r in links.collect())

@@ -4,7 +4,8 @@ A text is a multiset of shingles of five words (lower-cased A-Z; words of ASCII
 from 128).  Each distinct shingle is a Poisson process whose rate is its count; each arrival falls into one
 of the registers at random, and a register keeps the shingle that arrives first.  An element stops as soon
 as its next arrival is later than the latest register (early termination).  The share of equal registers
-estimates the probability Jaccard of two texts.  Bands of registers give candidates, candidates are
+estimates the probability Jaccard of two texts.  A text with repeated shingles has a second sketch in which each counts
+once, and so estimates the plain Jaccard; for other texts both are the same.  Bands of registers of both give candidates, candidates are
 verified on the whole texts, and verified links are joined into classes.
 """
 
@@ -70,7 +71,7 @@ def sketches(hashes: np.ndarray, counts: np.ndarray, firsts: np.ndarray, registe
 
 def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One key for each band of each sketch."""
-    rows = sketch.reshape(len(sketch), bands, -1)
+    rows = sketch.reshape(len(sketch), bands, sketch.shape[1] // bands)
     total = np.zeros(rows.shape[:2], U64) + np.arange(1, bands + 1, dtype=U64) * K.GOLDEN
     for k in range(rows.shape[2]):
         total = K.mix(total + rows[:, :, k])
@@ -101,20 +102,32 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in K.slices(batches, "text"):
         hashes, counts, firsts = weighted(part.column("text"))
         sketch = sketches(hashes, counts, firsts)
-        keys = band_keys(sketch).view(np.int64)
-        marks = pa.array([row.tobytes() for row in (sketch & U64(255)).astype(np.uint8)], pa.binary())
-        some = np.diff(firsts) > 0
-        offsets = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
-        bands = pa.ListArray.from_arrays(offsets, pa.array(keys[some].ravel()))
+        keys = [*band_keys(sketch).view(np.int64)]
+        marks = [row.tobytes() for row in (sketch & U64(255)).astype(np.uint8)]
+        owner, sizes = K.owners(firsts), np.diff(firsts)
+        again = np.flatnonzero(np.bincount(owner[counts > 1], minlength=len(sizes)))
+        own = hashes[np.isin(owner, again)]
+        plain = sketches(own, np.ones(len(own), np.int64), np.concatenate(([0], np.cumsum(sizes[again]))))
+        for k, row, more in zip(again, (plain & U64(255)).astype(np.uint8), band_keys(plain).view(np.int64)):
+            keys[k], marks[k] = np.union1d(keys[k], more), marks[k] + row.tobytes()
+        marks, bands = pa.array(marks, pa.binary()), pa.array([x if n else [] for x, n in zip(keys, sizes)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fp"), bands, marks], ["doc_id", "fp", "bands", "marks"])
 
 
+def _both_marks(column: pa.Array) -> np.ndarray:
+    """The marks of both sketches of each text; those of one are both."""
+    data, offsets = K.buffers(column)
+    first = np.asarray(offsets[:-1], np.int64)
+    second = np.asarray(offsets[1:], np.int64) - REGISTERS
+    return data[np.stack([first, second], 1)[:, :, None] + np.arange(REGISTERS)]
+
+
 def _near(least: float):
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (K.buffers(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("a_marks", "b_marks"))
-                batch = batch.filter(pa.array((a == b).mean(axis=1) >= least))
+                a, b = (_both_marks(batch.column(c)) for c in ("a_marks", "b_marks"))
+                batch = batch.filter(pa.array((a == b).mean(axis=2).max(axis=1) >= least))
             yield batch.select(["a", "b"])
 
     return near
