@@ -101,3 +101,10 @@ def test_texts_that_differ_in_repeats_only_are_found(spark):
     members, links = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.class_id for r in members.collect()} == {i: i - i % 2 for i in range(24)}
     assert all(r.similarity < 0.6 and r.jaccard >= 0.8 for r in links.collect())
+
+
+def test_one_row_of_each_class_stays_where_ids_repeat(spark):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(1, words("a")), (1, words("b")), (2, words("b")), (2, words("c")), (None, words("d")), (None, words("d") + " x"), (None, words("e")), (3, words("d"))]
+    got = N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "d"), (0, "e"), (1, "a"), (1, "b"), (2, "c"), (3, "d")]

@@ -194,7 +194,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     pairs that share a bucket, and a bucket of copies isn't paired in full.  Pairs go to verification if
     the registers' last bytes agree enough.
     """
-    spark: SparkSession = docs.sparkSession
+    sketched, nodes, labelled, links = _classes(docs, threshold)
+    members = sketched.select("doc_id", "fp").join(labelled, "fp").select("doc_id", "class_id", "class_size")
+    named = nodes.select("fp", "least")
+    links = links.join(named.select(F.col("fp").alias("a"), F.col("least").alias("a_id")), "a").join(named.select(F.col("fp").alias("b"), F.col("least").alias("b_id")), "b")
+    return members, links.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity", "jaccard")
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, fp), nodes (fp, least), classes (fp, label, class_id, class_size) and links of fingerprints."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("fp", F.unhex(F.md5("text")))
     sketched = K.kept(base.mapInArrow(_sketched, "doc_id long, fp binary, bands array<long>, marks binary"), "sketches")
@@ -224,23 +232,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
         done, others = others, 8 * others
     labelled = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    labelled = K.kept(labelled.join(ids, "label").select("fp", "class_id", "class_size", "least"), "classes")
-    members = sketched.select("doc_id", "fp").join(labelled, "fp").select("doc_id", "class_id", "class_size")
-    named = nodes.select("fp", "least")
-    links = links.join(named.select(F.col("fp").alias("a"), F.col("least").alias("a_id")), "a").join(named.select(F.col("fp").alias("b"), F.col("least").alias("b_id")), "b")
-    return members, links.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity", "jaccard")
+    labelled = K.kept(labelled.join(ids, "label").select("fp", "label", "class_id", "class_size"), "classes")
+    return sketched, nodes, labelled, links
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with one row left of each class: the one with the least doc_id, then the least text.
+    """The rows of docs, with one row left of each class: the one with the least doc_id, then the least text hash.
 
+    Rows with a null doc_id are held against each other only: a class keeps one of them beside that with an id.
     Empty texts are no near-duplicates and all stay.  The columns of docs are kept as they are.
     """
-    members, _ = near_duplicates(docs, threshold)
-    keep = members.where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    words = F.coalesce(F.col("text"), F.lit("")).rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]")
-    some = docs.where(words).join(keep, docs["doc_id"].cast("long") == F.col("__keep"), "left_semi")
-    return some.dropDuplicates(["doc_id"]).unionByName(docs.where(~words | F.col("doc_id").isNull()))
+    rows, _, labelled, _ = _classes(docs, threshold)
+    best = rows.join(labelled, "fp").groupBy("label", F.isnull("doc_id")).agg(F.min(F.struct("doc_id", "fp")).alias("k"))
+    best = best.select(F.col("k.doc_id").alias("__keep"), F.col("k.fp").alias("__text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = text.rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]")
+    some = docs.where(words).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__fp", F.unhex(F.md5(text)))
+    some = some.join(best, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__fp") == F.col("__text")), "left_semi")
+    return some.dropDuplicates(["__id", "__fp"]).drop("__id", "__fp").unionByName(docs.where(~words))
 
 
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
