@@ -16,7 +16,8 @@ def plain(text):
 
 
 def jp(x, y):
-    return sum(1 / sum(max(x[d] / x[e], y[d] / y[e]) for d in x.keys() | y.keys()) for e in x.keys() & y.keys())
+    kinds = Counter((x[d], y[d]) for d in x.keys() | y.keys())
+    return sum(n / sum(m * max(c / a, d / b) for (c, d), m in kinds.items()) for (a, b), n in kinds.items() if a and b)
 
 
 def made(seed=1):
@@ -108,3 +109,66 @@ def test_one_row_of_each_class_stays_where_ids_repeat(spark):
     rows = [(1, words("a")), (1, words("b")), (2, words("b")), (2, words("c")), (None, words("d")), (None, words("d") + " x"), (None, words("e")), (3, words("d"))]
     got = N.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "d"), (0, "e"), (1, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
+def crowd(n, repeats):
+    """n different near copies of one text, from nearly equal to hardly alike, and whether lines repeat in them."""
+    rng = random.Random(11 + repeats)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    line = [f"l{rng.randrange(10**6)}" for _ in range(8)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 3])] = [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 2]))]
+        texts.append(" ".join(w + line * (rng.choice([4, 4, 5]) if repeats else 0)))
+    return texts
+
+
+def roots(bags, threshold=0.8):
+    parent = list(range(len(bags)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    linked = []
+    for i in range(len(bags)):
+        for j in range(i):
+            x, y = bags[i], bags[j]
+            if max(len(x.keys() & y.keys()) / len(x.keys() | y.keys()), jp(x, y)) >= threshold:
+                linked.append((j, i))
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(bags))], linked
+
+
+@pytest.mark.parametrize("repeats", [0, 1])
+def test_blocks_of_one_bucket_give_the_classes_of_all_pairs(spark, repeats):
+    texts = crowd(70, repeats)
+    bags = [plain(t) for t in texts]
+    want, _ = roots(bags)
+    assert len(set(want)) > 3
+    names = [bytes([i]) for i in range(len(texts))]
+    apart = spark.createDataFrame([(1, f, f, True) for f in names], "key long, fp binary, label binary, left boolean")
+    nodes = spark.createDataFrame(list(zip(names, texts)), "fp binary, text string")
+    cells = N._cells(apart, nodes, 20, 1 << 20)
+    assert {(r.i, r.j) for r in cells.select("i", "j").distinct().collect()} == {(i, j) for j in range(4) for i in range(j + 1)}
+    got = cells.groupBy("key", "i", "j").applyInArrow(N._met(0.8), "a binary, b binary, similarity double, jaccard double").collect()
+    assert len(got) < 10 * len(texts)
+    assert all(max(r.similarity, r.jaccard) >= 0.8 for r in got)
+    group = {f: i for i, f in enumerate(names)}
+    for _ in names:
+        for r in got:
+            group[bytes(r.a)] = group[bytes(r.b)] = min(group[bytes(r.a)], group[bytes(r.b)])
+    assert [group[f] for f in names] == want
+
+
+def test_recall_in_a_large_group_of_near_copies(spark):
+    texts = crowd(150, 1)
+    want, linked = roots([plain(t) for t in texts])
+    members, _ = N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.class_id for r in members.collect()}
+    assert sum(got[i] == got[j] for i, j in linked) >= 0.99 * len(linked)
+    assert all(want[i] == want[c] for i, c in got.items())

@@ -25,7 +25,10 @@ U64 = np.uint64
 REGISTERS, BANDS, THRESHOLD, WIDTH = 256, 32, 0.8, 5
 #: Pairs whose registers agree this much less than the threshold aren't verified: eight standard deviations.
 SLACK = 0.2
-FIRST_OTHERS = 64
+#: Texts and bytes of text in a block of a bucket; two blocks meet in a task.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+#: Shingles for which two blocks are compared at once.
+COLUMNS = 4096
 
 
 def weighted(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,13 +171,113 @@ def _verify(pairs: DataFrame, texts: DataFrame, marks: DataFrame, threshold: flo
 
 
 def _apart(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, fp, n, label, head_label) of the buckets whose nodes aren't all in one class."""
+    """(key, fp, label, left) of the buckets of three or more nodes that aren't all in one class; left: not in the head's class."""
     known = classes.select(F.col("node").alias("fp"), "label")
-    named = buckets.select("key", "fp", "n", F.col("head.fp").alias("head_fp")).join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = buckets.where("n > 2").select("key", "fp", F.col("head.fp").alias("head_fp")).join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = named.join(known.select(F.col("fp").alias("head_fp"), F.col("label").alias("head_label")), "head_fp", "left").withColumn("head_label", F.coalesce("head_label", "head_fp"))
     named = K.kept(named.drop("head_fp"), "named")
     open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return named.join(open_keys, "key", "left_semi")
+    return named.join(open_keys, "key", "left_semi").select("key", "fp", "label", (F.col("label") != F.col("head_label")).alias("left"))
+
+
+def _cells(apart: DataFrame, texts: DataFrame, rows: int, size: int) -> DataFrame:
+    """apart with texts, dealt into cells (key, i, j) of two blocks of a bucket; every two nodes of a bucket meet in one cell."""
+    sized = apart.join(texts.select("fp", F.octet_length("text").alias("bytes")), "fp")
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("bytes") / size), F.lit(1)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
+    dealt = apart.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "label", "left").join(texts, "fp")
+
+
+def _counted(ids: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, values: tuple[np.ndarray, ...], pairs: tuple[tuple[int, int], ...]) -> list[np.ndarray]:
+    """For each pair (p, q) of value arrays, the sums over common ids of values p of each left text times values q of each text."""
+    _, column, many = np.unique(ids, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(many > 1)
+    place = np.full(len(many), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    order = np.argsort(column, kind="stable")
+    edges = np.searchsorted(column[order], np.arange(0, len(shared) + COLUMNS, COLUMNS))
+    out = [np.zeros((len(left), n), np.float32) for _ in pairs]
+    for k, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
+        o = order[s:e]
+        dense = []
+        for v in values:
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[owner[o], column[o] - k * COLUMNS] = v[o]
+            dense.append(m)
+        for total, (p, q) in zip(out, pairs):
+            total += dense[p][left] @ dense[q].T
+    return out
+
+
+def _spanning(near: np.ndarray, left: np.ndarray, labels: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs of `near` (left texts by all texts) that join the labelled classes as far as all of its pairs do, and the labels after that."""
+    out: list[tuple[int, int]] = []
+    while True:
+        found = []
+        for worst, seek in ((len(labels), np.argmin), (-1, np.argmax)):
+            seen = np.where(near, labels[None, :], worst)
+            at = seek(seen, axis=1)
+            other = seen[np.arange(len(left)), at]
+            go = np.flatnonzero((other != worst) & (other != labels[left]))
+            found.extend(zip(left[go].tolist(), at[go].tolist()))
+        if not found:
+            return out, labels
+        parent = np.arange(len(labels))
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for x, y in found:
+            p, q = root(labels[x]), root(labels[y])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((x, y))
+        labels = np.array([root(c) for c in range(len(parent))])[labels]
+
+
+def _met(threshold: float):
+    def met(table: pa.Table) -> pa.Table:
+        """Links that join classes of a cell: of all pairs of a left text and another, compared whole."""
+        n = table.num_rows
+        left = np.flatnonzero(table.column("left").to_numpy())
+        parts = [weighted(part.column("text")) for batch in table.select(["text"]).combine_chunks().to_batches() for part in K.slices(iter([batch]), "text")]
+        hashes, counts = (np.concatenate([part[k] for part in parts]) for k in (0, 1))
+        sizes = np.concatenate([np.diff(part[2]) for part in parts])
+        firsts = np.concatenate(([0], np.cumsum(sizes)))
+        owner, ones = K.owners(firsts), np.ones(len(hashes), np.float32)
+        _, labels = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+        (both,) = _counted(hashes, owner, n, left, (ones,), ((0, 0),))
+        near = both / np.maximum(sizes[left][:, None] + sizes[None, :] - both.astype(float), 1) >= threshold
+        near[np.arange(len(left)), left] = False
+        pairs, labels = _spanning(near, left, labels)
+        repeats = np.bincount(owner[counts > 1], minlength=n) > 0
+        if repeats.any():
+            # terms of the probability Jaccard whose counts agree have this bound, the others at most their share of either text
+            weights = np.bincount(owner, counts, n)
+            of_left, of_other = _counted(hashes, owner, n, left, (ones, counts.astype(np.float32)), ((1, 0), (0, 1)))
+            (even,) = _counted(K.mix(hashes) + counts.astype(U64), owner, n, left, (ones, counts.astype(np.float32)), ((1, 0),))
+            w, v = weights[left][:, None], weights[None, :]
+            bound = even / np.maximum(w + v - np.minimum(of_left, of_other), 1) + np.minimum((of_left - even) / np.maximum(w, 1), (of_other - even) / np.maximum(v, 1))
+            likely = (bound >= threshold - 1e-6) & (repeats[left][:, None] | repeats[None, :]) & (labels[left][:, None] != labels[None, :])
+            for i, y in zip(*np.nonzero(likely)):
+                x = left[i]
+                if labels[x] != labels[y]:
+                    a, b = slice(firsts[x], firsts[x + 1]), slice(firsts[y], firsts[y + 1])
+                    if similarity(hashes[a], counts[a], hashes[b], counts[b])[0] >= threshold:
+                        pairs.append((int(x), int(y)))
+                        labels = np.where(labels == labels[y], labels[x], labels)
+        fps, rows = table.column("fp").to_pylist(), []
+        for x, y in pairs:
+            a, b = slice(firsts[x], firsts[x + 1]), slice(firsts[y], firsts[y + 1])
+            rows.append((min(fps[x], fps[y]), max(fps[x], fps[y]), *similarity(hashes[a], counts[a], hashes[b], counts[b])))
+        cols = list(zip(*rows)) or [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.float64(), pa.float64()))], ["a", "b", "similarity", "jaccard"])
+
+    return met
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -188,11 +291,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     Rows with equal texts are one node; repeated rows are kept, each with its class.  A null doc_id stays
     null and sorts first.  Other columns are ignored.
 
-    In a bucket of a band, all nodes are first paired with the bucket's least node only.  Where a bucket's nodes are
-    not all in one class after that, those outside its head's class meet nodes of other classes: about 64 of the
-    bucket drawn by hash, then eight times as many, until all have been met.  The classes are those of all
-    pairs that share a bucket, and a bucket of copies isn't paired in full.  Pairs go to verification if
-    the registers' last bytes agree enough.
+    In a bucket of a band, all nodes are first paired with the bucket's least node only; those go to verification whose
+    registers' last bytes agree enough.  Where a bucket's nodes are not all in one class after that, those outside its
+    head's class are held against all of the bucket, block by block inside tasks; only links that join classes leave a task.
+    The classes are those of all pairs that share a bucket; of the links, enough to join each class are returned.
     """
     sketched, nodes, labelled, links = _classes(docs, threshold)
     members = sketched.select("doc_id", "fp").join(labelled, "fp").select("doc_id", "class_id", "class_size")
@@ -201,7 +303,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     return members, links.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity", "jaccard")
 
 
-def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _classes(docs: DataFrame, threshold: float, blocks: tuple[int, int] = (BLOCK_ROWS, BLOCK_BYTES)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, fp), nodes (fp, least), classes (fp, label, class_id, class_size) and links of fingerprints."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("fp", F.unhex(F.md5("text")))
@@ -216,20 +318,12 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
 
     pairs = buckets.where(F.col("head.fp") != F.col("fp")).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
     links = K.kept(_verify(pairs, texts, marks, threshold), "links")
-    most = buckets.agg(F.max("n")).first()[0] or 0
-    done, others = 2, FIRST_OTHERS
-    while True:
-        classes = connected(links)
-        if done >= most:
-            break
-        rest = _apart(buckets, classes).where(F.col("n") > done)
-        # the draw is the same in all buckets of a size, so that buckets of one group pair the same nodes
-        drawn = rest.where((F.col("n") <= others) | (F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < others / F.col("n") * (1 << 30)))
-        met = rest.where("label <> head_label").select("key", F.col("fp").alias("x"), F.col("label").alias("x_label"))
-        met = met.join(drawn.select("key", F.col("fp").alias("y"), F.col("label").alias("y_label")), "key").where("x_label <> y_label")
-        found = K.kept(_verify(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), texts, marks, threshold), "links")
+    classes = connected(links)
+    apart = K.kept(_apart(buckets, classes), "apart")
+    if not apart.isEmpty():
+        found = _cells(apart, texts, *blocks).groupBy("key", "i", "j").applyInArrow(_met(threshold), "a binary, b binary, similarity double, jaccard double")
         links = K.kept(links.unionByName(found).dropDuplicates(["a", "b"]), "links")
-        done, others = others, 8 * others
+        classes = connected(links)
     labelled = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     ids = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     labelled = K.kept(labelled.join(ids, "label").select("fp", "label", "class_id", "class_size"), "classes")
