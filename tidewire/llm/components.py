@@ -21,7 +21,6 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         near = edges.join(labels, edges.y == labels.node).groupBy("x").agg(F.min("label").alias("near"))
         best = labels.join(near, labels.node == near.x, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("best"))
-        best = kept(best, "best")
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("over"))
         after = kept(best.join(up, best.best == up.up, "left").select("node", F.col("label").alias("was"), F.least("best", F.coalesce("over", "best")).alias("label")), "labels")
         if after.where("label <> was").isEmpty():
