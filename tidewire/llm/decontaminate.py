@@ -8,7 +8,6 @@ window are hit; hit spans are cut out, and documents that are mostly benchmark t
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,10 @@ from tidewire.llm import kernels as K
 
 U64 = np.uint64
 WINDOW = 10
-#: Most item words in one automaton; a larger benchmark is cut into several, each streamed in turn.
-MAX_WORDS = 2_000_000
+#: Item words in one automaton (a longer item has its own): some 100 MB.  A larger benchmark is cut into several, of which the
+#: driver and each task hold one at a time.
+MAX_WORDS = 200_000
+SPANS = "array<struct<start: int, end: int>>"
 
 
 class SuffixAutomaton:
@@ -125,28 +126,28 @@ class SuffixAutomaton:
         return state
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> list[SuffixAutomaton]:
-    """Automata of benchmark rows (item_id, text), of at most max_words words each.
+def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> Iterator[SuffixAutomaton]:
+    """Automata of benchmark rows (item_id, text), of about max_words words each, one after another.
 
-    Rows without words are left out; a null item_id is left out.  The driver streams the items, and holds
-    one automaton's words at a time before they are broadcast.
+    Rows without words are left out; a null item_id is left out.  The driver streams the items.
     """
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
-    out, items, size = [], [], 0
+    items, size = [], 0
     for row in rows.toLocalIterator():
         data, offsets = K.buffers(pa.array([row.text], pa.string()))
         starts, ends, _ = K.words(data, offsets, K.LETTERS)
         if not len(starts):
             continue
         if items and size + len(starts) > max_words:
-            out.append(SuffixAutomaton(items, window))
+            yield SuffixAutomaton(items, window)
             items, size = [], 0
         items.append((row.item_id, K.span_hashes(data, starts, ends)))
         size += len(starts)
-    return [*out, SuffixAutomaton(items, window)] if items else out
+    if items:
+        yield SuffixAutomaton(items, window)
 
 
-def _scan(column: pa.Array, machines: list[SuffixAutomaton]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+def _scan(column: pa.Array, machine: SuffixAutomaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
     """(word starts, ends, firsts, hit flags, items per text).
 
     Only runs of words whose every adjacent pair occurs in some item go through the automaton: no window
@@ -158,40 +159,77 @@ def _scan(column: pa.Array, machines: list[SuffixAutomaton]) -> tuple[np.ndarray
     hit = np.zeros(len(hashes), bool)
     found: list[set[str]] = [set() for _ in range(len(column))]
     owner = K.owners(firsts)
-    for machine in machines:
-        ids = K.membership(hashes, machine.words)
-        known = ids >= 0
-        joined = np.zeros(len(ids), bool)  # this word and the one before are a pair of some item
-        if len(ids) > 1:
-            near = np.flatnonzero(known[1:] & known[:-1] & (owner[1:] == owner[:-1])) + 1
-            joined[near[K.membership(ids[near - 1] * len(machine.words) + ids[near], machine.bigrams) >= 0]] = True
-        begins = np.flatnonzero(known & ~joined)
-        runs = np.append(np.flatnonzero(~joined), len(ids))
-        stops = runs[np.searchsorted(runs, begins, "right")]
-        long = stops - begins >= machine.shortest
-        for b, e in zip(begins[long].tolist(), stops[long].tolist()):
-            lengths, items = machine.matched(ids[b:e].tolist())
-            if items:
-                found[owner[b]].update(machine.names[k] for k in items)
-                for k, n in enumerate(lengths):
-                    if n:
-                        hit[b + k - n + 1 : b + k + 1] = True
+    ids = K.membership(hashes, machine.words)
+    known = ids >= 0
+    joined = np.zeros(len(ids), bool)  # this word and the one before are a pair of some item
+    if len(ids) > 1:
+        near = np.flatnonzero(known[1:] & known[:-1] & (owner[1:] == owner[:-1])) + 1
+        joined[near[K.membership(ids[near - 1] * len(machine.words) + ids[near], machine.bigrams) >= 0]] = True
+    begins = np.flatnonzero(known & ~joined)
+    runs = np.append(np.flatnonzero(~joined), len(ids))
+    stops = runs[np.searchsorted(runs, begins, "right")]
+    long = stops - begins >= machine.shortest
+    for b, e in zip(begins[long].tolist(), stops[long].tolist()):
+        lengths, items = machine.matched(ids[b:e].tolist())
+        if items:
+            found[owner[b]].update(machine.names[k] for k in items)
+            for k, n in enumerate(lengths):
+                if n:
+                    hit[b + k - n + 1 : b + k + 1] = True
     return starts, ends, firsts, hit, found
 
 
-def _reported(machines):
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def _hits(shared):
+    """(digest, spans, items) of the texts that have hits: word ranges and item ids."""
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in K.slices(batches, "text"):
-            _, _, firsts, hit, found = _scan(part.column("text"), machines.value)
-            total = np.concatenate(([0], np.cumsum(hit)))
-            n_hit = total[firsts[1:]] - total[firsts[:-1]]
-            digests = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(firsts), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(digests), pa.array(n_hit > 0)],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            _, _, firsts, hit, found = _scan(part.column("text"), shared.value)
+            some = [k for k, x in enumerate(found) if x]
+            spans = [[{"start": a, "end": b} for a, b in _ranges(hit[firsts[k] : firsts[k + 1]])] for k in some]
+            kinds = (pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(some, pa.int64())), pa.array(spans, kinds[0]), pa.array([sorted(found[k]) for k in some], kinds[1])], ["digest", "spans", "items"])
+
+    return hits
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """(digest, spans, items) of the different texts that hold windows, by the MD5 of the text: spans are word ranges [start, end), which may
+    overlap where several automata found them; items are sorted ids.
+
+    Each automaton is broadcast, used and destroyed before the next one is built.
+    """
+    spark = docs.sparkSession
+    rows, out = docs.select(F.md5(_text()).alias("digest"), _text().alias("text")), None
+    for machine in automata(benchmark, window, max_words):
+        shared = spark.sparkContext.broadcast(machine)
+        some = K.kept(rows.mapInArrow(_hits(shared), f"digest string, spans {SPANS}, items array<string>"), "hits")
+        shared.destroy()
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        return rows.where("false").select("digest", F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    merged = out.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return merged
+
+
+def _covered(spans: Column) -> Column:
+    """Words in sorted ranges that may overlap."""
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), (acc["n"] + F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0))).alias("n"))
+    return F.aggregate(spans, first, step, lambda acc: acc["n"])
+
 
-    return report
+def _n_words() -> Column:
+    return F.regexp_count(_text(), F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")).cast("long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
@@ -200,36 +238,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Null texts have no words.  One row per input row, repeated rows and null ids included; other columns
     are ignored.  Item ids that tie count once.  Without items nothing is hit.
     """
-    machines = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, max_words))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_reported(machines), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def _cut(machines, min_words: int):
-    @F.arrow_udf("struct<clean: string, coverage: double, spans: array<struct<start: long, end: long>>>")
-    def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in texts:
-            batch = pa.RecordBatch.from_arrays([column], ["text"])
-            rows = []
-            for part in K.slices([batch], "text"):
-                given = part.column("text")
-                starts, ends, firsts, hit, _ = _scan(given, machines.value)
-                _, offsets = K.buffers(given)
-                for k in range(len(given)):
-                    f, t = int(firsts[k]), int(firsts[k + 1])
-                    flags = hit[f:t]
-                    if not flags.any():
-                        rows.append({"clean": given[k].as_py(), "coverage": 0.0, "spans": []})
-                        continue
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-                    spans = [(int(starts[f + a] - offsets[k]), int(ends[f + b - 1] - offsets[k])) for a, b in zip(edge[::2], edge[1::2]) if b - a >= min_words]
-                    raw, at, left = given[k].as_py().encode(), 0, []
-                    for a, b in spans:
-                        left.append(raw[at:a])
-                        at = b
-                    left.append(raw[at:])
-                    rows.append({"clean": b"".join(left).decode(), "coverage": float(flags.mean()), "spans": [{"start": len(raw[:a].decode()), "end": len(raw[:b].decode())} for a, b in spans]})
-            yield pa.array(rows, pa.struct([("clean", pa.string()), ("coverage", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+    found = hits(docs, benchmark, window, max_words)
+    rows = docs.select("doc_id", F.md5(_text()).alias("digest"), _n_words().alias("n_words")).join(found, "digest", "left")
+    n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def _cut(min_words: int):
+    @F.arrow_udf("string")
+    def cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Texts without their word ranges of min_words or more."""
+        for texts, spans in columns:
+            out = []
+            for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+                data, offsets = K.buffers(pa.array([text], pa.string()))
+                starts, ends, _ = K.words(data, offsets, K.LETTERS)
+                flags = np.zeros(len(starts), bool)
+                for s in found:
+                    flags[s["start"] : s["end"]] = True
+                raw, at, left = data.tobytes(), 0, []
+                for a, b in _ranges(flags):
+                    if b - a >= min_words:
+                        left.append(raw[at : starts[a]])
+                        at = ends[b - 1]
+                out.append(b"".join([*left, raw[at:]]).decode())
+            yield pa.array(out, pa.string())
 
     return cut
 
@@ -238,20 +272,23 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """docs without benchmark passages: hit spans of min_words or more are cut out of the text.
 
     A document whose hit words are more than max_coverage of its words is dropped.  Documents without a hit
-    pass unchanged, null texts too.  n_chars, where docs has it, follows a changed text.
+    pass unchanged, null texts too.  n_chars, where docs has it, follows a changed text.  Other columns pass, whatever their names.
     """
-    machines = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
-    cut = _cut(machines, min_words)(F.col("text")).alias("__cut")
-    out = docs.select("*", cut).where(F.col("__cut.coverage") <= max_coverage)
+    found = hits(docs, benchmark, window)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"), F.md5(_text()).alias("digest")).join(found, "digest", "left")
+    hit = F.col("spans").isNotNull()
+    rows = rows.where(~hit | (_covered(F.col("spans")) <= max_coverage * _n_words()))
+    same = rows.where(~hit).withColumn("clean", F.col("text"))
+    changed = rows.where(hit).withColumn("clean", _cut(min_words)(F.col("text").cast("string"), F.col("spans")))
     columns: list[Column] = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.when(F.col("text").isNotNull(), F.col("__cut.clean")).alias("text"))
+            columns.append(F.col("clean").alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__cut.coverage") > 0, F.length("__cut.clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            columns.append(F.when(hit, F.length("clean")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
-            columns.append(F.col(f"`{c}`"))
-    return out.select(*columns)
+            columns.append(F.col(f"row.`{c}`"))
+    return same.unionByName(changed).select(*columns)
 
 
 def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -145,9 +146,9 @@ class WordEncoder:
                 new = np.arange(len(fresh))
             raw = data.tobytes()
             got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[s:e].decode() for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist())], add_special_tokens=False)]
-            counts = np.array([len(x) for x in got])
+            counts = np.fromiter(map(len, got), np.int64, len(got))
             begun = len(self.ids)
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.int32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum()))])
             every = np.concatenate([self.keys, fresh[new]])
             order = np.argsort(every, kind="stable")
             self.keys = every[order]
@@ -183,12 +184,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     odd = ((data >= 0x80) & ~lead & ~((data == 0xC3) & np.concatenate((lead[1:], [False])))) | (data == 39) | (data == 60) | (data == 0)
     total = np.concatenate(([0], np.cumsum(odd)))
     plain = total[ends] == total[starts]
-    piece = np.repeat(np.arange(len(starts)), ends - starts)
-    at = K.ragged(starts, ends - starts)
-    inner = at[cut[at] & plain[piece]]
-    inner = inner[~np.isin(inner, starts)]
-    all_starts = np.sort(np.concatenate([starts, inner]))
-    all_ends = np.sort(np.concatenate([ends, inner]))
+    inner = np.flatnonzero(cut)
+    own = np.searchsorted(starts, inner, "right") - 1
+    inner = inner[(own >= 0) & (inner > starts[own]) & (inner < ends[own]) & plain[own]]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = edge[inner] = True
+    all_starts = np.flatnonzero(edge)
+    edge[starts] = False
+    edge[ends] = True
+    all_ends = np.flatnonzero(edge[1:]) + 1
     return all_starts, all_ends, np.searchsorted(all_starts, offsets)
 
 

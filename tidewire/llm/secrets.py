@@ -117,13 +117,17 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[REDACTED]", scope: int = SCOPE) -> DataFrame:
     """docs with every span of the scan replaced by mark; spans that overlap are one.
 
-    Rows without a span pass unchanged, null texts too; n_chars, where docs has it, follows a changed text.
+    Rows without a span pass unchanged, null texts too; n_chars, where docs has it, follows a changed text.  Other columns pass,
+    whatever their names.  Each text is located once.
     """
+    from tidewire.llm.kernels import kept
+
     columns = docs.columns
-    located = _located(docs)
-    plain = located.where(F.size("__weak") == 0).withColumn("__linked", F.array().cast(f"array<{SPAN}>"))
+    located = kept(_located(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), "doc_id", "text")), "located")
+    none = F.array().cast(f"array<{SPAN}>")
+    plain = located.where(F.size("__weak") == 0).withColumn("__linked", none)
     rare = located.where(F.size("__weak") > 0)
-    rare = rare.join(linked(_located(docs.select("doc_id", "text")).drop("text"), scope), "__key", "left").withColumn("__linked", F.coalesce("__linked", F.array().cast(f"array<{SPAN}>")))
+    rare = rare.join(linked(rare, scope), "__key", "left").withColumn("__linked", F.coalesce("__linked", none))
     both = plain.unionByName(rare).withColumn("__spans", F.array_sort(F.concat("__base", "__linked")))
     text = F.col("text")
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -139,9 +143,9 @@ def redacted(docs: DataFrame, mark: str = "[REDACTED]", scope: int = SCOPE) -> D
         if c == "text":
             out.append(F.when(changed, folded).otherwise(text).alias("text"))
         elif c == "n_chars":
-            out.append(F.when(changed, F.length(folded)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            out.append(F.when(changed, F.length(folded)).otherwise(F.col("__row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
-            out.append(F.col(f"`{c}`"))
+            out.append(F.col(f"__row.`{c}`"))
     return both.select(*out)
 
 
