@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: White space as browsers see it; Java's \s lacks the non-breaking and ideographic spaces.
 BLANK = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 # Named character references that are decoded.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
+REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "…", "mdash": "—", "ndash": "–", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "middot": "·"}
 # Words that story tokens leave out.
 STOP_WORDS = "the a an of to in for and or on with is are was at by as its it be from how why what when your you we our this that new now ai llm llms vs via into not no up out about more can will just hn show".split()
 
@@ -23,10 +23,21 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"{BLANK}+", " "), "^ | $", "")
 
 
+def _decoded(ref: Column) -> Column:
+    """The character of one reference; an unknown one stays as it is."""
+    name = F.lower(F.regexp_extract(ref, "^&(.*);$", 1))
+    code = F.when(name.startswith("#x"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.nullif(F.regexp_extract(name, "^#([0-9]{1,10})$", 1), F.lit(""))).cast("long")
+    char = F.when(((code > 0) & (code < 0xD800)) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in REFERENCES.items() for x in pair)), name)
+    return F.coalesce(char, named, ref)
+
+
 def decode_references(c: Column) -> Column:
-    for name, char in REFERENCES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Named, decimal and hexadecimal character references as characters, in one pass."""
+    pattern = "(?i)&(?:#x?[0-9a-f]+|[a-z0-9]+);"
+    plain, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(plain, found, lambda p, r: F.concat(p, F.coalesce(_decoded(r), F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
 
 
 def clean_html(c: Column) -> Column:
@@ -59,12 +70,12 @@ def title_key(c: Column) -> Column:
 
 
 def story_tokens(c: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Distinct ASCII words of two or more characters without stop words, and pairs of neighbouring CJK characters."""
+    """Distinct ASCII words of two or more characters without stop words, pairs of neighbouring CJK characters, and those that stand alone."""
     low = F.lower(c)
-    latin = F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9][a-z0-9.+-]*"), F.lit(0)), lambda w: F.regexp_replace(w, "^[.-]+|[.-]+$", ""))
+    latin = F.transform(F.regexp_extract_all(low, F.lit("[a-z0-9][a-z0-9.-]*"), F.lit(0)), lambda w: F.regexp_replace(w, "^[.-]+|[.-]+$", ""))
     latin = F.filter(latin, lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
-    runs = F.regexp_extract_all(low, F.lit("[\\x{4E00}-\\x{9FFF}]{2,}"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))))
+    runs = F.regexp_extract_all(low, F.lit("[\\x{4E00}-\\x{9FFF}]+"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: r.substr(i, F.lit(2))))))
     return F.array_distinct(F.concat(latin, pairs))
 
 

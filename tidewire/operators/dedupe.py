@@ -12,26 +12,33 @@ from tidewire.operators.stories import components
 LIKENESS, LATIN, LEAST_TOKENS, NEAR_HOURS = 0.65, 0.5, 4, 72
 
 
-def richness() -> Column:
-    """2 for a summary, a half for selection and a millionth of the engagement."""
-    return F.when(F.coalesce(F.length("summary"), F.lit(0)) > 0, 2.0).otherwise(0.0) + F.when(F.col("ai_selected"), 0.5).otherwise(0.0) + F.coalesce("engagement", F.lit(0)) * 1e-6
+def richness(rows: DataFrame) -> Column:
+    """2 for a summary, a half for selection and a millionth of the engagement, or else of the heat."""
+    known = F.coalesce(*(c for c in ("engagement", "heat") if c in rows.columns), F.lit(0))
+    return F.when(F.coalesce(F.length("summary"), F.lit(0)) > 0, 2.0).otherwise(0.0) + F.when(F.col("ai_selected"), 0.5).otherwise(0.0) + known * 1e-6
 
 
 def best_by(rows: DataFrame, key: Column, score: Column, ord: str = "id") -> DataFrame:
-    """The best row of each key, earlier ones first among equals, with the least ord of its key as place."""
-    by = Window.partitionBy("__k")
-    out = rows.withColumn("__k", key).withColumn("__n", F.row_number().over(by.orderBy(score.desc(), ord))).withColumn("place", F.min(ord).over(by))
-    return out.where("__n = 1").drop("__n", "__k")
+    """The best row of each key, earlier ones first among equals, with the least ord (unique) of its key as place.
+
+    Only keys, scores and ords are grouped, and reduced before that; rows meet the chosen ords afterwards.
+    """
+    keyed = rows.select(key.alias("__k"), score.alias("__s"), F.col(ord).alias("__o"))
+    best = keyed.groupBy("__k").agg(F.max("__s").alias("__s"), F.min("__o").alias("place"))
+    kept = keyed.join(best, ["__k", "__s"]).groupBy("__k").agg(F.min("__o").alias(ord), F.min("place").alias("place"))
+    return rows.join(kept.drop("__k"), ord).select(*rows.columns, "place")
 
 
 def by_url(rows: DataFrame) -> DataFrame:
-    return best_by(rows, url_key(F.col("source_url")), richness())
+    """The best row of each URL; rows without a URL are left out."""
+    some = rows.where(F.coalesce("source_url", F.lit("")) != "")
+    return best_by(some, url_key(F.col("source_url")), richness(some))
 
 
 def by_title(rows: DataFrame) -> DataFrame:
     """Titles of eight or more characters after normalisation are keys; others are their own."""
     key = title_key(F.col("title"))
-    return best_by(rows, F.when(F.length(key) >= 8, F.concat(F.lit("t:"), key)).otherwise(F.concat(F.lit("i:"), F.col("id").cast("string"))), richness())
+    return best_by(rows, F.when(F.length(key) >= 8, F.concat(F.lit("t:"), key)).otherwise(F.concat(F.lit("i:"), F.col("id").cast("string"))), richness(rows))
 
 
 def near_tokens(c: Column) -> Column:
@@ -75,7 +82,7 @@ def collapse_near_dups(items: DataFrame, ord: str = "id") -> DataFrame:
     Items come in the order of ord.  Distinct token sets meet by the rarest tokens that sets so alike must share, and
     each component of like sets is gone through in order: items of different components are never alike.
     """
-    score = F.when(F.coalesce(F.length("summary"), F.lit(0)) > 0, 2.0).otherwise(0.0) + F.when(F.col("ai_selected"), 0.5).otherwise(0.0) + F.coalesce("engagement", "heat", F.lit(0)) * 1e-6
+    score = richness(items)
     time = F.coalesce(F.unix_millis(F.try_to_timestamp("published_at")), F.lit(0))
     rows = items.select("id", F.col(ord).alias("ord"), near_tokens(F.coalesce("title", F.lit(""))).alias("tokens"), time.alias("time"), score.alias("score"))
     rows = rows.where(F.size("tokens") >= LEAST_TOKENS).withColumn("set", F.md5(F.concat_ws(" ", "tokens")))

@@ -49,8 +49,9 @@ def filtered(items: DataFrame, q: FeedQuery) -> DataFrame:
     return items
 
 
-def latest_first() -> list[Column]:
-    return [F.coalesce("published_at", F.lit("")).desc(), F.col("id")]
+def latest_first(*fallbacks: str) -> list[Column]:
+    """By published_at, or else by fallbacks such as first_seen."""
+    return [F.coalesce("published_at", *fallbacks, F.lit("")).desc(), F.col("id")]
 
 
 def hottest_first(*more: Column) -> list[Column]:

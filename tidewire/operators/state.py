@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def with_history(items: DataFrame, previous: DataFrame, now: str) -> DataFrame:
-    """items with first_seen of the previous snapshot, or now for new ones."""
-    old = previous.select("id", F.col("first_seen").alias("__first"))
-    return items.join(old, "id", "left").withColumn("first_seen", F.coalesce("__first", F.lit(now))).drop("__first")
+    """items with first_seen of the previous snapshot, or now for new ones, and the note that it had; what an item has itself goes first."""
+    noted = "ai_note" in previous.columns
+    old = previous.select("id", F.col("first_seen").alias("__first"), *([F.col("ai_note").alias("__note")] if noted else []))
+    own = lambda c: [c] if c in items.columns else []
+    out = items.join(old, "id", "left").withColumn("first_seen", F.coalesce(*own("first_seen"), "__first", F.lit(now)))
+    if noted:
+        out = out.withColumn("ai_note", F.coalesce(*own("ai_note"), "__note"))
+    return out.drop("__first", "__note")
 
 
 def pool(current: DataFrame, archive: DataFrame) -> DataFrame:

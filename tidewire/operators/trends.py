@@ -70,9 +70,9 @@ def gains(stars: DataFrame, now: Column, windows: tuple[int, ...] = (1, 7, 30))
 
 
 def momentum(gained: DataFrame) -> DataFrame:
-    """hot score (week + 3 days' + a quarter of the month's gain) and direction of repos with gains."""
+    """hot score (week + 3 days' + a quarter of the month's gain) and direction of repos with gains; null below a pace of 20 a day, or between up and down."""
     d, w, m = F.col("gain_1") / 1.0, F.col("gain_7") / 7.0, F.col("gain_30")
-    way = F.when(F.col("gain_7") < 20, "steady").when(d > 1.5 * w, "up").when(d < 0.6 * w, "down").otherwise("steady")
+    way = F.when(w < 20, None).when(d > 1.5 * w, "up").when(d < 0.6 * w, "down")
     return gained.withColumn("hot", F.col("gain_7") + 3 * F.col("gain_1") + m / 4.0).withColumn("direction", way)
 
 

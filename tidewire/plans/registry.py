@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.functions import times
-from tidewire.operators import classify, dedupe, feed, heat, repos, search, state, stories, trends
+from tidewire.operators import boards, classify, dedupe, feed, heat, repos, search, state, stories, taxonomy, trends
 from tidewire.sources import archive, exports, tables
 
 NOW = "2024-01-31T00:00:00"
+STORY_NOW = "2024-01-04T00:00:00"
 CATEGORIES = ["click", "error", "purchase", "signup", "view"]
 TIERS = {"en": 1, "de": 2, "fr": 2}
 #: Topics of the corpus: patterns over its own words.
@@ -139,7 +140,24 @@ def sanitize_items(spark, d):
     return classify.sanitised(tables.items(spark, d)).select("id", "source_url", "engagement")
 
 
-@query("clean_html")
+def lit(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def has(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, {lit('(?i)' + pattern)})"
+
+
+REFERENCE = "&(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z0-9]+);"
+DECODED = f"""CASE WHEN regexp_matches(r, '^&#[xX][0-9a-fA-F]+;$') THEN chr(CAST('0x' || regexp_extract(r, '([0-9a-fA-F]+);$', 1) AS INTEGER)) WHEN regexp_matches(r, '^&#[0-9]+;$') THEN chr(CAST(regexp_extract(r, '([0-9]+);$', 1) AS INTEGER))
+ELSE CASE lower(regexp_extract(r, '^&(.*);$', 1)) {' '.join(f"WHEN {lit(n)} THEN {lit(c)}" for n, c in T.REFERENCES.items())} ELSE r END END"""
+CLEAN = f"""plain AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+parts AS (SELECT page_id, generate_subscripts(string_split_regex(t, '{REFERENCE}'), 1) AS i, unnest(string_split_regex(t, '{REFERENCE}')) AS p, unnest(list_concat(regexp_extract_all(t, '{REFERENCE}'), [''])) AS r FROM plain),
+whole AS (SELECT page_id, string_agg(p || CASE WHEN r = '' THEN '' ELSE {DECODED} END, '' ORDER BY i) AS t FROM parts GROUP BY page_id)"""
+
+
+@query("clean_html", f"WITH {CLEAN} SELECT page_id, trim(regexp_replace(t, '{T.BLANK}+', ' ', 'g')) AS text FROM whole")
 def clean_html(spark, d):
     return tables.table(spark, d, "pages").select("page_id", T.clean_html(F.col("html")).alias("text"))
 
@@ -299,14 +317,15 @@ def star_gains(spark, d):
     return gained(spark, d)
 
 
-@query("repo_momentum", f"WITH {GAINS} SELECT repo, gain_7 + 3 * gain_1 + gain_30 / 4.0 AS hot, CASE WHEN gain_7 < 20 THEN 'steady' WHEN gain_1 / 1.0 > 1.5 * (gain_7 / 7.0) THEN 'up' WHEN gain_1 / 1.0 < 0.6 * (gain_7 / 7.0) THEN 'down' ELSE 'steady' END AS direction FROM gains")
+@query("repo_momentum", f"WITH {GAINS} SELECT repo, gain_7 + 3 * gain_1 + gain_30 / 4.0 AS hot, CASE WHEN gain_7 / 7.0 < 20 THEN NULL WHEN gain_1 / 1.0 > 1.5 * (gain_7 / 7.0) THEN 'up' WHEN gain_1 / 1.0 < 0.6 * (gain_7 / 7.0) THEN 'down' END AS direction FROM gains")
 def repo_momentum(spark, d):
     return trends.momentum(gained(spark, d)).select("repo", F.col("hot").cast("double"), "direction")
 
 
-@query("breakouts", f"WITH {GAINS} SELECT repo, gain_30, gain_7 FROM gains WHERE gain_7 > 0 AND gain_7 >= 1.8 * (gain_30 / 30.0 * 7.0)")
+@query("breakouts", f"WITH {GAINS} SELECT repo, gain_1, gain_7 FROM gains WHERE gain_7 = 0 OR gain_1 / (gain_7 / 7.0) >= 1.8")
 def breakouts(spark, d):
-    return gained(spark, d).where((F.col("gain_7") > 0) & (F.col("gain_7") >= 1.8 * (F.col("gain_30") / 30.0 * 7.0))).select("repo", "gain_30", "gain_7")
+    rows = gained(spark, d).withColumns({"daily": F.col("gain_1"), "weekly": F.col("gain_7"), "sources": F.array(F.lit("trending"))})
+    return boards.breakouts(rows).select("repo", "gain_1", "gain_7")
 
 
 def parts(spark, d):
@@ -391,28 +410,42 @@ def sanitize_conversations(spark, d):
 
 # -- stories and search
 
-TOKENS = f"{ITEMS}, w AS (SELECT id, source, published_at, title, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9.+-]*'), lambda x: regexp_replace(x, '^[.-]+|[.-]+$', '', 'g')), lambda x: length(x) >= 2 AND x NOT IN ({', '.join(repr(s) for s in T.STOP_WORDS)})))) AS token FROM items)"
+WORDS = f"list_distinct(list_filter(list_transform(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9.-]*'), lambda x: regexp_replace(x, '^[.-]+|[.-]+$', '', 'g')), lambda x: length(x) >= 2 AND x NOT IN ({', '.join(repr(s) for s in T.STOP_WORDS)})))"
+HAY = "(title || ' ' || coalesce(summary, '') || ' ')"
+TOPIC_LIST = "list_filter([" + ", ".join(f"CASE WHEN {has(HAY, p)} THEN {lit(n)} END" for n, p in taxonomy.TOPICS.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query("title_tokens", f"WITH {TOKENS} SELECT id, token FROM w")
+@query("title_tokens", f"WITH {ITEMS} SELECT id, unnest({WORDS}) AS token FROM items")
 def title_tokens(spark, d):
     return tables.items(spark, d).select("id", F.explode(T.story_tokens(F.col("title"))).alias("token"))
 
 
-PAIRS = f"""{TOKENS}, c AS (SELECT token FROM w GROUP BY token HAVING count(*) BETWEEN 2 AND 50), s AS (SELECT w.id, w.token FROM w JOIN c USING (token)),
-m AS (SELECT DISTINCT x.id AS a, y.id AS b FROM s x JOIN s y ON x.token = y.token AND x.id < y.id), n AS (SELECT id, count(*) AS k, any_value(published_at) AS t FROM w GROUP BY id),
-h AS (SELECT a, b, count(*) AS shared FROM m JOIN w x ON x.id = a JOIN w y ON y.id = b AND y.token = x.token GROUP BY a, b),
-pairs AS (SELECT a, b, shared, shared / (p.k + q.k - shared) AS likeness FROM h JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE abs(epoch(CAST(p.t AS TIMESTAMP)) - epoch(CAST(q.t AS TIMESTAMP))) <= 259200 AND shared >= 2 AND shared / (p.k + q.k - shared) >= 0.3)"""
+PAIRS = f"""{HEATED}, pool AS (SELECT id, source, published_at, title, heat, epoch(CAST(published_at AS TIMESTAMP)) AS moment, {WORDS} AS tokens, {TOPIC_LIST} AS topics FROM heated
+WHERE CAST(published_at AS TIMESTAMP) BETWEEN TIMESTAMP '{STORY_NOW}' - INTERVAL 14 DAY AND TIMESTAMP '{STORY_NOW}' + INTERVAL 1 DAY), w AS (SELECT id, unnest(tokens) AS token FROM pool),
+c AS (SELECT token FROM w GROUP BY token HAVING count(*) BETWEEN 2 AND 50), s AS (SELECT w.id, w.token FROM w JOIN c USING (token)),
+m AS (SELECT DISTINCT x.id AS a, y.id AS b FROM s x JOIN s y ON x.token = y.token AND x.id < y.id),
+h AS (SELECT a, b, len(list_intersect(p.tokens, q.tokens)) AS shared, len(p.tokens) + len(q.tokens) AS sizes FROM m JOIN pool p ON p.id = a JOIN pool q ON q.id = b WHERE abs(p.moment - q.moment) <= 259200 AND (len(p.topics) = 0 OR len(q.topics) = 0 OR list_has_any(p.topics, q.topics))),
+pairs AS (SELECT a, b, shared, shared / (sizes - shared) AS likeness FROM h WHERE shared >= 2 AND shared / (sizes - shared) >= 0.3)"""
 
 
 @query("story_pairs", f"WITH {PAIRS} SELECT a, b, shared, round(likeness, 6) AS likeness FROM pairs")
 def story_pairs(spark, d):
-    return stories.pairs(tables.items(spark, d).withColumn("heat", F.lit(0))).withColumn("likeness", F.round("likeness", 6))
+    return stories.pairs(tables.items(spark, d), STORY_NOW).withColumn("likeness", F.round("likeness", 6))
+
+
+STORIES = f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT x AS id, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id), l AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+g AS (SELECT l.root, p.*, row_number() OVER (PARTITION BY root ORDER BY moment, id) AS f, row_number() OVER (PARTITION BY root ORDER BY moment DESC, id DESC) AS z, row_number() OVER (PARTITION BY root ORDER BY heat DESC, moment DESC, id) AS t FROM l JOIN pool p USING (id)),
+told AS (SELECT max(id) FILTER (f = 1) AS story, max(title) FILTER (t = 1) AS title, count(*) AS n_items, count(DISTINCT source) AS n_sources, max(published_at) FILTER (f = 1) AS first_time, max(published_at) FILTER (z = 1) AS last_time, max(heat) AS heat,
+CASE WHEN epoch(TIMESTAMP '{STORY_NOW}') - max(moment) > 129600 THEN 'settled' WHEN count(DISTINCT substr(published_at, 1, 10)) >= 2 THEN 'developing' ELSE 'new' END AS status FROM g GROUP BY root HAVING count(*) >= 2 AND count(DISTINCT source) >= 2)"""
+
+
+def told(spark, d):
+    return stories.stories(heated(spark, d), STORY_NOW)
 
 
-@query("stories", f"WITH RECURSIVE {PAIRS}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT x AS id, x AS story FROM e UNION SELECT e.y, r.story FROM r JOIN e ON e.x = r.id), l AS (SELECT id, min(story) AS story FROM r GROUP BY id) SELECT story, count(*) AS n_items, count(DISTINCT source) AS n_sources, min(published_at) AS first_time, max(published_at) AS last_time FROM l JOIN items USING (id) GROUP BY story HAVING count(*) >= 2 AND count(DISTINCT source) >= 2")
+@query("stories", f"{STORIES} SELECT * FROM told")
 def story_rollup(spark, d):
-    return stories.stories(tables.items(spark, d).withColumn("heat", F.lit(0)), NOW).select("story", "n_items", "n_sources", "first_time", "last_time")
+    return told(spark, d).select("story", "title", "n_items", "n_sources", "first_time", "last_time", "heat", "status")
 
 
 @query("rag_retrieve", f"WITH {HEATED}, s AS (SELECT id, round((CASE WHEN contains(lower(title), 'the idiot') THEN 10 ELSE 0 END) + (CASE WHEN contains(lower(title), 'the') THEN 5 ELSE 0 END) + (CASE WHEN contains(lower(summary), 'the') THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(source), 'the') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(title), 'idiot') THEN 5 ELSE 0 END) + (CASE WHEN contains(lower(summary), 'idiot') THEN 2 ELSE 0 END) + (CASE WHEN contains(lower(source), 'idiot') THEN 3 ELSE 0 END) + least(heat / 40.0, 3.0), 6) AS score FROM heated) SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 15")

@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from tidewire.lineage import cut
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """old and new by key; where both have it the new row stands, all columns of it."""
+def upserted(old: DataFrame, new: DataFrame, key: str = "id", order: str = "published_at") -> DataFrame:
+    """old and new by key; where both have it the new row stands, all columns of it.  Of several new rows of a key the last in order stands."""
+    if order in new.columns:
+        latest = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*new.columns))
+        new = new.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+    else:
+        new = new.dropDuplicates([key])
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def totals(items: DataFrame) -> DataFrame:
+    """(month, n) of the archive's months, and their sum in the row whose month is null."""
+    return items.rollup("month").agg(F.count(F.lit(1)).alias("n"))
+
+
 def with_month(items: DataFrame) -> DataFrame:
     """Items with the month of the first time that isn't empty; those without a month are left out."""
     when = F.coalesce(F.nullif("first_seen", F.lit("")), F.nullif("published_at", F.lit("")))
