@@ -37,3 +37,27 @@ def test_archive_stream(spark, tmp_path):
     written(spark, path, ROWS)
     S.archive_stream(spark.readStream.schema(SCHEMA).parquet(path).dropDuplicates(["id"]), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_sliding_gains_and_star_histories(spark, tmp_path):
+    schema = "repo string, ts timestamp, date string, stars long"
+    day = lambda i: f"2024-01-{i:02d}"
+    first = spark.createDataFrame([("a", None, day(i), i) for i in range(1, 9)] + [("b", None, day(1), 5)], schema).withColumn("ts", F.to_timestamp("date"))
+    later = spark.createDataFrame([("a", None, day(8), 80), ("a", None, day(9), 90)], schema).withColumn("ts", F.to_timestamp("date"))
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first.coalesce(1).write.mode("append").parquet(path)
+
+    def run(name, build, mode):
+        stream = build(spark.readStream.schema(schema).parquet(path))
+        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{out}-{name}").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    got = {r.repo: [(s.date, s.stars) for s in r.history] for r in run("h1", lambda s: S.star_history(s.select("repo", "date", "stars"), 3), "update")}
+    assert got == {"a": [(day(6), 6), (day(7), 7), (day(8), 8)], "b": [(day(1), 5)]}
+    wins = {(r.repo, str(r.start)[:10]): r.gained for r in run("g1", lambda s: S.sliding_gains(s), "complete")}
+    assert wins[("a", day(1))] == 7 and wins[("a", day(2))] == 7 and wins[("a", day(5))] == 4 and wins[("b", day(1))] == 1
+    later.coalesce(1).write.mode("append").parquet(path)
+    stream = S.star_history(spark.readStream.schema(schema).parquet(path).select("repo", "date", "stars"), 3)
+    stream.writeStream.format("memory").queryName("h2").outputMode("update").option("checkpointLocation", f"{out}-h2").trigger(availableNow=True).start().awaitTermination()
+    last = [r for r in spark.table("h2").collect() if r.repo == "a"][-1]
+    assert [(s.date, s.stars) for s in last.history] == [(day(7), 7), (day(8), 80), (day(9), 90)]

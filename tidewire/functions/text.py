@@ -105,3 +105,50 @@ def escaped(c: Column) -> Column:
 def compact_number(c: Column) -> Column:
     """38.1k from 10,000, 381k from 100,000, else with thousands separators."""
     return F.when(c >= 100_000, F.concat(half_up(c / 1000).cast("string"), F.lit("k"))).when(c >= 10_000, F.concat(F.format_number(c / 1000, 1), F.lit("k"))).otherwise(F.format_number(c, 0))
+
+
+def hash_slot(c: Column, slots: int = 10) -> Column:
+    """A slot from 0 for a text: the absolute value of its 31-polynomial over UTF-16 units in 32 bits, modulo slots."""
+    units = F.hex(F.encode(c, "UTF-16BE"))
+    codes = F.transform(F.sequence(F.lit(0), (F.length(units) / 4 - 1).cast("int")), lambda k: F.conv(units.substr(k * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    wrapped = lambda h: F.pmod(h + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
+    total = F.aggregate(codes, F.lit(0).cast("long"), lambda h, x: wrapped(h * 31 + x))
+    return F.when(c == "", 0).otherwise((F.abs(total) % slots).cast("int"))
+
+
+def source_id(prefix: Column, seed: Column) -> Column:
+    """A short stable id: the prefix and ten hexadecimal digits of the seed's SHA-1."""
+    return F.concat_ws("-", prefix, F.substring(F.sha1(seed), 1, 10))
+
+
+def host(url: Column) -> Column:
+    """The host of a URL in lower case; null if it can't be read."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+# Ranges of pictographs.
+PICTOGRAPHS = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}\\x{2300}-\\x{23FF}\\x{2190}-\\x{21FF}\\x{00A9}\\x{00AE}\\x{203C}\\x{2049}\\x{2122}\\x{2139}\\x{3030}\\x{303D}\\x{3297}\\x{3299}]\\x{FE0F}?"
+
+
+def without_emoji(c: Column) -> Column:
+    """A text without pictographs; what white space they leave becomes one space."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, PICTOGRAPHS, ""), f"{BLANK}{{2,}}", " "), f"^{BLANK}+|{BLANK}+$", "")
+
+
+def blurb(note: Column, summary: Column) -> Column:
+    """The note, or else the summary's first 58 characters; empty without both."""
+    s = collapse(summary)
+    return F.when(F.coalesce(note, F.lit("")) != "", note).when(F.length(s) > 60, F.concat(F.substring(s, 1, 58), F.lit("…"))).otherwise(F.coalesce(s, F.lit("")))
+
+
+def last_of(array: Column, n: int) -> Column:
+    """The last n entries of an array, all of a shorter one."""
+    return F.slice(array, F.greatest(F.size(array) - n + 1, F.lit(1)), F.lit(n))
+
+
+def highlighted(c: Column, word: str, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """A text with every occurrence of a word, case aside, between two marks."""
+    import re
+
+    safe = lambda x: x.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(c, f"(?i)({re.escape(word)})", f"{safe(before)}$1{safe(after)}") if word else c

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written to the cluster's checkpoint folder; a local folder is used where none is set."""
-    context = frame.sparkSession.sparkContext
+    """The frame, written to the folder in spark.checkpoint.dir; where that is unset, a session on one machine uses a local folder."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/tidewire-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "/tmp/tidewire-checkpoints")
     return frame.checkpoint()

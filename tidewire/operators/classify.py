@@ -54,21 +54,49 @@ def tag_counts(items: DataFrame, column: str = "tags") -> DataFrame:
     return items.select(F.explode(column).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The longest of each text, and of tags.
+LONGEST = {"id": 200, "title": 300, "summary": 2000, "source": 100, "ai_note": 300}
+LONGEST_URL, LONGEST_TAG, MOST_TAGS = 2048, 50, 20
+
+
+def safe_url(c: Column, https_only: bool = False) -> Column:
+    """A trimmed URL of http or https, or https only, of at most 2048 characters; else null."""
+    url = F.trim(c)
+    return F.when(url.rlike("^https://" if https_only else "^https?://") & (F.length(url) <= LONGEST_URL), url)
+
+
 def sanitised(items: DataFrame) -> DataFrame:
-    """Items with an id, a title, a source and an http(s) URL; fields are trimmed and cut, bad numbers and times mended."""
+    """Items with an id, a title, a source and an http(s) URL; fields are trimmed and cut, bad numbers and times mended.
+
+    Heat is 0 where it isn't a number from 0; engagement, times, and images without https are null where they are bad; empty
+    tags go.  A column that items lack is left out.
+    """
     from tidewire.functions.text import clamped, half_up
 
-    url = F.trim("source_url")
-    out = items.where(F.col("id").isNotNull() & clamped(F.col("title"), 300).isNotNull() & clamped(F.col("source"), 100).isNotNull())
-    out = out.where(url.rlike("^https?://") & (F.length(url) <= 2048))
-    number = F.col("engagement").cast("double")
-    return out.withColumns(
-        {
-            "title": clamped(F.col("title"), 300),
-            "summary": clamped(F.col("summary"), 2000),
-            "source": clamped(F.col("source"), 100),
-            "source_url": url,
-            "engagement": F.when((number > 0) & ~F.isnan(number), half_up(number)),
-            "published_at": F.when(F.try_to_timestamp("published_at").isNotNull(), F.col("published_at")),
-        }
-    )
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    number, heat = F.col("engagement").cast("double"), F.col("heat").cast("double") if "heat" in items.columns else F.lit(0.0)
+    cut = {c: clamped(F.col(c), n) for c, n in LONGEST.items() if c in items.columns and (c != "id" or items.schema["id"].dataType.simpleString() == "string")}
+    mended = {
+        **cut,
+        "source_url": safe_url(F.col("source_url")),
+        "engagement": F.when(finite(number) & (number > 0), half_up(number)),
+        **{c: F.when(F.try_to_timestamp(c).isNotNull(), F.col(c)) for c in ("published_at", "first_seen", "fetched_at") if c in items.columns},
+    }
+    if "heat" in items.columns:
+        mended["heat"] = F.when(finite(heat) & (heat >= 0), half_up(heat)).otherwise(0)
+    if "image" in items.columns:
+        mended["image"] = safe_url(F.col("image"), https_only=True)
+    if "tags" in items.columns:
+        mended["tags"] = F.transform(F.slice(F.filter("tags", lambda t: F.trim(t) != ""), 1, MOST_TAGS), lambda t: F.substring(F.trim(t), 1, LONGEST_TAG))
+    return items.withColumns(mended).where("id is not null and title is not null and source is not null and source_url is not null")
+
+
+def dropped(items: DataFrame) -> DataFrame:
+    """One row (kept, dropped): how many items the sanitiser keeps and drops."""
+    kept = sanitised(items).agg(F.count(F.lit(1)).alias("kept"))
+    return items.agg(F.count(F.lit(1)).alias("n")).join(kept).select("kept", (F.col("n") - F.col("kept")).alias("dropped"))
+
+
+def in_dimension(category: Column, known: list[str]) -> Column:
+    """Whether a category is set and known."""
+    return F.coalesce(category.isin(known), F.lit(False))

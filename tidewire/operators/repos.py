@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import clean_html
+
 
 def plain_url(c: Column) -> Column:
     """Lower case, without query, fragment and last slashes."""
@@ -62,12 +64,33 @@ def appended(history: Column, today: Column, value: Column, most: int = 60) -> C
 
 
 def trending_rows(pages: DataFrame) -> DataFrame:
-    """(full_name, description, stars, forks, gained) of the boxes of trending pages (html)."""
-    boxes = pages.select(F.explode(F.slice(F.split("html", '<article class="Box-row'), 2, 1000)).alias("box"))
-
-    def number(pattern: str) -> Column:
-        return F.try_to_number(F.nullif(F.regexp_replace(F.regexp_extract("box", pattern, 1), "[^0-9]", ""), F.lit("")), F.lit("9999999999")).cast("long")
+    """(full_name, description, language, language_color, stars, forks, gained, built_by) of the boxes of trending pages (html).
 
-    name = F.regexp_replace(F.regexp_extract("box", '<h2[^>]*>[\\s\\S]*?href="/([^"/]+/[^"/]+)"', 1), "\\s", "")
-    text = F.trim(F.regexp_replace(F.regexp_extract("box", "<p[^>]*>([\\s\\S]*?)</p>", 1), "<[^>]*>|\\s+", " "))
-    return boxes.select(name.alias("full_name"), F.nullif(text, F.lit("")).alias("description"), number('/stargazers"[^>]*>[\\s\\S]*?</svg>\\s*([0-9,]+)').alias("stars"), number('/forks"[^>]*>[\\s\\S]*?</svg>\\s*([0-9,]+)').alias("forks"), number("([0-9,]+) stars? (?:today|this week|this month)").alias("gained")).where("full_name <> ''")
+    A box without a name is left out; numbers that it lacks are 0, texts null; built_by has at most five (login, avatar).
+    """
+    # How the page marks its boxes and their fields.
+    boxes = pages.select(F.explode(F.slice(F.split("html", '<article class="Box-row'), 2, 1 << 20)).alias("box")).select(F.get(F.split("box", "</article>"), F.lit(0)).alias("box"))
+    rows = boxes.withColumn("full_name", F.regexp_extract("box", '<h2[^>]*>\\s*<a[^>]*href="/([^/"]+/[^/"]+)"', 1)).where("full_name <> ''")
+
+    def number(c: Column) -> Column:
+        return F.coalesce(F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit("")).try_cast("long"), F.lit(0))
+
+    def linked(page: str) -> Column:
+        """The number after the repository's own link to a page."""
+        name = F.regexp_replace("full_name", r"([.*+?^${}()|\[\]\\])", r"\\$1")
+        pattern = F.concat(F.lit('href="/'), name, F.lit(f'/{page}"[\\s\\S]*?</svg>\\s*([0-9,]+)'))
+        return number(F.call_function("regexp_extract", F.col("box"), pattern, F.lit(1)))
+
+    found = lambda p: F.nullif(F.trim(F.regexp_extract("box", p, 1)), F.lit(""))
+    picture = '<img class="avatar[^"]*" src="([^"]+)"[^>]*alt="@([^"]+)"'
+    makers = F.slice(F.arrays_zip(F.regexp_extract_all("box", F.lit(picture), F.lit(2)).alias("login"), F.transform(F.regexp_extract_all("box", F.lit(picture), F.lit(1)), lambda a: F.replace(a, F.lit("&amp;"), F.lit("&"))).alias("avatar")), 1, 5)
+    return rows.select(
+        "full_name",
+        F.nullif(clean_html(F.regexp_extract("box", '<p class="col-9[^"]*">([\\s\\S]*?)</p>', 1)), F.lit("")).alias("description"),
+        found('itemprop="programmingLanguage">([^<]+)<').alias("language"),
+        found("repo-language-color\" style=\"background-color:\\s*(#[0-9a-fA-F]{3,8})").alias("language_color"),
+        linked("stargazers").alias("stars"),
+        linked("forks").alias("forks"),
+        number(F.regexp_extract("box", "([0-9,]+)\\s+stars?\\s+(?:today|this week|this month)", 1)).alias("gained"),
+        makers.alias("built_by"),
+    )

@@ -33,3 +33,33 @@ def sanitised_conversations(turns: DataFrame, most: int = 8) -> DataFrame:
     """(conv_id, n) of conversations of one to eight messages, all with a known role and some text."""
     ok = F.col("role").isin("system", "user", "assistant") & F.col("text").isNotNull()
     return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok")).where((F.col("n") <= most) & F.col("ok")).select("conv_id", "n")
+
+
+def first_wins(*pools: DataFrame) -> DataFrame:
+    """The union of pools, one row for each id: that of the first pool, and there of the least row hash."""
+    return _one_each(pools, ascending=True)
+
+
+def last_wins(*pools: DataFrame) -> DataFrame:
+    """The union of pools, one row for each id: that of the last pool."""
+    return _one_each(pools, ascending=False)
+
+
+def _one_each(pools: tuple[DataFrame, ...], ascending: bool) -> DataFrame:
+    every = None
+    for k, p in enumerate(pools):
+        part = p.withColumn("__k", F.lit(k if ascending else -k))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    order = Window.partitionBy("id").orderBy("__k", F.xxhash64(*[c for c in pools[0].columns]))
+    return every.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__k")
+
+
+def either(first: DataFrame, other: DataFrame) -> DataFrame:
+    """The first table if it has rows, else the other."""
+    some = F.broadcast(first.agg((F.count(F.lit(1)) > 0).alias("__some")))  # one row
+    return first.unionByName(other.join(some).where(~F.col("__some")).drop("__some"), allowMissingColumns=True)
+
+
+def to_enrich(items: DataFrame, column: str, order: list, budget: int) -> DataFrame:
+    """The first rows in an order that lack a value of a column, as many as the budget allows."""
+    return items.where(F.coalesce(column, F.lit("")) == "").orderBy(*order).limit(budget)

@@ -169,7 +169,7 @@ TAGGED = f"{ITEMS}, tagged AS (SELECT id, published_at, unnest(list_filter([{TOP
 
 
 def tagged(spark, d):
-    return tables.items(spark, d).withColumn("tags", classify.tags(F.lower("summary"), TOPICS))
+    return tables.tagged_documents(spark, d, lambda text: classify.tags(F.lower(text), TOPICS))
 
 
 @query("classify_items", f"WITH {ITEMS} SELECT id, CASE WHEN contains(source, 'src1') THEN 'wire' WHEN regexp_matches(lower(summary), 'licen[sc]e') THEN 'legal' WHEN regexp_matches(lower(summary), 'token *=') THEN 'code' WHEN contains(lower(summary), '|') THEN 'table' ELSE 'prose' END AS class FROM items")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewire.functions import notes
-from tidewire.operators import boards, daily, news, repo_kinds, search, stories, taxonomy
+from tidewire.functions import notes, times
+from tidewire.functions import text as T
+from tidewire.operators import boards, classify, daily, dedupe, news, repo_kinds, repos, search, state, stories, taxonomy, trends, weekly
 from tidewire.operators.repo_kinds import FUN, RULES
 from tidewire.plans import registry as R
 from tidewire.plans.registry import HAY, HEATED, ITEMS, NOW, TOPIC_LIST, has, lit, query
-from tidewire.sources import archive, tables
+from tidewire.sources import archive, exports, snapshots, tables
 
 
 # -- categories and topics of items whose titles begin with a headline
@@ -397,3 +399,196 @@ SOFT = [search.Group(("widget", "gear")), search.Group(("small", "hot"), soft=Tr
 @query("search_soft", f"WITH {R.PARTS}, h AS (SELECT id, CASE WHEN regexp_matches(name, '(^|[^a-z0-9])(widget|gear)') THEN 5 ELSE 0 END AS h0, greatest(CASE WHEN regexp_matches(name, '(^|[^a-z0-9])(small|hot)') THEN 5 ELSE 0 END, CASE WHEN regexp_matches(lower(track), '(^|[^a-z0-9])(small|hot)') THEN 1 ELSE 0 END) AS h1 FROM parts), c AS (SELECT count(*) AS n, count(*) FILTER (h0 > 0) AS d0, count(*) FILTER (h1 > 0) AS d1 FROM h), s AS (SELECT id, round(ln(1 + n / (1 + d0)) * h0 + ln(1 + n / (1 + d1)) * 0.4 * h1, 6) AS score FROM h, c WHERE d0 > 0 AND h0 > 0) SELECT id, score FROM s WHERE score > 0 AND score >= 0.5 * (SELECT max(score) FROM s)")
 def search_soft(spark, d):
     return search.concept_ranked(R.parts(spark, d), SOFT, {"name": 5, "track": 1})
+
+
+# -- weekly reports, the palette and pictures
+
+WEEKLY = f"{SMALL}, wk AS (SELECT * FROM small WHERE substr(published_at, 1, 10) BETWEEN '2024-01-15' AND '2024-01-21')"
+
+
+def week(spark, d):
+    return small(spark, d).where(F.substring("published_at", 1, 10).between("2024-01-15", "2024-01-21")).withColumn("ai_note", F.when(F.col("id") % 7 == 0, F.concat(F.lit("note "), F.col("id").cast("string"), F.lit("。"))))
+
+
+@query("weekly_sources", "SELECT CAST(user_id AS VARCHAR) AS source, count(*) AS n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-21' GROUP BY 1 ORDER BY n DESC, source LIMIT 8")
+def weekly_sources(spark, d):
+    return weekly.top_sources(R.week_items(spark, d))
+
+
+KINDS = ["view", "nothing", "click", "purchase", "error", "signup"]
+BROKEN_DOWN = f"{WEEKLY}, b AS (SELECT CAST(i AS INTEGER) AS place, ({sql_list(KINDS)})[i + 1] AS category, (SELECT count(*) FROM wk WHERE wk.category = ({sql_list(KINDS)})[i + 1]) AS n FROM range({len(KINDS)}) t(i))"
+
+
+@query("weekly_categories", f"WITH {BROKEN_DOWN} SELECT * FROM b")
+def weekly_categories(spark, d):
+    return weekly.category_breakdown(week(spark, d), KINDS)
+
+
+@query("weekly_best_category", f"WITH {BROKEN_DOWN} SELECT category, n FROM b ORDER BY n DESC, place LIMIT 1")
+def weekly_best_category(spark, d):
+    return weekly.best_category(week(spark, d), KINDS)
+
+
+NOTED = f"{WEEKLY}, o AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'note ' || CAST(id AS VARCHAR) || '。' END AS ai_note, row_number() OVER (PARTITION BY category ORDER BY heat DESC, published_at DESC, id) AS k FROM wk)"
+
+
+@query("weekly_section_summaries", f"WITH {NOTED}, f AS (SELECT category, count(*) AS n, list(title ORDER BY k) AS t, list(ai_note ORDER BY k) FILTER (ai_note IS NOT NULL) AS a FROM o WHERE k <= 5 GROUP BY category) SELECT category, n, CASE WHEN len(a) > 0 THEN array_to_string(a[1:2], '；') ELSE '本周' || CASE category WHEN 'view' THEN '浏览' ELSE category END || '方向共 ' || CAST(n AS VARCHAR) || ' 条动态，重点包括：' || array_to_string(t[1:3], '、') || '。' END AS summary FROM f")
+def weekly_section_summaries(spark, d):
+    return weekly.section_summaries(week(spark, d), {"view": "浏览"})
+
+
+@query("weekly_top_summary", f"WITH {NOTED}, r AS (SELECT *, row_number() OVER (ORDER BY heat DESC, id) AS rank FROM o), p AS (SELECT * FROM r WHERE rank <= 10), n AS (SELECT list(regexp_replace(ai_note, '[。；！？.;!?]+$', '') ORDER BY rank) FILTER (ai_note IS NOT NULL) AS a, list(title ORDER BY rank) AS t FROM p) SELECT CASE WHEN len(a) >= 2 THEN array_to_string(a[1:3], '；') || '。' ELSE '本周共收录 ' || CAST((SELECT count(*) FROM wk) AS VARCHAR) || ' 条资讯，热度最高的包括「' || array_to_string(t[1:3], '」「') || '」。' END AS summary FROM n")
+def weekly_top_summary(spark, d):
+    rows = week(spark, d)
+    top = rows.orderBy(*R.by_heat()).limit(10).withColumn("rank", F.row_number().over(Window.orderBy(*R.by_heat())))
+    return weekly.top_summary(top, rows.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("weekly_insight", f"WITH {R.STREAM}, w AS (SELECT strftime(date_trunc('week', CAST(day AS DATE)), '%Y-%m-%d') AS week, count(*) AS total FROM stream GROUP BY 1) SELECT week, total, CASE WHEN substr(week, 9, 2) <> '08' THEN 'insight of ' || week END AS insight FROM w")
+def weekly_insight(spark, d):
+    weeks = R.stream(spark, d).groupBy(trends.week(F.col("day")).alias("week")).agg(F.count(F.lit(1)).alias("total"))
+    notes_ = weeks.select(F.concat("week", F.lit(" ~ later")).alias("label"), F.when(F.col("week").endswith("-08"), "").otherwise(F.concat(F.lit("insight of "), "week")).alias("insight"))
+    return weekly.with_insight(weeks, notes_)
+
+
+@query("poster_picks", f"WITH {SMALL} SELECT id, heat FROM small WHERE substr(first_seen, 1, 10) = '2024-01-20' AND ai_selected IS NOT FALSE ORDER BY heat DESC, id LIMIT 5")
+def poster_picks(spark, d):
+    return weekly.poster_picks(small(spark, d).withColumn("origin", F.lit("x")), "2024-01-20").select("id", "heat")
+
+
+@query("command_palette", "SELECT 'category' AS kind, 'k1' AS id, 'news 1' AS label UNION ALL SELECT * FROM (SELECT 'source', source, source FROM (SELECT 's1-' || source AS source, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, source LIMIT 8)")
+def command_palette(spark, d):
+    categories = spark.createDataFrame([("k1", "news 1"), ("k2", "other")], "key string, label string")
+    sources = tables.table(spark, d, "documents").groupBy(F.concat(F.lit("s1-"), "source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    none = spark.createDataFrame([], "id long, title string, score double")
+    return weekly.palette("1", categories, sources, none)
+
+
+# -- small functions of items
+
+
+@query("source_slots", "SELECT DISTINCT source, CAST(abs(list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(source, ''), lambda c: CAST(ord(c) AS HUGEINT))), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)) % 10 AS INTEGER) AS slot FROM (SELECT source || ' and longer text' AS source FROM documents)")
+def source_slots(spark, d):
+    rows = tables.table(spark, d, "documents").select(F.concat("source", F.lit(" and longer text")).alias("source")).distinct()
+    return rows.select("source", T.hash_slot(F.col("source")).alias("slot"))
+
+
+@query("item_ids", "SELECT page_id, 'rss:x-' || substr(sha1(url), 1, 10) AS id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages")
+def item_ids(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", T.source_id(F.lit("rss:x"), F.col("url")).alias("id"), T.host(F.col("url")).alias("host"))
+
+
+BJ = "CAST(published_at AS TIMESTAMP) + INTERVAL 8 HOUR"
+
+
+@query("item_times", f"WITH {R.STREAM} SELECT id, CASE WHEN hour({BJ}) < 6 THEN '凌晨' WHEN hour({BJ}) < 12 THEN '上午' WHEN hour({BJ}) < 18 THEN '下午' ELSE '晚上' END || strftime({BJ}, ' %H:%M') AS clock, CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(CAST(published_at AS TIMESTAMP)) < 60 THEN '刚刚' WHEN epoch(TIMESTAMP '2024-01-31') - epoch(CAST(published_at AS TIMESTAMP)) < 3600 THEN CAST(CAST(floor((epoch(TIMESTAMP '2024-01-31') - epoch(CAST(published_at AS TIMESTAMP))) / 60) AS BIGINT) AS VARCHAR) || ' 分钟前' WHEN CAST({BJ} AS DATE) = DATE '2024-01-31' THEN CAST(CAST(floor((epoch(TIMESTAMP '2024-01-31') - epoch(CAST(published_at AS TIMESTAMP))) / 3600) AS BIGINT) AS VARCHAR) || ' 小时前' WHEN CAST({BJ} AS DATE) = DATE '2024-01-30' THEN '昨天' ELSE strftime({BJ}, '%-m/%-d %H:%M') END AS relative FROM stream")
+def item_times(spark, d):
+    at = F.col("published_at")
+    return R.stream(spark, d).select("id", times.clock(at).alias("clock"), times.relative(at, F.lit(NOW)).alias("relative"))
+
+
+@query("item_blurbs", "SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'a note' WHEN length(t) > 60 THEN substr(t, 1, 58) || '…' ELSE t END AS blurb FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM conversations)")
+def item_blurbs(spark, d):
+    return tables.table(spark, d, "conversations").select("conv_id", "turn", T.blurb(F.when(F.col("turn") % 5 == 0, "a note"), F.coalesce("text", F.lit(""))).alias("blurb"))
+
+
+@query("feed_document", f"WITH {TITLED}, t AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, id) AS place FROM titled) SELECT place, '<item><title>' || {R.XML.format('title')} || '</title><link>' || {R.XML.format(chr(99) + 'oalesce(source_url, ' + chr(39) * 2 + ')')} || '</link><guid isPermaLink=\"false\">' || CAST(id AS VARCHAR) || '</guid><source>' || source || '</source><pubDate>' || strftime(CAST(published_at AS TIMESTAMP), '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate><description>' || {R.XML.format('CASE WHEN id % 2 = 0 THEN ' + lit('a <note>') + ' ELSE title END')} || '</description></item>' AS entry FROM t WHERE place <= 30")
+def feed_document(spark, d):
+    rows = titled(spark, d).withColumns({"ai_note": F.when(F.col("id") % 2 == 0, "a <note>"), "summary": F.lit(None).cast("string")})
+    return exports.feed_entries(rows, NOW)
+
+
+@query("list_document", f"WITH {SMALL}, t AS (SELECT id, '<' || title AS title FROM small ORDER BY heat DESC, id LIMIT 20) SELECT '[' || string_agg('{{\"id\":' || CAST(id AS VARCHAR) || ',\"title\":\"\\u003c' || title[2:] || '\"}}', ',') || ']' AS document FROM t")
+def list_document(spark, d):
+    rows = small(spark, d).withColumn("title", F.concat(F.lit("<"), "title"))
+    return exports.list_document(rows, ["id", "title"], R.by_heat())
+
+
+@query("sources_list", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def sources_list(spark, d):
+    return exports.sources_list(tables.table(spark, d, "documents"))
+
+
+LOOSE = "loose AS (SELECT CASE WHEN c_custkey % 7 <> 0 THEN repeat('i', 150) || '-' || CAST(c_custkey AS VARCHAR) || repeat('x', 60) END AS id, CASE WHEN c_custkey % 11 = 0 THEN '   ' ELSE '  ' || c_name || ' ' END AS title, c_mktsegment AS source, CASE c_custkey % 5 WHEN 0 THEN 'javascript:x' WHEN 1 THEN 'http://a.example/' || CAST(c_custkey AS VARCHAR) ELSE ' https://a.example/' || CAST(c_custkey AS VARCHAR) END AS url, c_acctbal AS heat FROM customer)"
+
+
+def loose(spark, d):
+    k = F.col("c_custkey")
+    url = F.when(k % 5 == 0, "javascript:x").when(k % 5 == 1, F.concat(F.lit("http://a.example/"), k.cast("string"))).otherwise(F.concat(F.lit(" https://a.example/"), k.cast("string")))
+    return tables.table(spark, d, "customer").select(
+        F.when(k % 7 != 0, F.concat(F.repeat(F.lit("i"), 150), F.lit("-"), k.cast("string"), F.repeat(F.lit("x"), 60))).alias("id"), F.when(k % 11 == 0, "   ").otherwise(F.concat(F.lit("  "), "c_name", F.lit(" "))).alias("title"), F.lit(None).cast("string").alias("summary"),
+        F.col("c_mktsegment").alias("source"), url.alias("source_url"), url.alias("image"), F.col("c_acctbal").alias("heat"), F.lit(None).cast("double").alias("engagement"), F.array(F.lit(" "), F.lit(" tag ")).alias("tags"), F.lit("not a time").alias("published_at"),
+    )
+
+
+@query("sanitize_all", f"WITH {LOOSE} SELECT substr(id, 1, 200) AS id, trim(title) AS title, trim(url) AS source_url, CASE WHEN trim(url) LIKE 'https://%' THEN trim(url) END AS image, CASE WHEN heat >= 0 THEN CAST(floor(heat + 0.5) AS BIGINT) ELSE 0 END AS heat, 'tag' AS tags, CAST(NULL AS VARCHAR) AS published_at FROM loose WHERE id IS NOT NULL AND trim(title) <> '' AND url <> 'javascript:x'")
+def sanitize_all(spark, d):
+    return classify.sanitised(loose(spark, d)).select("id", "title", "source_url", "image", "heat", F.array_join("tags", ",").alias("tags"), "published_at")
+
+
+@query("sanitize_dropped", f"WITH {LOOSE}, k AS (SELECT count(*) AS kept FROM loose WHERE id IS NOT NULL AND trim(title) <> '' AND url <> 'javascript:x') SELECT kept, (SELECT count(*) FROM loose) - kept AS dropped FROM k")
+def sanitize_dropped(spark, d):
+    return classify.dropped(loose(spark, d))
+
+
+@query("pool_first_wins", f"WITH {R.HALVES} SELECT id, heat FROM a UNION ALL SELECT id, heat FROM b WHERE id NOT IN (SELECT id FROM a)")
+def pool_first_wins(spark, d):
+    return state.first_wins(*R.halves(spark, d)).select("id", "heat")
+
+
+@query("pool_last_wins", f"WITH {R.HALVES} SELECT id, heat FROM b UNION ALL SELECT id, heat FROM a WHERE id NOT IN (SELECT id FROM b)")
+def pool_last_wins(spark, d):
+    return state.last_wins(*R.halves(spark, d)).select("id", "heat")
+
+
+@query("archive_or_current", f"WITH {R.HALVES} SELECT id, heat FROM b")
+def archive_or_current(spark, d):
+    old, new = R.halves(spark, d)
+    return state.either(old.where("heat < 0"), new).select("id", "heat")
+
+
+@query("notes_budget", f"WITH {SMALL} SELECT id FROM small WHERE id % 4 <> 0 ORDER BY heat DESC, id LIMIT 30")
+def notes_budget(spark, d):
+    return state.to_enrich(small(spark, d), "summary", R.by_heat(), 30).select("id")
+
+
+@query("candidate_merge", "WITH r AS (SELECT n, 'N' || CAST(n AS VARCHAR) AS name FROM range(60) t(n)) SELECT name AS full_name, CASE WHEN n % 2 = 0 THEN n ELSE n + 100 END AS stars, CASE WHEN n % 2 = 0 AND n % 3 = 0 THEN 'paper,trending' WHEN n % 2 = 0 THEN 'trending' ELSE 'paper' END AS sources FROM r WHERE n % 2 = 0 OR n % 3 = 0")
+def candidate_merge(spark, d):
+    n = F.col("id")
+    one = spark.range(0, 60, 2).select(F.concat(F.lit("N"), n.cast("string")).alias("full_name"), n.alias("stars"), F.lit("x").alias("description"))
+    two = spark.range(0, 60, 3).select(F.when(n % 2 == 0, F.concat(F.lit("n"), n.cast("string"))).otherwise(F.concat(F.lit("N"), n.cast("string"))).alias("full_name"), (n + 100).alias("stars"), F.lit("y").alias("description"))
+    return repos.merged_candidates([("trending", one), ("paper", two)]).select("full_name", "stars", F.array_join("sources", ",").alias("sources"))
+
+
+@query("snapshot_meta", "SELECT '2024-01-31T00:00:00' AS fetched_at, (SELECT count(*) FROM documents) AS count, string_agg(source || '=' || CAST(n AS VARCHAR), ',' ORDER BY source) AS sources FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+def snapshot_meta(spark, d):
+    one = snapshots.meta_of(tables.table(spark, d, "documents"), NOW)
+    entries = F.transform(F.array_sort(F.map_entries("sources")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return one.select("fetched_at", "count", F.array_join(entries, ",").alias("sources"))
+
+
+@query("repo_snapshot", f"WITH {REPO_VIEW}, s AS (SELECT source, count(*) AS n FROM (SELECT unnest(sources) AS source FROM repos) GROUP BY source) SELECT '{NOW}' AS fetched_at, '2023-12-01' AS started_at, (SELECT count(*) FROM repos) AS count, string_agg(source || '=' || CAST(n AS VARCHAR), ',' ORDER BY source) AS by_source FROM s")
+def repo_snapshot(spark, d):
+    old = spark.createDataFrame([("2023-12-01",)], "started_at string")
+    one = snapshots.repo_snapshot(repo_view(spark, d), NOW, old)
+    entries = F.transform(F.array_sort(F.map_entries("by_source")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return one.select("fetched_at", "started_at", "count", F.array_join(entries, ",").alias("by_source"))
+
+
+SEEDS = [("First", "one", "tip"), ("Second", "two", "paper"), ("Third", "three", "industry")]
+
+
+@query("sample_items", f"SELECT 'mock-' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS id, (['First', 'Second', 'Third'])[i % 3 + 1] || CASE WHEN i >= 3 THEN ' (' || CAST(i // 3 + 1 AS VARCHAR) || ')' ELSE '' END AS title, strftime(TIMESTAMP '{NOW}' - to_hours(CAST(i * 3 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.000Z') AS published_at, greatest(25, 95 - i + ((i * 13 + 7) % 10)) AS heat, i % 3 <> 0 AS ai_selected FROM range(120) t(i)")
+def sample_items(spark, d):
+    return snapshots.sample_items(spark, SEEDS, [("a", "https://a"), ("b", "https://b")], NOW).select("id", "title", "published_at", "heat", "ai_selected")
+
+
+@query("near_duplicates")
+def near_duplicates(spark, d):
+    rows = tables.items(spark, d).select("id", "title", "summary", "ai_selected", "engagement", "published_at")
+    return dedupe.collapse_near_dups(rows).select("id")
+
+
+@query("distinct_tags", f"WITH {R.TAGGED} SELECT count(DISTINCT tag) AS tags FROM tagged")
+def distinct_tags(spark, d):
+    return R.tagged(spark, d).select(F.explode("tags").alias("tag")).agg(F.count_distinct("tag").alias("tags"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import escaped
+from tidewire.functions.text import clean_html, escaped
 
 
 def rss_entries(items: DataFrame, limit: int = 30) -> DataFrame:
@@ -29,10 +29,50 @@ def linked_data(items: DataFrame, columns: list[str]) -> Column:
     return F.replace(F.to_json(F.struct(*columns)), F.lit("<"), F.lit("\\u003c"))
 
 
-def write_endpoints(items: DataFrame, path: str, top: int = 500, per_category: int = 100) -> None:
-    """JSON files of the hottest items, of each category's and of each day's."""
+def feed_entries(items: DataFrame, now: str, limit: int = 30) -> DataFrame:
+    """(place, entry): the latest items as full RSS items; the description is the note, or else the summary as plain text, or else the title."""
+    order = [F.coalesce("published_at", F.lit("")).desc(), F.col("id")]
+    top = items.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # limit rows
+    tag = lambda name, c, more="": F.concat(F.lit(f"<{name}{more}>"), escaped(c), F.lit(f"</{name}>"))
+    filled = lambda c: F.when(c != "", c)
+    note = [filled(F.col("ai_note"))] if "ai_note" in items.columns else []
+    text = F.coalesce(*note, filled(clean_html(F.col("summary"))), F.col("title"))
+    date = F.date_format(F.coalesce(F.try_to_timestamp("published_at"), F.to_timestamp(F.lit(now))), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    parts = [tag("title", F.col("title")), tag("link", F.coalesce("source_url", F.lit(""))), tag("guid", F.col("id").cast("string"), ' isPermaLink="false"'), tag("source", F.col("source")), tag("pubDate", date), tag("description", text)]
+    return top.select("place", F.concat(F.lit("<item>"), *parts, F.lit("</item>")).alias("entry"))
+
+
+def list_document(items: DataFrame, columns: list[str], order: list[Column], limit: int = 20) -> DataFrame:
+    """One row (document): the first items as a JSON array that is safe inside a script element."""
+    top = items.orderBy(*order).limit(limit).withColumn("__n", F.row_number().over(Window.orderBy(*order)))  # limit rows
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("__n", F.struct(*columns).alias("v")))), lambda x: x["v"])
+    return top.agg(F.replace(F.to_json(rows), F.lit("<"), F.lit("\\u003c")).alias("document"))
+
+
+def sources_list(items: DataFrame) -> DataFrame:
+    """(source, n) of all sources, those of most items first."""
+    return items.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source")
+
+
+def latest_days(items: DataFrame, days: int = 30) -> DataFrame:
+    """Items of the latest days, by first_seen or else published_at."""
+    times = [c for c in ("first_seen", "published_at") if c in items.columns]
+    keyed = items.withColumn("day", F.substring(F.coalesce(*times, F.lit("")), 1, 10)).where("day <> ''")
+    return keyed.join(F.broadcast(keyed.select("day").distinct().orderBy(F.desc("day")).limit(days)), "day")  # as many rows as days
+
+
+def write_endpoints(items: DataFrame, path: str, stories: DataFrame | None = None, repos: DataFrame | None = None, top: int = 500, per_category: int = 100, days: int = 30, top_stories: int = 50) -> None:
+    """JSON files under path: the hottest items, each category's, each of the latest days', the list of days, the sources, and stories and repositories."""
     order = [F.coalesce("heat", F.lit(0)).desc(), F.col("id")]
-    items.orderBy(*order).limit(top).coalesce(1).write.mode("overwrite").json(f"{path}/items")
+    one = lambda frame, name: frame.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")  # noqa: E731  small tables
+    one(items.orderBy(*order).limit(top), "items")
     rank = F.row_number().over(Window.partitionBy("category").orderBy(*order))
     items.withColumn("rank", rank).where(F.col("rank") <= per_category).write.mode("overwrite").partitionBy("category").json(f"{path}/categories")
-    items.withColumn("day", F.substring("published_at", 1, 10)).write.mode("overwrite").partitionBy("day").json(f"{path}/days")
+    recent = latest_days(items, days)
+    recent.write.mode("overwrite").partitionBy("day").json(f"{path}/days")
+    one(recent.groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("day")), "index")
+    one(sources_list(items), "sources")
+    if stories is not None:
+        one(stories.orderBy(F.desc("n_sources"), "story").limit(top_stories), "stories")
+    if repos is not None:
+        repos.write.mode("overwrite").json(f"{path}/repos")

@@ -29,6 +29,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tagged_documents(spark: SparkSession, sf_dir: str, tags) -> DataFrame:
+    """id, published_at and tags (a function of a text column) of the items.
+
+    Texts become tags where they are read, so that no join carries them.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tags(F.col("text")).alias("tags"))
+    times = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"))
+    return docs.join(times, "id")
+
+
 def stream_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items from events alone: id, source, category, published_at and heat (the value's floor)."""
     return table(spark, sf_dir, "events").select(
