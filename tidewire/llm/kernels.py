@@ -170,9 +170,14 @@ def membership(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def shared_path(spark, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a local default is set where there is none."""
+    """A fresh folder under the cluster's shared checkpoint folder.
+
+    Where spark.checkpoint.dir is unset, as in tests, it is a local one, which only a session on one machine can use.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), "tidewire-checkpoints")
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)

@@ -432,8 +432,8 @@ def score_texts(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.total // 4_000_000))
     blocks = rows.mapInArrow(_blocks(shared, parts), BLOCK).repartition(parts, "part").sortWithinPartitions("part")
     path = K.shared_path(spark, "bigrams")
-    # one row group a file, so that no part is read by two tasks
-    blocks.write.option("parquet.block.size", 1 << 30).option("compression", "none").parquet(path)
+    # one file a part and one row group a file, so that no part is read by two tasks: a part holds some 4 million tokens
+    blocks.write.option("parquet.block.size", 1 << 30).option("maxRecordsPerFile", 0).option("compression", "none").parquet(path)
     blocks = spark.read.schema(BLOCK).parquet(path)
     pairs = blocks.where("part >= 0").select("part", "flush", "bits", "occ", "docs", "out")
     hot = np.zeros(HOT * HOT, np.int64)

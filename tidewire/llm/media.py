@@ -2,8 +2,8 @@
 
 A payload is cut where a rolling gear hash of its last 32 bytes has zeros in its low bits.  Chunks are named by the first
 16 bytes of their SHA-256; of equal chunks one media object keeps the bytes, and the others only list the name.  A media
-object, in its stored form, is "CDC1", the number of chunks, each chunk's size and digest, and the chunks' 8-bit samples.
-In the store it is a row: the chunk list, and the bytes of the chunks that it owns, which Parquet compresses.
+object is stored as a row: the ordered chunk list (each chunk's size, name and whether it is owned) and the 8-bit samples of the chunks that
+it owns, which Parquet compresses.  Its bytes and hash are those of that list and those samples, as they are read back.
 """
 
 from __future__ import annotations
@@ -148,9 +148,9 @@ def _lent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(parts, pa.binary())], ["digest", "part"])
 
 
-def stored_form(chunks: list[tuple[bytes, bytes]]) -> bytes:
-    """A media object of (digest, samples) in order."""
-    return b"CDC1" + struct.pack("<I", len(chunks)) + b"".join(struct.pack("<I", len(x)) + d for d, x in chunks) + b"".join(x for _, x in chunks)
+def stored_form(chunks: list[dict], own: bytes) -> bytes:
+    """What a media row holds, as bytes: "CDC1", the number of chunks, each chunk's size, ownership and name, and the owned samples."""
+    return b"CDC1" + struct.pack("<I", len(chunks)) + b"".join(struct.pack("<IB", c["size"], c["owned"]) + c["digest"] for c in chunks) + own
 
 
 def features(payload: bytes, n_chunks: int) -> str:
@@ -175,8 +175,8 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = hashlib.sha256(bit).digest()
                 if digest[:NAME_BYTES] != c["digest"]:
                     raise ValueError("a chunk isn't the one that its list names")
-                out.append((digest, bit))
-            payload, media = b"".join(x for _, x in out), stored_form(out)
+                out.append(bit)
+            payload, media = b"".join(out), stored_form(chunks, own)
             rows.append((name.as_py(), len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).digest(), features(payload, len(out))))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 7, (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
