@@ -221,3 +221,62 @@ def test_categories(spark):
 def test_empty_and_null_rows(spark, rows):
     frame = spark.createDataFrame(rows, REPO)
     assert repo_kinds.with_track(frame).count() == len(rows)
+
+
+PAGE = """<html><article class="Box-row"><h2 class="h3"><a data-x="1" href="/acme/big.tool">acme / big.tool</a></h2><p class="col-9 color">Builds &amp; <b>ships</b>
+ agents</p><span itemprop="programmingLanguage">Rust</span><span class="repo-language-color" style="background-color: #dea584"></span>
+<a href="/acme/bigxtool/stargazers"><svg></svg> 9</a><a href="/acme/big.tool/stargazers"><svg a="b"></svg> 41,203</a><a href="/acme/big.tool/forks"><svg></svg>5,555</a>
+<img class="avatar mb" src="https://a/1?s=40&amp;v=4" width="20" alt="@ann"/><img class="avatar" src="https://a/2" alt="@bob"/> 15,537 stars this week</article>
+<article class="Box-row"><h2><a href="/x/bare">bare</a></h2> 1 star today</article><article class="Box-row"><p>no name</p></article></html>"""
+
+
+def test_trending_pages(spark):
+    from tidewire.operators import repos
+
+    got = {r.full_name: r for r in repos.trending_rows(spark.createDataFrame([(PAGE,), ("",), (None,)], "html string")).collect()}
+    a, b = got["acme/big.tool"], got["x/bare"]
+    assert len(got) == 2 and (a.description, a.language, a.language_color, a.stars, a.forks, a.gained) == ("Builds & ships agents", "Rust", "#dea584", 41203, 5555, 15537)
+    assert [(m.login, m.avatar) for m in a.built_by] == [("ann", "https://a/1?s=40&v=4"), ("bob", "https://a/2")]
+    assert (b.description, b.language, b.stars, b.forks, b.gained, b.built_by) == (None, None, 0, 0, 1, [])
+
+
+def test_snapshots_are_written_and_read(spark, tmp_path):
+    from tidewire.sources import exports, snapshots
+
+    d, kind = str(tmp_path), "id string, source string, fetched_at string"
+    for name, body in (("array", '[{"id": "1", "source": "a"}, {"id": "2", "source": "b"}]'), ("object", '{"items": [{"id": "3", "source": "a"}]}'), ("bad", "oops")):
+        (tmp_path / f"{name}.json").write_text(body)
+    read = lambda n: sorted(r.id for r in snapshots.read_items(spark, f"{d}/{n}.json", kind).collect())
+    assert read("array") == ["1", "2"] and read("object") == ["3"] and read("bad") == [] and read("missing") == []
+    rows = spark.createDataFrame([("1", "a", None), ("2", "b", "then"), ("3", "a", None)], kind)
+    snapshots.write_snapshot(rows, f"{d}/s", "now", spark.createDataFrame([("b", "HTTP 429")], "source string, error string"))
+    assert sorted(r.fetched_at for r in spark.read.parquet(f"{d}/s/items").collect()) == ["now", "now", "then"]
+    meta = snapshots.read_meta(spark, f"{d}/s/meta", rows).first()
+    assert (meta.fetched_at, meta["count"], meta.sources, meta.errors) == ("now", 3, {"a": 2, "b": 1}, {"b": "HTTP 429"})
+    derived = snapshots.read_meta(spark, f"{d}/none", rows).first()
+    assert derived["count"] == 3 and derived.fetched_at is None and snapshots.read_meta(spark, f"{d}/none", rows.where("false")).count() == 0
+    assert snapshots.read_archive(spark, f"{d}/none", kind).count() == 0
+    full = rows.withColumns({"heat": F.lit(3), "category": F.lit("tip"), "published_at": F.lit("2024-01-02T00"), "first_seen": F.lit(None).cast("string")})
+    exports.write_endpoints(full, f"{d}/api", repos=rows)
+    assert spark.read.json(f"{d}/api/sources").count() == 2 and spark.read.json(f"{d}/api/days").first()["id"] and spark.read.json(f"{d}/api/repos").count() == 3
+    assert [r.n for r in spark.read.json(f"{d}/api/index").collect()] == [3]
+
+
+def test_small_functions(spark):
+    assert column(spark, ["Fast 🚀 tool ⚡️ here", "plain"], T.without_emoji) == ["Fast tool here", "plain"]
+    assert column(spark, ["An AI and ai.", None], lambda c: T.highlighted(c, "ai")) == ["An <mark>AI</mark> and <mark>ai</mark>.", None]
+    assert column(spark, [[1, 2, 3], [1]], lambda c: T.last_of(c, 2), "array<int>") == [[2, 3], [1]]
+    assert column(spark, ["HTTPS://A.Example/x?y", "not a url", None], T.host) == ["a.example", None, None]
+    slots = column(spark, ["", "机器之心", "a😀"], T.hash_slot)
+    h = 0
+    for unit in (0x673A, 0x5668, 0x4E4B, 0x5FC3):
+        h = (h * 31 + unit + 2**31) % 2**32 - 2**31
+    assert slots[:2] == [0, abs(h) % 10]
+    from tidewire.functions import times
+
+    now = "2026-07-27T00:30:00"
+    seen = column(spark, ["2026-07-27T00:29:30", "2026-07-27T00:10:00", "2026-07-26T16:30:00", "2026-07-26T15:30:00", "2026-07-01T01:02:03", "junk", None], lambda c: times.relative(c, F.lit(now)))
+    assert seen == ["刚刚", "20 分钟前", "8 小时前", "昨天", "7/1 09:02", "", ""]
+    assert column(spark, ["2026-07-27T00:10:00", "2026-07-25T00:00:00", "junk"], lambda c: times.window(c, F.lit(now))) == ["今天（2026-07-27）", "2026-07-25 ~ 2026-07-27", ""]
+    assert column(spark, ["2026-07-01", "2026-01-01", None], lambda c: times.is_young(c, F.lit(now))) == [True, False, False]
+    assert column(spark, ["Mon, 01 Jan 2024 10:00:00 +0200", "2024-01-01", "junk", None], feeds.iso_time) == ["2024-01-01T08:00:00.000Z", "2024-01-01T00:00:00.000Z", None, None]

@@ -23,8 +23,9 @@ def editorial_week(c: Column) -> Column:
 
 
 def age_days(c: Column, now: Column) -> Column:
-    """Whole days between two instants, 0 at least."""
-    return F.greatest(F.floor((instant(now).cast("long") - instant(c).cast("long")) / 86400), F.lit(0))
+    """Whole days between two instants, 0 at least; null if one can't be read."""
+    days = F.floor((instant(now).cast("long") - instant(c).cast("long")) / 86400)
+    return F.when(days.isNotNull(), F.greatest(days, F.lit(0)))
 
 
 def editorial(c: Column) -> Column:

@@ -75,3 +75,8 @@ def personalised(items: DataFrame, muted: list[str], sources: list[str], categor
     """Items without muted sources, and whether a followed source or category puts them first."""
     out = items.where(~F.col("source").isin(muted)) if muted else items
     return out.withColumn("followed", F.col("source").isin(sources) | F.coalesce(F.col("category").isin(categories), F.lit(False)))
+
+
+def floated(items: DataFrame, order: list[Column]) -> DataFrame:
+    """Personalised items with the followed ones first, each part in the given order."""
+    return items.orderBy(F.desc("followed"), *order)

@@ -592,3 +592,28 @@ def near_duplicates(spark, d):
 @query("distinct_tags", f"WITH {R.TAGGED} SELECT count(DISTINCT tag) AS tags FROM tagged")
 def distinct_tags(spark, d):
     return R.tagged(spark, d).select(F.explode("tags").alias("tag")).agg(F.count_distinct("tag").alias("tags"))
+
+
+@query("near_tokens", f"WITH {ITEMS} SELECT DISTINCT id, unnest(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9.-]{{2,}}')) AS token FROM items")
+def near_tokens(spark, d):
+    return tables.items(spark, d).select("id", F.explode(dedupe.near_tokens(F.col("title"))).alias("token"))
+
+
+@query("new_badges", f"WITH {R.STREAM} SELECT id, epoch(TIMESTAMP '2024-01-31') - epoch(CAST(published_at AS TIMESTAMP)) < 86400 AS new, floor((epoch(TIMESTAMP '2024-01-31') - epoch(CAST(published_at AS TIMESTAMP))) / 86400) <= 60 AS young, CAST(floor((epoch(TIMESTAMP '2024-01-31') - epoch(CAST(published_at AS TIMESTAMP))) / 86400) AS BIGINT) AS age FROM stream")
+def new_badges(spark, d):
+    at, now = F.col("published_at"), F.lit(NOW)
+    return R.stream(spark, d).select("id", times.is_new(at, now).alias("new"), times.is_young(at, now).alias("young"), times.age_days(at, now).alias("age"))
+
+
+@query("rag_context", f"WITH {R.STREAM}, t AS (SELECT id, category, source, heat, row_number() OVER (ORDER BY heat DESC, id) AS n FROM stream ORDER BY heat DESC, id LIMIT 15) SELECT id, '[' || CAST(n AS VARCHAR) || '] ' || category || ' (' || source || ')' AS line FROM t")
+def rag_context(spark, d):
+    rows = R.stream(spark, d).orderBy(*R.by_heat()).limit(15)
+    return search.context_lines(rows.select("id", F.col("category").alias("title"), "source", F.col("heat").alias("score")))
+
+
+@query("home_feed", f"WITH {TITLED}, {R.REPOS.replace(R.PARTS + ', ', '')}, m AS (SELECT *, CASE WHEN weekly IS NOT NULL THEN 'weekly' WHEN daily IS NOT NULL THEN 'daily' ELSE 'monthly' END AS period, coalesce(weekly, daily, monthly) AS gained, row_number() OVER (PARTITION BY url ORDER BY ord DESC) AS n FROM repos), c AS (SELECT *, {CASCADE} AS class FROM titled) SELECT c.id, c.class AS category, CASE WHEN m.gained > 0 THEN m.full_name END AS repo FROM c LEFT JOIN m ON m.n = 1 AND m.url = lower(regexp_replace(regexp_replace(c.source_url, '[#?].*$', ''), '/+$', ''))")
+def home_feed(spark, d):
+    page = F.col("page_id")
+    found = tables.table(spark, d, "pages").select(F.concat(F.lit("r"), page.cast("string")).alias("full_name"), repos.plain_url(F.col("url")).alias("url"), page.alias("ord"), F.when(page % 3 == 0, page % 7).alias("weekly"), F.when(page % 2 == 0, page % 5).alias("daily"), (page % 11).alias("monthly"))
+    none = spark.createDataFrame([], "full_name string, ord long, id long")
+    return repos.with_trend(taxonomy.with_category(titled(spark, d)), found, none).select("id", "category", "repo")

@@ -76,3 +76,9 @@ def write_endpoints(items: DataFrame, path: str, stories: DataFrame | None = Non
         one(stories.orderBy(F.desc("n_sources"), "story").limit(top_stories), "stories")
     if repos is not None:
         repos.write.mode("overwrite").json(f"{path}/repos")
+
+
+def write_insights(insights: DataFrame, path: str) -> None:
+    """Weekly insights (label, insight) as JSON, a folder for each week; empty ones don't take the place of what is there."""
+    some = insights.where("insight <> ''").withColumn("week", F.substring("label", 1, 10))
+    some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").json(path)
