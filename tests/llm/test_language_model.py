@@ -113,3 +113,17 @@ def test_packing_and_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = L.score_texts(one, F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == pytest.approx(0) and r.score < 0
+
+
+def test_a_hot_bigram_and_a_very_long_text(spark):
+    rows = [(i, "hot pair " * 50 + f"own{i}") for i in range(40)] + [(100, "hot pair " * 20_000), (101, " ".join(f"only{k}" for k in range(20_000))), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
+    got = {r.doc_id: r for r in L.score_texts(docs, out).collect()}
+    c = Counter(t for i, x in rows if not held(i) for t in toks(x))
+    total = sum(c.values())
+    for i, x in rows:
+        assert (got[i].n_tokens, got[i].train_tokens) == (len(toks(x)), total)
+        assert got[i].base_score == pytest.approx(sum(math.log10((c[t] + 0.1) / (total + 0.1 * (len(c) + 1))) for t in toks(x)), rel=1e-9)
+        assert math.isfinite(got[i].score)
+    assert got[100].score / got[100].n_tokens > got[100].base_score / got[100].n_tokens

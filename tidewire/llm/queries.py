@@ -36,4 +36,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_unigram_pieces": op10_unigram_pieces,
     "pipeline": _pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Windows as word sequences that documents and items share; learned, iterative and encoding operators have no SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_automaton": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS pos FROM i WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, n, array_to_string(w[pos : pos + n - 1], ' ') AS g FROM s),
+p AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM wins)),
+hits AS (SELECT g.r, g.pos, g.n, wins.item FROM (SELECT r, pos, n, array_to_string(w[pos : pos + n - 1], ' ') AS g FROM p) g JOIN wins USING (n, g)),
+words AS (SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS word FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+}

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import kernels as K
@@ -294,11 +294,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, la
 
     A sentence has its text's label.  The machine learns from sentences that have a value with some
     landmark; the sigmoid from whole texts, by cross-validation.  At most sample_rows labelled rows are
-    taken, those whose ids have the least hashes, and at most sample_sentences of their sentences; rows with a null id
-    or label are left out.  Without rows of both labels every text gets the smoothed share of toxic rows.
+    taken, those whose ids have the least hashes, and at most sample_sentences of their sentences; of documents that share an id
+    and a label one is taken; rows with a null id or label are left out.  Without rows of both labels every text gets the smoothed share of toxic rows.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "toxic").limit(sample_rows)
-    rows = K.kept(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", (F.xxhash64("doc_id") % 3).cast("int").alias("fold")), "labelled")
+    found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id", "toxic").orderBy(F.xxhash64("text"), "text"))
+    rows = K.kept(found.withColumn("__n", first).where("__n = 1").select("text", "toxic", (F.xxhash64("doc_id") % 3).cast("int").alias("fold")), "labelled")
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     up, down = counts.get(1, 0), counts.get(0, 0)
     nothing = Model(Landmarks([]), np.zeros((0, 0)), np.zeros(1), 0.0, float(np.log((up + 1) / (down + 1))))
