@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,19 @@ REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp"
 STOP_WORDS = "the a an of to in for and or on with is are was at by as its it be from how why what when your you we our this that new now ai llm llms vs via into not no up out about more can will just hn show".split()
 
 
+_BEGIN, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_EDGE = f"(?:{_BEGIN}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){_END})"
+_WORDS = r"\((?:\?:)?[A-Za-z0-9]+(?:\|[A-Za-z0-9]+)*\)"
+
+
 def word_edges(pattern: str) -> str:
-    """A pattern with \\b as it is over ASCII words; Java's \\b counts letters of all scripts."""
-    edge = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-    return pattern.replace("\\b", edge)
+    """A pattern with \\b as it is over ASCII words; Java's \\b counts letters of all scripts.
+
+    Before a letter, digit or list of plain words only what comes before matters, and after such only what comes next.
+    """
+    pattern = re.sub(rf"\\b(?=[A-Za-z0-9]|{_WORDS})", _BEGIN, pattern)
+    pattern = re.sub(rf"((?<!\\)[A-Za-z0-9]|{_WORDS})\\b", lambda m: m[1] + _END, pattern)
+    return pattern.replace("\\b", _EDGE)
 
 
 def collapse(c: Column) -> Column:
@@ -148,7 +159,5 @@ def last_of(array: Column, n: int) -> Column:
 
 def highlighted(c: Column, word: str, before: str = "<mark>", after: str = "</mark>") -> Column:
     """A text with every occurrence of a word, case aside, between two marks."""
-    import re
-
     safe = lambda x: x.replace("\\", "\\\\").replace("$", "\\$")
     return F.regexp_replace(c, f"(?i)({re.escape(word)})", f"{safe(before)}$1{safe(after)}") if word else c

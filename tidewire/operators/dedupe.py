@@ -24,8 +24,7 @@ def best_by(rows: DataFrame, key: Column, score: Column, ord: str = "id") -> Dat
     Only keys, scores and ords are grouped, and reduced before that; rows meet the chosen ords afterwards.
     """
     keyed = rows.select(key.alias("__k"), score.alias("__s"), F.col(ord).alias("__o"))
-    best = keyed.groupBy("__k").agg(F.max("__s").alias("__s"), F.min("__o").alias("place"))
-    kept = keyed.join(best, ["__k", "__s"]).groupBy("__k").agg(F.min("__o").alias(ord), F.min("place").alias("place"))
+    kept = keyed.groupBy("__k").agg(F.min_by("__o", F.struct(-F.col("__s"), "__o")).alias(ord), F.min("__o").alias("place"))
     return rows.join(kept.drop("__k"), ord).select(*rows.columns, "place")
 
 
