@@ -19,5 +19,5 @@ def test_query_against_sql(spark, name):
     got = queries.QUERIES[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
-    rows = lambda frame: sorted(map(tuple, frame[columns].astype(object).values.tolist()), key=str)
+    rows = lambda frame: sorted(map(tuple, frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist()), key=str)
     assert rows(got) == rows(want)

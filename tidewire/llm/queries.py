@@ -7,6 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.llm import fill_middle
 from tidewire.llm.decontaminate import op3_suffix_automaton
 from tidewire.llm.html_text import op4_nearest_url
 from tidewire.llm.huffman import op6_huffman_ids
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_credential_links": op8_credential_links,
     "op9_probminhash": op9_probminhash,
     "op10_unigram_pieces": op10_unigram_pieces,
+    "op11_lookaround_split": fill_middle.op11_lookaround_split,
     "pipeline": _pipeline,
 }
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -48,5 +50,6 @@ hits AS (SELECT g.r, g.pos, g.n, wins.item FROM (SELECT r, pos, n, array_to_stri
 words AS (SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS word FROM hits) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op11_lookaround_split": fill_middle.SQL,
 }
