@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import fill_middle
+from tidewire.llm import fill_middle, merkle
 from tidewire.llm.decontaminate import op3_suffix_automaton
 from tidewire.llm.html_text import op4_nearest_url
 from tidewire.llm.huffman import op6_huffman_ids
@@ -36,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_probminhash": op9_probminhash,
     "op10_unigram_pieces": op10_unigram_pieces,
     "op11_lookaround_split": fill_middle.op11_lookaround_split,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "pipeline": _pipeline,
 }
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -52,4 +53,5 @@ items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
     "op11_lookaround_split": fill_middle.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
