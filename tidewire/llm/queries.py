@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import fill_middle, merkle
+from tidewire.llm import fill_middle, merkle, sharding
 from tidewire.llm.decontaminate import op3_suffix_automaton
 from tidewire.llm.html_text import op4_nearest_url
 from tidewire.llm.huffman import op6_huffman_ids
@@ -37,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_unigram_pieces": op10_unigram_pieces,
     "op11_lookaround_split": fill_middle.op11_lookaround_split,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_histogram_sort": sharding.op13_histogram_sort,
     "pipeline": _pipeline,
 }
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
