@@ -127,3 +127,34 @@ def test_a_hot_bigram_and_a_very_long_text(spark):
         assert got[i].base_score == pytest.approx(sum(math.log10((c[t] + 0.1) / (total + 0.1 * (len(c) + 1))) for t in toks(x)), rel=1e-9)
         assert math.isfinite(got[i].score)
     assert got[100].score / got[100].n_tokens > got[100].base_score / got[100].n_tokens
+
+
+def test_repeated_rows_in_another_order(spark, tmp_path):
+    """Two files hold the same rows, the second in reverse: every row scores as its text does by the counts of both."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"v{rng.randrange(6000)}" for _ in range(2000 + 400 * i))) for i in range(6)]
+    path = str(tmp_path / "docs")
+    for part in (rows, rows[::-1]):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    docs = spark.read.option("maxPartitionBytes", "1b").parquet(path)
+    kept = {}
+    real = L.weights
+    L.weights = lambda w, cells: kept.setdefault("mix", real(w, cells))
+    try:
+        got = L.score_texts(docs, F.col("doc_id") == 0).collect()
+    finally:
+        L.weights = real
+    c, b = Counter(), Counter()
+    for i, x in rows + rows:
+        if i:
+            t = ["</s>", *toks(x)]
+            c.update(t[1:])
+            b.update(zip(t, t[1:]))
+    n, size = sum(c.values()), len(c) + 1
+    assert len(got) == 12
+    for r in got:
+        t, total = ["</s>", *toks(rows[r.doc_id][1])], 0.0
+        for h, w in zip(t, t[1:]):
+            m = kept["mix"][min(23, int(math.log2(max(1, c[h]))))]
+            total += math.log10(m[0] * b[h, w] / max(1, c[h]) + m[1] * c[w] / n + m[2] / size) if c[w] else math.log10(m[2] / size)
+        assert r.score == pytest.approx(total, rel=1e-9)

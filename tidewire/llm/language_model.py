@@ -119,6 +119,11 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
 
 
+def _names(column: pa.Array) -> np.ndarray:
+    """Names of 16 bytes as pairs of integers."""
+    return K.buffers(column)[0].view(np.int64).reshape(-1, 2)
+
+
 def _blocks(shared, parts: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
@@ -131,7 +136,8 @@ def _blocks(shared, parts: int):
         def flush():
             keys, owner = (np.concatenate(x) for x in zip(*held))
             ids, out = np.concatenate(rids), np.concatenate(flags)
-            name = int(K.mix(ids.view(U64)).sum(dtype=U64).view(np.int64))  # the same whenever this task runs again
+            # the same whenever this task runs again, and another for the same texts in another order
+            name = int(K.mix(ids.view(U64).ravel() + np.arange(1, ids.size + 1, dtype=U64) * K.GOLDEN).sum(dtype=U64).view(np.int64))
             part = (K.mix(keys) % U64(parts)).astype(np.int64)
             bits = max(1, int(len(ids)).bit_length())
             occ = (keys << U64(bits)) | owner.astype(U64)
@@ -157,7 +163,7 @@ def _blocks(shared, parts: int):
             some = both & (out[owner] == 0)
             hot += np.bincount(h[some] * HOT + w[some], minlength=HOT * HOT)
             held.append(((h[own].astype(U64) << U64(ID_BITS)) | w[own].astype(U64), owner[own] + docs))
-            rids.append(part.column("rid").to_numpy())
+            rids.append(_names(part.column("rid")))
             flags.append(out)
             size, docs = size + int(own.sum()), docs + part.num_rows
             if size >= FLUSH:
@@ -249,7 +255,7 @@ def _cells(shared):
     return cells
 
 
-RARE = "t long, o long, c_o long, side boolean, rid long, train boolean, k long"
+RARE = "t long, o long, c_o long, side boolean, rid binary, train boolean, k long"
 
 
 def _rare(shared):
@@ -367,7 +373,7 @@ def _bigram_scores(shared):
             n = np.bincount(which[train], minlength=len(unique))
             value = log_probability(words.total, words.size, mix, *counts_of(words, unique), n)[which]
             edges = np.cumsum([0, *(len(x) for _, x in docs)])
-            total = np.bincount(owner, value, edges[-1]).astype(np.float32)
+            total = np.bincount(owner, value, edges[-1])
             columns = [[f for f, _ in docs], [_pack(x) for _, x in docs], [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["flush", "docs", "scores"])
 
@@ -378,13 +384,13 @@ def _flush_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(rid, part_score) from the rows of each flush in turn, sorted by flush; the row without scores names its texts."""
 
     def summed(rows):
-        names = next(np.frombuffer(d, np.int64) for d, x in rows if x is None)
+        names = next(np.frombuffer(d, np.int64).reshape(-1, 2) for d, x in rows if x is None)
         total = np.zeros(len(names))
         for d, x in rows:
             if x is not None:
-                total[_unpack(d).astype(np.int64)] += np.frombuffer(x, np.float32)
-        ids, where = np.unique(names, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(where, total, len(ids)), pa.float64())], ["rid", "part_score"])
+                total[_unpack(d).astype(np.int64)] += np.frombuffer(x, np.float64)
+        ids, where = np.unique(names, axis=0, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(np.bincount(where.ravel(), total, len(ids)), pa.float64())], ["rid", "part_score"])
 
     now, rows = None, []
     for batch in batches:
@@ -425,7 +431,8 @@ def score_texts(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
-    rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
+    # a row's name: 128 bits of its id and text, so that no two rows that differ are taken for one
+    rows = rows.withColumn("rid", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary"))))
     counts = word_counts(rows)
     words = head(counts, head_size)
     shared = spark.sparkContext.broadcast(words)
@@ -449,13 +456,13 @@ def score_texts(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
     h, w = (x.ravel() for x in np.meshgrid(np.arange(ids), np.arange(ids), indexing="ij"))
     grid[h, w] = log_probability(words.total, words.size, mix, words.counts[h], words.counts[w], hot.reshape(HOT, HOT)[h, w])
 
-    kind = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    kind = "doc_id long, rid binary, held_out boolean, n_tokens long, n_known long, base double, score double"
     own = K.kept(rows.mapInArrow(_text_scores(spark.sparkContext.broadcast((words, grid.ravel()))), kind), "scores")
     scored = pairs.mapInArrow(_bigram_scores(spark.sparkContext.broadcast((words, mix))), PART_SCORES)
     named = blocks.where("part < 0 and bits = 0").select("flush", "docs", F.lit(None).cast("binary").alias("scores"))
-    partial = scored.unionByName(named).repartition(parts, "flush").sortWithinPartitions("flush").mapInArrow(_flush_scores, "rid long, part_score double")
+    partial = scored.unionByName(named).repartition(parts, "flush").sortWithinPartitions("flush").mapInArrow(_flush_scores, "rid binary, part_score double")
     copies = own.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
-    tail = rare.mapInArrow(_rare_scores(mix, words.total, words.distinct, words.size), "rid long, part_score double, tail_base double, tail_known long")
+    tail = rare.mapInArrow(_rare_scores(mix, words.total, words.distinct, words.size), "rid binary, part_score double, tail_base double, tail_known long")
     none = partial.select("rid", "part_score", F.lit(0.0).alias("tail_base"), F.lit(0).cast("long").alias("tail_known"))
     added = none.unionByName(tail).groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("part_score", "tail_base", "tail_known")))
     added = added.join(copies, "rid").select("rid", "part_score", "tail_base", "tail_known", "copies")
