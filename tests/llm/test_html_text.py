@@ -36,6 +36,53 @@ def test_blocks():
     assert H.blocks("<p>a<script>never closed <p>b") == [("a", False, False)]
 
 
+def kept(page):
+    return [t for t, _, aside in H.blocks(page) if not aside]
+
+
+def test_names_never_take_the_text():
+    text = "A paragraph that is the text of this page, and long enough to be that."
+    assert kept(f'<div class="content header-image"><h1>Head</h1><p>{text}</p></div>') == ["Head", text]
+    assert kept(f'<div class="alert-levels"><p>{text}</p><div class="sidebar">Side</div></div>') == [text]
+    assert kept(f'<div class="comments"><p>{text}</p></div>') == [text] and kept(f'<div id="header"><nav>m</nav><p>{text}</p></div>') == [text]
+    assert kept(f'<div class="site-header">Site</div><div class="my-banner-box-x">Small</div><div class="page"><p>{text}</p></div><div class="page_footer_links">End</div>') == [text]
+    assert kept(f'<div class="big-header-x"><p>{text}</p><div class="x-promo-y">Buy</div></div><p>{text}</p>') == [text, text]
+    assert kept("<nav>m</nav><form>f</form>") == []
+
+
+def test_tags_that_never_close():
+    import time
+
+    for bad in ("<a ", "<a \"", "<a '", "<a'\"", "<!", "<!-- ", "<aa", "<a b=\"<", "</", "<script ", "<p>x<a \""):
+        page = f"<p>Text.</p>{bad * (1_000_000 // len(bad))}"
+        began = time.time()
+        assert H.blocks(page)[0][0] == "Text."
+        assert time.time() - began < 4, bad
+    assert kept("<p>a < b</p><p>5<6 <b>x</b>") == ["a < b", "5<6 x"]
+    assert kept("<p title='a > b'>one</p><p title=\"it's > \">two</p><p title=\"never closed>three</p>") == ["one", "two", '<p title="never closed>three']
+    assert kept("<script>if (a<b && c=='</p>') x()</script><p>after</p><SCRIPT>1</Script ><p>more") == ["after", "more"]
+
+
+def test_nearest_path(spark):
+    rng = random.Random(9)
+    rows = [(f"{k:03}", rng.choice(["a", "b", ""]), "".join(rng.choice("/xyé") for _ in range(rng.randrange(0, 9)))) for k in range(120)] + [("long", "a", "/x" * 30_000), ("long2", "a", "/x" * 29_000 + "y")]
+    got = {r.key: r.other for r in H.neighbours(spark.createDataFrame(rows, "key string, host string, path string").repartition(6)).collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[2].encode(), r[0]))
+    want = {}
+    for k, (key, host, path) in enumerate(order):
+        best = None
+        for j in (k - 1, k + 1):
+            if 0 <= j < len(order) and order[j][1] == host:
+                n = 0
+                while n < min(len(path), len(order[j][2])) and path[n] == order[j][2][n]:
+                    n += 1
+                if best is None or n > best[0]:
+                    best = (n, order[j][0])
+        if best:
+            want[key] = best[1]
+    assert got == want
+
+
 def made():
     pages = []
     for i in range(30):

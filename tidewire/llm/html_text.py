@@ -4,7 +4,8 @@ A page is read into blocks of text.  Pages of a host are ordered by path, and ea
 shares more of its path; the longest common subsequence of their blocks is what the site repeats, and goes, inside
 article and main elements too.  Of what is left, the blocks in such elements are the text if they hold at least half of its
 characters; else all are, as the element is a teaser.  Menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments that markup names as such are left out on every page, in an article only where the name is of the whole part.
+comments that markup names as such are left out on every page: elements always, classes where the name is of the whole part or the part
+is small, and none where nothing would be left.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,71 +32,171 @@ FRAME_PARTS = {"header", "footer"}
 MAIN = {"article", "main"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "dl", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "caption", "thead", "tbody", "blockquote", "pre", "figure", "figcaption", "form", "fieldset", "address", "hr", "body", "html", "head", "details", "summary", "dialog", "menu"}
 PLAIN_PARTS = {"p", "li", "dt", "dd", "tr", "td", "th", "b", "i", "em", "strong", "a", "span", "u", "small", "font", "code", "sup", "sub", "q", "cite", "mark", "abbr", "time", "label", "html", "body"}
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|adsense|banner|sponsor(?:s|ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alert|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|replies|share|sharing|social|related|recommended|popup|modal|newsletter|subscribe|signup|paywall|widget|toolbar|pagination|pager|skip-link)(?:$|[\s_-]|\d)", re.I)
-# Inside an article or main element a whole class or id, or one of a list or box of such: "post-header" and "social-policy" are text.
-INNER = re.compile(r"(?:^|\s)(?:ads?|advert(?:s|isement|ising)?|adsense|banner|sponsor(?:s|ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|share|sharing|social|related|recommended|popup|modal|newsletter|subscribe|signup|paywall|widget|toolbar|pagination|pager|skip-link)(?:[_-](?:lists?|links?|buttons?|bar|box|section|widget|posts?|articles?|items?|stories|thread|form|area|container|wrapper|block|icons?|notice|banner|slot|unit|\d+))*(?:$|\s)", re.I)
+_WORDS = r"ads?|advert(?:s|isement|ising)?|adsense|banner|sponsor(?:s|ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|share|sharing|social|related|recommended|popup|modal|newsletter|subscribe|signup|paywall|widget|toolbar|pagination|pager|skip-link"
+_FRAME = r"notices?|alert|footer|header|masthead|comment-list"
+_BOXES = r"(?:[_-](?:lists?|links?|buttons?|bar|box|section|widget|posts?|articles?|items?|stories|thread|form|area|container|wrapper|block|icons?|notice|banner|slot|unit|\d+))*"
+#: A class or id that has such a word in it: it may name the part, or be a word of something else, such as "header-image" or "alert-levels".
+NAMED = re.compile(rf"(?:^|[\s_-])(?:{_WORDS}|{_FRAME})(?:$|[\s_-]|\d)", re.I)
+#: A class or id that is such a word, or a list or box of such, of the site or of a side of the page.
+OUTER = re.compile(rf"(?:^|\s)(?:(?:site|page|global|top|bottom|left|right|primary|secondary|mobile|desktop)[_-])*(?:{_WORDS}|{_FRAME}){_BOXES}(?:$|\s)", re.I)
+#: Inside an article or main element: "post-header" and "social-policy" are text.
+INNER = re.compile(rf"(?:^|\s)(?:{_WORDS}){_BOXES}(?:$|\s)", re.I)
+#: A part whose name only has a word in it is left out if it has at most this share of the page's characters.
+SMALL = 0.25
 #: Pages that share this part of the longer one's characters are copies, and no evidence of what the site repeats.
 NEAR = 0.8
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
+MARKS = re.compile("[\"'>]")
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 
+class _Closings:
+    """Where tags close: the first > after a place that no quotes hold.
+
+    All places together cost no more than one pass over the page, however many of its tags are never closed.
+    """
+
+    def __init__(self, page: str) -> None:
+        marks = [(m.start(), m[0]) for m in MARKS.finditer(page)]
+        self.places = [at for at, _ in marks]
+        after: dict[str, int] = {}
+        self.ends = [-1] * (len(marks) + 1)  # by mark, if it is met outside of quotes
+        for k in range(len(marks) - 1, -1, -1):
+            at, mark = marks[k]
+            if mark == ">":
+                self.ends[k] = at
+            elif mark in after:
+                self.ends[k] = self.ends[after[mark] + 1]
+            after[mark] = k
+
+    def after(self, at: int) -> int:
+        """The place of that >, or -1."""
+        return self.ends[bisect_left(self.places, at)]
+
+
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of tags, comments and declarations in order, the latter two without a name.
+
+    Inside a raw element only its end tag counts, which is one more tag; without it the rest of the page is the element's.  A < that
+    begins no tag is text.
+    """
+    at, closings, end = page.find("<"), None, len(page)
+    while at >= 0:
+        if page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            to = end if to < 0 else to + 3
+            yield at, to, False, "", ""
+        elif page.startswith(("<!", "<?"), at):
+            to = page.find(">", at) + 1
+            if not to:
+                return  # nor does any later tag close
+            yield at, to, False, "", ""
+        else:
+            m = TAG.match(page, at) if closings is None else None
+            if m:
+                closing, name, attributes, to = m[1], m[2], m[3], m.end()
+            elif name_of := TAG_NAME.match(page, at):
+                closings = closings or _Closings(page)
+                to = closings.after(name_of.end()) + 1
+                closing, name, attributes = name_of[1], name_of[2], page[name_of.end() : to - 1] if to else ""
+            else:
+                to = 0
+            if not to:
+                at = page.find("<", at + 1)
+                continue
+            name = name.lower()
+            yield at, to, bool(closing), name, attributes
+            if name in RAW and not closing and not attributes.rstrip().endswith("/"):
+                last = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, to)
+                yield (last.start(), last.end(), True, name, "") if last else (end, end, True, name, "")
+                to = last.end() if last else end
+        at = page.find("<", to)
+
+
 def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, in an article or main element, in a part to leave out) of each block with text, in page order."""
+    """(text, in an article or main element, in a part to leave out) of each block with text, in page order.
+
+    Elements and roles decide first.  A whole class or id decides for its part, and one that only has a word of the list in it if the part is small.
+    Where nothing would be left, names decide nothing.
+    """
     page = page or ""
-    out: list[tuple[str, bool, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, main, aside
-    state, words, at = (False, False), [], 0
-    raw = ""
+    out: list[tuple[str, bool, int]] = []
+    parts: list[tuple[bool, int]] = [(False, 0)]  # of names: whether the whole name says it, and the part around it
+    open_: list[tuple[str, bool, int]] = []  # element, main, and the part: 0 none, -1 left out by its kind
+    state, words, at, raw = (False, 0), [], 0, ""
 
     def end() -> None:
         if text := SPACE.sub(" ", entities.unescape("".join(words))).strip():
             out.append((text, *state))
         words.clear()
 
-    for m in TOKEN.finditer(page):
-        if raw:  # inside a raw element only its end tag counts
-            if m[2] and m[1] and m[2].lower() == raw:
-                raw, at = "", m.end()
-            continue
-        if m.start() < at:
+    for start, stop, closing, name, attributes in tags(page):
+        if raw:
+            raw, at = "", stop
             continue
-        words.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+        words.append(page[at:start])
+        at = stop
         if not name:
             continue
         if name in BLOCKS:
             end()
         elif name in ("br", "td", "th", "option", "img"):
             words.append(" ")
-        if m[1]:
+        if closing:
             if any(n == name for n, _, _ in open_):
                 end()
                 while open_.pop()[0] != name:
                     pass
-                state = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+                state = (open_[-1][1], open_[-1][2]) if open_ else (False, 0)
         elif name in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 raw = name
-        elif name not in VOID and not (m[3].endswith("/") and name not in BLOCKS):
-            main = state[0] or name in MAIN
-            aside = state[1] or name in ASIDE or (name in FRAME_PARTS and not state[0])
-            if not aside and name not in MAIN and name not in ("html", "body") and m[3]:
-                named = INNER if main else NAMED
-                for a in NAMES.finditer(m[3]):
+        elif name not in VOID and not (attributes.endswith("/") and name not in BLOCKS):
+            main, part = state[0] or name in MAIN, state[1]
+            if part >= 0 and (name in ASIDE or (name in FRAME_PARTS and not state[0])):
+                part = -1
+            if part >= 0 and name not in MAIN and name not in ("html", "body") and attributes:
+                whole = some = False
+                for a in NAMES.finditer(attributes):
                     value = a[2] or a[3] or a[4] or ""
-                    aside |= value.strip().lower() in ROLES if a[1].lower() == "role" else bool(named.search(value))
-            if name not in PLAIN_PARTS or aside != state[1]:
+                    if a[1].lower() == "role":
+                        part = -1 if value.strip().lower() in ROLES else part
+                    else:
+                        whole |= bool((INNER if main else OUTER).search(value))
+                        some |= not main and bool(NAMED.search(value))
+                if part >= 0 and (whole or some):
+                    parts.append((whole, part))
+                    part = len(parts) - 1
+            if name not in PLAIN_PARTS or part != state[1]:
                 end()
-                open_.append((name, main, aside))
-                state = (main, aside)
+                open_.append((name, main, part))
+                state = (main, part)
     if not raw:
         words.append(page[at:])
     end()
-    return out
+    return _decided(out, parts)
+
+
+def _decided(found: list[tuple[str, bool, int]], parts: list[tuple[bool, int]]) -> list[tuple[str, bool, bool]]:
+    """Blocks with the decisions about named parts; a part comes after the part around it."""
+    sure = [False] * len(parts)  # in a part that its whole name decides for
+    for k in range(1, len(parts)):
+        sure[k] = parts[k][0] or sure[parts[k][1]]
+    sizes = [0] * len(parts)
+    for text, _, part in found:
+        if part >= 0 and not sure[part]:
+            sizes[part] += len(text)
+    for k in range(len(parts) - 1, 0, -1):
+        sizes[parts[k][1]] += sizes[k]
+    gone = [False] * len(parts)
+    for k in range(1, len(parts)):
+        gone[k] = sure[k] or sizes[k] <= SMALL * sizes[0] or gone[parts[k][1]]
+    if not any(part >= 0 and not gone[part] for _, _, part in found):
+        gone = [False] * len(parts)
+    return [(text, main, part < 0 or gone[part]) for text, main, part in found]
 
 
 def own_blocks(page: str | None) -> list[tuple[str, bool]]:
@@ -194,9 +296,10 @@ def neighbours(keys: DataFrame) -> DataFrame:
     near = near.withColumn("before", F.coalesce("before", "before_part")).withColumn("after", F.coalesce("after", "after_part"))
 
     def shared(other: str) -> Column:
-        least = F.least(F.length("path"), F.length(f"{other}.path"))
-        same = F.filter(F.sequence(F.lit(0), least), lambda n: F.col("path").substr(F.lit(1), n) == F.col(f"{other}.path").substr(F.lit(1), n))
-        return F.when(F.col(f"{other}.host") == F.col("host"), F.size(same)).otherwise(-1)
+        letters = lambda c: F.split(c, "")
+        differs = F.array_position(F.zip_with(letters("path"), letters(f"{other}.path"), lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        same = F.when(differs > 0, differs).otherwise(F.length("path") + 1)  # one more than the characters that both begin with
+        return F.when(F.col(f"{other}.host") == F.col("host"), same).otherwise(-1)
 
     near = near.withColumn("b", F.coalesce(shared("before"), F.lit(-1))).withColumn("a", F.coalesce(shared("after"), F.lit(-1)))
     return near.where("a > 0 or b > 0").select("key", F.when(F.col("b") >= F.col("a"), F.col("before.key")).otherwise(F.col("after.key")).alias("other"), "host", "path", "part")
