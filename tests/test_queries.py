@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidewire.plans import registry, site  # noqa: F401
+from tidewire.plans import registry, services, site  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
