@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.lineage import shared_folder
 from tidewire.operators import fulltext
 from tidewire.plans.registry import query
-from tidewire.sources import tables
+from tidewire.sources import feed_source, tables
 
 # -- search
 
@@ -64,3 +67,42 @@ def index_compacted(spark, d):
     fulltext.update(rows.where("false"), path, rows.where("id % 5 = 0").select("id"))
     fulltext.compact(spark, path)
     return fulltext.found(spark, path, asked(spark, d))
+
+
+# -- feeds as a source
+
+FEED_NAMES = [f"src{k}" for k in range(20)] + ["ghost"]
+TITLES = "trim(regexp_replace(split_part(text, chr(10), 1), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))"
+LISTED = f"e AS (SELECT source, doc_id, {TITLES} AS title, 'https://feed.example/' || CAST(doc_id AS VARCHAR) AS link, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord FROM documents), i AS (SELECT * FROM e WHERE ord < 20 AND title <> '' AND source <> 'src3')"
+
+
+def written_feeds(spark, d) -> str:
+    """A folder with a feed of each source's first 30 documents; that of src3 breaks off."""
+    docs = tables.table(spark, d, "documents")
+    title = F.trim(F.regexp_replace(F.split("text", "\n")[0], "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
+    safe = F.replace(F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    entry = F.concat(F.lit("<item><title>"), safe, F.lit("</title><link>https://feed.example/"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
+    first = docs.select("source", "doc_id", entry.alias("entry"), nth.alias("nth")).where("nth <= 30")
+    body = first.groupBy(F.col("source").alias("feed")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "entry"))), lambda x: x["entry"]), "\n").alias("entries"))
+    whole = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss><channel>'), "entries", F.lit("</channel></rss>"))
+    path = shared_folder(spark, "feeds")
+    body.select("feed", F.when(F.col("feed") == "src3", F.substring(whole, 1, 200)).otherwise(whole).alias("value")).write.partitionBy("feed").text(path)
+    return path
+
+
+def fetched(spark, d, **options):
+    registry = json.dumps([{"feed": f"rss:{n}", "source": n.upper()} for n in FEED_NAMES])
+    return feed_source.documents(spark, written_feeds(spark, d), registry=registry, pattern="feed={name}", **options)
+
+
+@query("feed_fan_out", f"WITH {LISTED}, f AS (SELECT unnest({FEED_NAMES}) AS name) SELECT 'rss:' || name AS feed, upper(name) AS source, (SELECT count(*) FROM i WHERE i.source = name) AS n, name IN ('ghost', 'src3') AS failed FROM f")
+def feed_fan_out(spark, d):
+    _, report = feed_source.crawled(fetched(spark, d))
+    return report.select("feed", "source", "n", F.col("error").isNotNull().alias("failed"))
+
+
+@query("feed_adapters", f"WITH {LISTED} SELECT 'rss:' || source || '-' || substr(sha1(link), 1, 10) AS id, upper(source) AS source, ord, title, link AS source_url FROM i WHERE source LIKE 'src1%' OR source = 'src5'")
+def feed_adapters(spark, d):
+    items, _ = feed_source.crawled(fetched(spark, d, only=["rss:src1", "rss:src5"]))
+    return items.select("id", "source", "ord", "title", "source_url")
