@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.lineage import shared_folder
-from tidewire.operators import fulltext
+from tidewire.operators import admission, fulltext
 from tidewire.plans.registry import query
 from tidewire.sources import feed_source, tables
 
@@ -106,3 +106,29 @@ def feed_fan_out(spark, d):
 def feed_adapters(spark, d):
     items, _ = feed_source.crawled(fetched(spark, d, only=["rss:src1", "rss:src5"]))
     return items.select("id", "source", "ord", "title", "source_url")
+
+
+# -- admission
+
+
+def admission_sql(origin: str, limit: int, seconds: int, where: str = "true") -> str:
+    """One request after another, by recursion."""
+    micros = seconds * 1_000_000
+    return f"""WITH RECURSIVE e AS (SELECT event_id, {origin} AS origin, epoch_us(ts) AS micros, row_number() OVER (PARTITION BY {origin} ORDER BY ts, event_id) AS n FROM events WHERE {where}),
+s AS (SELECT origin, n, event_id, 1 AS used, micros AS latest, TRUE AS admitted FROM e WHERE n = 1
+UNION ALL SELECT e.origin, e.n, e.event_id, CASE WHEN e.micros - s.latest >= {micros} THEN 1 WHEN s.used >= {limit} THEN s.used ELSE s.used + 1 END, CASE WHEN e.micros - s.latest >= {micros} OR s.used < {limit} THEN e.micros ELSE s.latest END, e.micros - s.latest >= {micros} OR s.used < {limit} FROM s JOIN e ON e.origin = s.origin AND e.n = s.n + 1)
+SELECT event_id AS id, admitted FROM s UNION ALL SELECT event_id, FALSE FROM events WHERE NOT ({where})"""
+
+
+def requests(spark, d, origin: str):
+    return tables.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col(origin).cast("string").alias("origin"), "ts")
+
+
+@query("admission_users", admission_sql("user_id", 3, 86400, "user_id < 100"))
+def admission_users(spark, d):
+    return admission.admitted(requests(spark, d, "user_id"), 3, 86400, [f"{k}/" for k in range(100)]).select("id", "admitted")
+
+
+@query("admission_types", admission_sql("event_type", 20, 3600))
+def admission_types(spark, d):
+    return admission.admitted(requests(spark, d, "event_type")).select("id", "admitted")
