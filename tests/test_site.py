@@ -250,8 +250,9 @@ def test_snapshots_are_written_and_read(spark, tmp_path):
     assert read("array") == ["1", "2"] and read("object") == ["3"] and read("bad") == [] and read("missing") == []
     rows = spark.createDataFrame([("1", "a", None), ("2", "b", "then"), ("3", "a", None)], kind)
     snapshots.write_snapshot(rows, f"{d}/s", "now", spark.createDataFrame([("b", "HTTP 429")], "source string, error string"))
-    assert sorted(r.fetched_at for r in spark.read.parquet(f"{d}/s/items").collect()) == ["now", "now", "then"]
-    meta = snapshots.read_meta(spark, f"{d}/s/meta", rows).first()
+    items, meta = snapshots.read_snapshot(spark, f"{d}/s")
+    assert sorted(r.fetched_at for r in items.collect()) == ["now", "now", "then"]
+    meta = meta.first()
     assert (meta.fetched_at, meta["count"], meta.sources, meta.errors) == ("now", 3, {"a": 2, "b": 1}, {"b": "HTTP 429"})
     derived = snapshots.read_meta(spark, f"{d}/none", rows).first()
     assert derived["count"] == 3 and derived.fetched_at is None and snapshots.read_meta(spark, f"{d}/none", rows.where("false")).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import word_edges
@@ -65,30 +65,60 @@ def safe_url(c: Column, https_only: bool = False) -> Column:
     return F.when(url.rlike("^https://" if https_only else "^https?://") & (F.length(url) <= LONGEST_URL), url)
 
 
+#: What an item must have after its fields are mended, in the order in which a missing one is named.
+REQUIRED = ("id", "title", "source", "source_url")
+
+
 def sanitised(items: DataFrame) -> DataFrame:
     """Items with an id, a title, a source and an http(s) URL; fields are trimmed and cut, bad numbers and times mended.
 
     Heat is 0 where it isn't a number from 0; engagement, times, and images without https are null where they are bad; empty
     tags go.  A column that items lack is left out.
     """
+    return mended(items).where(" and ".join(f"{c} is not null" for c in REQUIRED))
+
+
+def observed(items: DataFrame, name: str = "sanitiser") -> tuple[DataFrame, Observation]:
+    """(sanitised items, observation): once an action has run on the items, observation.get has n, kept, and no_<column> of
+    those dropped for a column, the first that they lack.  Nothing is scanned twice."""
+    seen = Observation(name)
+    return with_metrics(mended(items), seen), seen
+
+
+def observed_stream(items: DataFrame, name: str = "sanitiser") -> DataFrame:
+    """The same of a stream: each batch's metrics are in its progress, under the name."""
+    return with_metrics(mended(items), name)
+
+
+def with_metrics(rows: DataFrame, seen: Observation | str) -> DataFrame:
+    """Mended rows that have all they must, counted on the way."""
+    lacks = F.lit(None).cast("string")
+    for c in reversed(REQUIRED):
+        lacks = F.when(F.col(c).isNull(), c).otherwise(lacks)
+    counts = [F.count_if(F.coalesce(lacks == c, F.lit(False))).alias(f"no_{c}") for c in REQUIRED]
+    return rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(lacks.isNull()).alias("kept"), *counts).where(lacks.isNull())
+
+
+def mended(items: DataFrame) -> DataFrame:
+    """Items with their fields mended, those that lack what they must too."""
     from tidewire.functions.text import clamped, half_up
 
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     number, heat = F.col("engagement").cast("double"), F.col("heat").cast("double") if "heat" in items.columns else F.lit(0.0)
     cut = {c: clamped(F.col(c), n) for c, n in LONGEST.items() if c in items.columns and (c != "id" or items.schema["id"].dataType.simpleString() == "string")}
-    mended = {
+    fields = {
         **cut,
         "source_url": safe_url(F.col("source_url")),
         "engagement": F.when(finite(number) & (number > 0), half_up(number)),
         **{c: F.when(F.try_to_timestamp(c).isNotNull(), F.col(c)) for c in ("published_at", "first_seen", "fetched_at") if c in items.columns},
     }
     if "heat" in items.columns:
-        mended["heat"] = F.when(finite(heat) & (heat >= 0), half_up(heat)).otherwise(0)
+        fields["heat"] = F.when(finite(heat) & (heat >= 0), half_up(heat)).otherwise(0)
     if "image" in items.columns:
-        mended["image"] = safe_url(F.col("image"), https_only=True)
+        fields["image"] = safe_url(F.col("image"), https_only=True)
     if "tags" in items.columns:
-        mended["tags"] = F.transform(F.slice(F.filter("tags", lambda t: F.trim(t) != ""), 1, MOST_TAGS), lambda t: F.substring(F.trim(t), 1, LONGEST_TAG))
-    return items.withColumns(mended).where("id is not null and title is not null and source is not null and source_url is not null")
+        fields["tags"] = F.transform(F.slice(F.filter("tags", lambda t: F.trim(t) != ""), 1, MOST_TAGS), lambda t: F.substring(F.trim(t), 1, LONGEST_TAG))
+    return items.withColumns(fields)
 
 
 def dropped(items: DataFrame) -> DataFrame:

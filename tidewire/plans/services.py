@@ -7,10 +7,12 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewire.functions import notes
 from tidewire.lineage import shared_folder
-from tidewire.operators import admission, fulltext
+from tidewire.operators import admission, classify, fulltext, packing
 from tidewire.plans.registry import query
-from tidewire.sources import feed_source, tables
+from tidewire.plans.site import LOOSE, REPO_VIEW, loose, repo_view
+from tidewire.sources import archive, feed_source, snapshots, tables
 
 # -- search
 
@@ -132,3 +134,66 @@ def admission_users(spark, d):
 @query("admission_types", admission_sql("event_type", 20, 3600))
 def admission_types(spark, d):
     return admission.admitted(requests(spark, d, "event_type")).select("id", "admitted")
+
+
+# -- snapshots, retention and backfill
+
+
+@query("snapshot_versions", "SELECT doc_id AS id, source, CASE WHEN doc_id % 5 = 0 THEN 'before' ELSE 'later' END AS fetched_at, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS n FROM documents WHERE doc_id % 2 = 0")
+def snapshot_versions(spark, d):
+    path, docs = shared_folder(spark, "snapshot"), tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.when(F.col("doc_id") % 5 == 0, "before").alias("fetched_at"))
+    snapshots.write_snapshot(docs.where("id % 2 = 1"), path, "first")
+    snapshots.write_snapshot(docs.where("id % 2 = 0"), path, "later")
+    items, meta = snapshots.read_snapshot(spark, path)
+    return items.join(F.broadcast(meta.select(F.col("count").alias("n"))))  # one row
+
+
+@query("repos_written", f"WITH {REPO_VIEW} SELECT full_name, stars, 'now' AS fetched_at, 'first' AS started_at FROM repos WHERE stars % 2 = 0")
+def repos_written(spark, d):
+    path, rows = shared_folder(spark, "repos"), repo_view(spark, d)
+    snapshots.write_repos(rows, path, "first")
+    snapshots.write_repos(rows.where("stars % 2 = 0"), path, "now")
+    found, at = snapshots.read_repos(spark, path)
+    return found.select("full_name", "stars", F.lit(at.values["fetched_at"]).alias("fetched_at"), F.lit(at.values["started_at"]).alias("started_at"))
+
+
+def archived_orders(spark, d) -> str:
+    path = shared_folder(spark, "archive")
+    rows = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("").alias("first_seen"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"), F.concat(F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 50 == 0, " (#3)").otherwise("")).alias("note"))
+    archive.write_archive(spark, rows.where("published_at >= '1997-06-01'").repartition("published_at"), path)
+    return path
+
+
+@query("archive_expired", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, FALSE AS gone FROM orders WHERE o_orderdate >= TIMESTAMP '1998-04-01' GROUP BY 1 UNION ALL SELECT DISTINCT strftime(o_orderdate, '%Y-%m'), NULL, TRUE FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' AND o_orderdate < TIMESTAMP '1998-04-01'")
+def archive_expired(spark, d):
+    path = archived_orders(spark, d)
+    gone = archive.expire(spark, path, "1998-06-15")
+    left = spark.read.parquet(path).groupBy("month").agg(F.count(F.lit(1)).alias("n")).withColumn("gone", F.lit(False))
+    return left.unionByName(spark.createDataFrame([(m, None, True) for m, *_ in gone + archive.expire(spark, path, "1998-06-15")], "month string, n long, gone boolean"))
+
+
+@query("archive_rewritten", "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey AS id, o_orderpriority AS note FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'")
+def archive_rewritten(spark, d):
+    path = archived_orders(spark, d)
+    archive.rewritten(spark, path, {"note": notes.without_marks(F.col("note"))})
+    return spark.read.parquet(path).select("month", "id", "note")
+
+
+@query("sanitize_reasons", f"WITH {LOOSE} SELECT count(*) AS n, count(*) FILTER (id IS NOT NULL AND trim(title) <> '' AND url <> 'javascript:x') AS kept, count(*) FILTER (id IS NULL) AS no_id, count(*) FILTER (id IS NOT NULL AND trim(title) = '') AS no_title, 0 AS no_source, count(*) FILTER (id IS NOT NULL AND trim(title) <> '' AND url = 'javascript:x') AS no_source_url FROM loose")
+def sanitize_reasons(spark, d):
+    rows, seen = classify.observed(loose(spark, d))
+    rows.write.parquet(shared_folder(spark, "sanitised"))
+    return spark.createDataFrame([seen.get])
+
+
+NAMES = "names AS (SELECT p_partkey AS ord, p_brand || '/' || replace(p_name, ' ', '-') || repeat('x', CAST(p_partkey % 97 AS INTEGER)) || CAST(p_partkey AS VARCHAR) AS name FROM part)"
+
+
+def named_parts(spark, d):
+    k = F.col("p_partkey")
+    return tables.table(spark, d, "part").select(k.alias("ord"), F.concat("p_brand", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.repeat(F.lit("x"), (k % 97).cast("int")), k.cast("string")).alias("name"))
+
+
+@query("request_packing", f"WITH RECURSIVE {NAMES}, e AS (SELECT *, length(name) + 6 AS w, row_number() OVER (ORDER BY ord, name) AS n FROM names), s AS (SELECT ord, name, n, w AS used, 1 AS request FROM e WHERE n = 1 UNION ALL SELECT e.ord, e.name, e.n, CASE WHEN s.used + e.w > 250 THEN e.w ELSE s.used + e.w END, CASE WHEN s.used + e.w > 250 THEN s.request + 1 ELSE s.request END FROM s JOIN e ON e.n = s.n + 1) SELECT request, string_agg('repo:' || name, ' ' ORDER BY n) AS query, count(*) AS n FROM s GROUP BY request")
+def request_packing(spark, d):
+    return packing.requests(packing.packed(named_parts(spark, d)))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewire.sources import versions
+
 META = "fetched_at string, count long, sources map<string, long>, errors map<string, string>"
 
 
 def _missing(e: Exception) -> bool:
-    return "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e)
+    return isinstance(e, PySparkException) and e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def read_items(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -18,7 +21,7 @@ def read_items(spark: SparkSession, path: str, schema: StructType | str) -> Data
     kind = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">")
     try:
         raw = spark.read.option("wholetext", True).text(path)
-    except Exception as e:
+    except PySparkException as e:
         if not _missing(e):
             raise
         return spark.createDataFrame([], schema)
@@ -45,10 +48,51 @@ def meta_of(items: DataFrame, now: str | None = None, errors: DataFrame | None =
 
 
 def write_snapshot(items: DataFrame, path: str, now: str, errors: DataFrame | None = None) -> None:
-    """Writes stamped items to path/items and their metadata to path/meta, over what was there."""
-    rows = stamped(items, now)
-    rows.write.mode("overwrite").parquet(f"{path}/items")
-    meta_of(rows, now, errors).write.mode("overwrite").json(f"{path}/meta")
+    """Commits stamped items and their metadata as the snapshot under path; what was there stays readable until then."""
+    spark, at, folder = items.sparkSession, versions.last(items.sparkSession, path), versions.aside(path, "snapshot")
+    stamped(items, now).write.parquet(f"{folder}/items")
+    meta_of(spark.read.parquet(f"{folder}/items"), now, errors).write.json(f"{folder}/meta")
+    versions.commit(spark, path, {"items": [f"{folder}/items"], "meta": [f"{folder}/meta"]}, {"fetched_at": now}, at)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(items, meta) as of the last commit, or None if there is none."""
+    at = versions.last(spark, path)
+    if at is None:
+        return None
+    items = spark.read.parquet(*versions.paths(path, at, "items"))
+    return items, read_meta(spark, versions.paths(path, at, "meta")[0], items)
+
+
+def write_repos(repos: DataFrame, path: str, now: str) -> None:
+    """Commits repositories and the row about them as the snapshot under path; started_at is the first snapshot's."""
+    spark, at, folder = repos.sparkSession, versions.last(repos.sparkSession, path), versions.aside(path, "repos")
+    started = at.values["started_at"] if at else now
+    repos.write.parquet(f"{folder}/repos")
+    about = repo_snapshot(spark.read.parquet(f"{folder}/repos"), now, spark.createDataFrame([(started,)], "started_at string"))
+    about.write.json(f"{folder}/about")
+    versions.commit(spark, path, {"repos": [f"{folder}/repos"], "about": [f"{folder}/about"]}, {"fetched_at": now, "started_at": started}, at)
+
+
+def read_repos(spark: SparkSession, path: str) -> tuple[DataFrame, versions.Commit] | None:
+    """(repositories, commit with fetched_at and started_at) as of the last commit, or None."""
+    at = versions.last(spark, path)
+    return (spark.read.parquet(*versions.paths(path, at, "repos")), at) if at else None
+
+
+def read_repo_file(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One row (fetched_at, started_at, repos: array of kind) of a JSON file; none if there is no file, it isn't JSON, or its `repos` is no array."""
+    fields = f"fetched_at string, started_at string, repos array<struct<{kind}>>"
+    try:
+        raw = spark.read.option("wholetext", True).text(path)
+    except PySparkException as e:
+        if not _missing(e):
+            raise
+        return spark.createDataFrame([], fields)
+    value, get = F.col("value"), lambda *names: F.coalesce(*(F.get_json_object("value", f"$.{n}") for n in names))
+    repos = F.get_json_object(value, "$.repos")
+    rows = raw.where(F.json_array_length(repos).isNotNull())
+    return rows.select(get("fetchedAt", "fetched_at").alias("fetched_at"), get("startedAt", "started_at").alias("started_at"), F.from_json(repos, f"array<struct<{kind}>>").alias("repos"))
 
 
 def read_meta(spark: SparkSession, path: str, items: DataFrame) -> DataFrame:
@@ -56,7 +100,7 @@ def read_meta(spark: SparkSession, path: str, items: DataFrame) -> DataFrame:
     try:
         found = spark.read.schema(META).json(path)
         return found.select("fetched_at", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("sources", F.create_map().cast("map<string,long>")).alias("sources"), F.coalesce("errors", F.create_map().cast("map<string,string>")).alias("errors"))
-    except Exception as e:
+    except PySparkException as e:
         if not _missing(e):
             raise
     return items.agg(F.lit(None).cast("string").alias("fetched_at"), F.count(F.lit(1)).alias("count"), F.create_map().cast("map<string,long>").alias("sources"), F.create_map().cast("map<string,string>").alias("errors")).where("count > 0")
@@ -66,7 +110,7 @@ def read_archive(spark: SparkSession, path: str, schema: StructType | str) -> Da
     """All months of an archive; files that can't be read are skipped, and none give no rows."""
     try:
         return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path)
-    except Exception as e:
+    except PySparkException as e:
         if not _missing(e):
             raise
     return spark.createDataFrame([], schema)
