@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import notes
 from tidewire.lineage import shared_folder
-from tidewire.operators import admission, classify, fulltext, packing
+from tidewire.operators import admission, classify, concepts, fulltext, packing, search
 from tidewire.plans.registry import query
 from tidewire.plans.site import LOOSE, REPO_VIEW, loose, repo_view
 from tidewire.sources import archive, feed_source, snapshots, tables
@@ -197,3 +197,26 @@ def named_parts(spark, d):
 @query("request_packing", f"WITH RECURSIVE {NAMES}, e AS (SELECT *, length(name) + 6 AS w, row_number() OVER (ORDER BY ord, name) AS n FROM names), s AS (SELECT ord, name, n, w AS used, 1 AS request FROM e WHERE n = 1 UNION ALL SELECT e.ord, e.name, e.n, CASE WHEN s.used + e.w > 250 THEN e.w ELSE s.used + e.w END, CASE WHEN s.used + e.w > 250 THEN s.request + 1 ELSE s.request END FROM s JOIN e ON e.n = s.n + 1) SELECT request, string_agg('repo:' || name, ' ' ORDER BY n) AS query, count(*) AS n FROM s GROUP BY request")
 def request_packing(spark, d):
     return packing.requests(packing.packed(named_parts(spark, d)))
+
+
+# -- concepts
+
+TERM_ROWS = ", ".join(f"({k}, '{c[0]}', '{t}')" for k, c in enumerate([*concepts.CONCEPTS, *concepts.SOFT]) for t in c)
+NOISE_LIST = ", ".join(f"'{t}'" for t in concepts.NOISE)
+
+
+@query("query_concepts", f"WITH terms(k, head, term) AS (VALUES {TERM_ROWS}), q AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.+#-]*')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.+#-]*'), 1) AS pos FROM conversations), d AS (SELECT DISTINCT token FROM q WHERE token NOT IN ({NOISE_LIST})), g AS (SELECT token, coalesce(arg_min(head, k), token) AS head FROM d LEFT JOIN terms ON term = token OR (length(term) > 2 AND NOT regexp_matches(term, '[一-鿿]') AND starts_with(token, term)) GROUP BY token), f AS (SELECT conv_id, turn, head, min(pos) AS pos FROM q JOIN g USING (token) GROUP BY conv_id, turn, head) SELECT conv_id, turn, count(*) AS n, md5(string_agg(head, ' ' ORDER BY pos)) AS heads FROM f GROUP BY conv_id, turn")
+def query_concepts(spark, d):
+    asked = tables.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.col("text").alias("query"))
+    found = concepts.segmented(asked.select(F.to_json("at").alias("qid"), "query"))
+    each = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("k", F.col("terms")[0].alias("head")))).alias("heads"))
+    at = F.from_json("qid", "conv_id long, turn long")
+    return each.select(at["conv_id"].alias("conv_id"), at["turn"].alias("turn"), "n", F.md5(F.array_join(F.transform("heads", lambda x: x["head"]), " ")).alias("heads"))
+
+
+@query("concept_queries", "WITH rows AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind FROM part), q AS (SELECT DISTINCT p_size AS qid, unnest(string_split(lower(min(p_name) OVER (PARTITION BY p_size) || ' ' || max(p_type) OVER (PARTITION BY p_size)), ' ')) AS token FROM part), h AS (SELECT token, id, CASE WHEN regexp_matches(lower(name), '(^|[^a-z0-9])' || token) THEN 5 ELSE 2 END AS weight FROM (SELECT DISTINCT token FROM q), rows WHERE regexp_matches(lower(name) || ' | ' || lower(kind), '(^|[^a-z0-9])' || token)), df AS (SELECT token, count(*) AS df FROM h GROUP BY token), ok AS (SELECT qid FROM q LEFT JOIN df USING (token) GROUP BY qid HAVING count(*) = count(df)), s AS (SELECT qid, id, round(sum(ln(1 + (SELECT count(*) FROM rows) / (1 + df)) * weight), 6) AS score FROM q JOIN ok USING (qid) JOIN df USING (token) JOIN h USING (token) GROUP BY qid, id) SELECT qid, id, score FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM s) WHERE score > 0 AND score >= 0.5 * top")
+def concept_queries(spark, d):
+    part = tables.table(spark, d, "part")
+    asked = part.groupBy(F.col("p_size").alias("qid")).agg(F.concat_ws(" ", F.min("p_name"), F.max("p_type")).alias("query"))
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
+    return concepts.ranked(rows, concepts.segmented(asked, search.Dictionary([])), {"name": 5, "kind": 2})
