@@ -269,10 +269,10 @@ for _pattern, _to in notes.REFERENCE_MARKS:
     MARK_SQL = f"regexp_replace({MARK_SQL}, {lit(_pattern)}, {lit(_to.replace('$', chr(92)))}, 'g')"
 
 
-@query("clean_marks", f"SELECT conv_id, turn, regexp_replace({MARK_SQL.replace('@text', turn_of(MARKED))}, '^\\s+|\\s+$', '', 'g') AS text FROM conversations")
+@query("clean_marks", f"SELECT conv_id, turn, regexp_replace({MARK_SQL.replace('@text', "(" + turn_of(MARKED) + " || ' ' || coalesce(text, ''))")}, '^\\s+|\\s+$', '', 'g') AS text FROM conversations")
 def clean_marks(spark, d):
     rows = tables.table(spark, d, "conversations")
-    return rows.select("conv_id", "turn", notes.without_marks(pick(MARKED, F.col("conv_id") + F.col("turn"))).alias("text"))
+    return rows.select("conv_id", "turn", notes.without_marks(F.concat(pick(MARKED, F.col("conv_id") + F.col("turn")), F.lit(" "), F.coalesce("text", F.lit("")))).alias("text"))
 
 
 ANSWERS = ['```json\n[1, "a b"]\n```', "Here: [2, 3] as asked", '{"a": [1]}', "nothing", "[]", "[broken"]
@@ -289,10 +289,12 @@ NOTES = ["“把网页变成命令行工具的开源项目，值得关注。”"
 NOTE_SQL = "regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(@text, '^[\"“”'''']+|[\"“”'''']+$', '', 'g'), '\\s+', ' ', 'g')), " + lit(notes.FILLER) + ", '。'), '[，,；;、]\\s*。$', '。'), '([。！？])[。！？]+$', '\\1')"
 
 
-@query("clean_notes", f"WITH n AS (SELECT conv_id, turn, {NOTE_SQL.replace('@text', turn_of(NOTES))} AS note FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(note, '[。！？.!?]$') AND length(note) BETWEEN 8 AND 70 THEN note END AS note FROM n")
+@query("clean_notes", f"WITH n AS (SELECT conv_id, turn, {NOTE_SQL.replace('@text', "CASE WHEN (conv_id + turn) % 2 = 0 THEN regexp_extract(coalesce(text, ''), '^[^.]*[.]') ELSE " + turn_of(NOTES) + " END")} AS note FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(note, '[。！？.!?]$') AND length(note) BETWEEN 8 AND 70 THEN note END AS note FROM n")
 def clean_notes(spark, d):
     rows = tables.table(spark, d, "conversations")
-    return rows.select("conv_id", "turn", notes.note(pick(NOTES, F.col("conv_id") + F.col("turn"))).alias("note"))
+    k = F.col("conv_id") + F.col("turn")
+    written = F.when(k % 2 == 0, F.regexp_extract(F.coalesce("text", F.lit("")), "^[^.]*[.]", 0)).otherwise(pick(NOTES, k))
+    return rows.select("conv_id", "turn", notes.note(written).alias("note"))
 
 
 # -- home page and reports
@@ -552,11 +554,12 @@ def notes_budget(spark, d):
     return state.to_enrich(small(spark, d), "summary", R.by_heat(), 30).select("id")
 
 
-@query("candidate_merge", "WITH r AS (SELECT n, 'N' || CAST(n AS VARCHAR) AS name FROM range(60) t(n)) SELECT name AS full_name, CASE WHEN n % 2 = 0 THEN n ELSE n + 100 END AS stars, CASE WHEN n % 2 = 0 AND n % 3 = 0 THEN 'paper,trending' WHEN n % 2 = 0 THEN 'trending' ELSE 'paper' END AS sources FROM r WHERE n % 2 = 0 OR n % 3 = 0")
+@query("candidate_merge", "WITH r AS (SELECT p_partkey AS n, 'N' || CAST(p_partkey AS VARCHAR) AS name FROM part) SELECT name AS full_name, CASE WHEN n % 2 = 0 THEN n ELSE n + 100 END AS stars, CASE WHEN n % 2 = 0 AND n % 3 = 0 THEN 'paper,trending' WHEN n % 2 = 0 THEN 'trending' ELSE 'paper' END AS sources FROM r WHERE n % 2 = 0 OR n % 3 = 0")
 def candidate_merge(spark, d):
-    n = F.col("id")
-    one = spark.range(0, 60, 2).select(F.concat(F.lit("N"), n.cast("string")).alias("full_name"), n.alias("stars"), F.lit("x").alias("description"))
-    two = spark.range(0, 60, 3).select(F.when(n % 2 == 0, F.concat(F.lit("n"), n.cast("string"))).otherwise(F.concat(F.lit("N"), n.cast("string"))).alias("full_name"), (n + 100).alias("stars"), F.lit("y").alias("description"))
+    n, rows = F.col("p_partkey"), tables.table(spark, d, "part")
+    name = F.concat(F.lit("N"), n.cast("string"))
+    one = rows.where(n % 2 == 0).select(name.alias("full_name"), n.alias("stars"), F.lit("x").alias("description"))
+    two = rows.where(n % 3 == 0).select(F.when(n % 2 == 0, F.lower(name)).otherwise(name).alias("full_name"), (n + 100).alias("stars"), F.lit("y").alias("description"))
     return repos.merged_candidates([("trending", one), ("paper", two)]).select("full_name", "stars", F.array_join("sources", ",").alias("sources"))
 
 
@@ -578,9 +581,11 @@ def repo_snapshot(spark, d):
 SEEDS = [("First", "one", "tip"), ("Second", "two", "paper"), ("Third", "three", "industry")]
 
 
-@query("sample_items", f"SELECT 'mock-' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS id, (['First', 'Second', 'Third'])[i % 3 + 1] || CASE WHEN i >= 3 THEN ' (' || CAST(i // 3 + 1 AS VARCHAR) || ')' ELSE '' END AS title, strftime(TIMESTAMP '{NOW}' - to_hours(CAST(i * 3 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.000Z') AS published_at, greatest(25, 95 - i + ((i * 13 + 7) % 10)) AS heat, i % 3 <> 0 AS ai_selected FROM range(120) t(i)")
+@query("sample_items", f"SELECT 'mock-' || lpad(CAST(i + 1 AS VARCHAR), 4, '0') AS id, (['First', 'Second', 'Third'])[i % 3 + 1] || CASE WHEN i >= 3 THEN ' (' || CAST(i // 3 + 1 AS VARCHAR) || ')' ELSE '' END AS title, strftime(TIMESTAMP '{NOW}' - to_hours(CAST(i * 3 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.000Z') AS published_at, greatest(25, 95 - i + ((i * 13 + 7) % 10)) AS heat, i % 3 <> 0 AS ai_selected FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part)")
 def sample_items(spark, d):
-    return snapshots.sample_items(spark, SEEDS, [("a", "https://a"), ("b", "https://b")], NOW).select("id", "title", "published_at", "heat", "ai_selected")
+    order = F.row_number().over(Window.orderBy("p_partkey")) - 1
+    ids = tables.table(spark, d, "part").select(order.cast("long").alias("id"))
+    return snapshots.sample_items(ids, SEEDS, [("a", "https://a"), ("b", "https://b")], NOW).select("id", "title", "published_at", "heat", "ai_selected")
 
 
 @query("near_duplicates")

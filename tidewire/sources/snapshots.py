@@ -124,11 +124,11 @@ def repo_snapshot(repos: DataFrame, now: str, previous: DataFrame | None = None)
     return row.join(old).select(F.lit(now).alias("fetched_at"), F.coalesce("old", F.lit(now)).alias("started_at"), "count", "by_source")
 
 
-def sample_items(spark: SparkSession, seeds: list[tuple[str, str, str]], sources: list[tuple[str, str]], now: str, n: int = 120) -> DataFrame:
-    """n sample items from seeds (title, summary, category) and sources (name, url) in turn, three hours apart, two of three selected."""
+def sample_items(ids: DataFrame, seeds: list[tuple[str, str, str]], sources: list[tuple[str, str]], now: str) -> DataFrame:
+    """A sample item for each of ids (id long, from 0): seeds (title, summary, category) and sources (name, url) in turn, three hours apart, two of three selected."""
     pick = lambda values, k: F.get(F.array(*(F.struct(*map(F.lit, v)) for v in values)), (k % len(values)).cast("int"))
     i = F.col("id")
-    rows = spark.range(n).select(i, pick(seeds, i).alias("seed"), pick(sources, i).alias("src"))
+    rows = ids.select(i, pick(seeds, i).alias("seed"), pick(sources, i).alias("src"))
     turn = F.floor(i / len(seeds))
     title = F.when(turn > 0, F.concat("seed.col1", F.lit(" ("), (turn + 1).cast("string"), F.lit(")"))).otherwise(F.col("seed.col1"))
     at = F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(0), (i * 3).cast("int"))
