@@ -62,6 +62,45 @@ def linked_spans(text, scope):
     return {f"{k}:{s}:{e}" for s, k, e in weak if need[k](s)}
 
 
+def links(text, scope):
+    """Each secret with its nearest identifier and endpoint, from all pairs."""
+    rank = {k: n for n, k in enumerate(S.KINDS)}
+    spans = [(int(s), rank[k], int(e), k) for k, s, e in (x.split(":") for x in base(text))]
+    outside = lambda m: all(e <= m.start() or m.end() <= s for s, _, e, _ in spans)
+    every = spans + [(m.start(), rank[k], m.end(), k) for k, p in S.WEAK.items() for m in re.finditer(p, text) if outside(m)]
+    role = lambda x: S.ROLE.get(x[3], x[3])
+    name = lambda x: f"{x[3]}:{x[0]}:{x[2]}" if x else "-"
+    out = []
+    for x in sorted(s for s in every if role(s) == "secret"):
+        i, e = (min(((abs(y[0] - x[0]), y) for y in every if role(y) == r and abs(y[0] - x[0]) <= scope), default=(0, None))[1] for r in ("identifier", "endpoint"))
+        if i or e:
+            starts = [y[0] for y in (i, x, e) if y]
+            out.append(f"{name(i)}+{name(x)}+{name(e)}@{max(starts) - min(starts)}")
+    return out
+
+
+def test_very_many_spans(spark):
+    text = "token=abcdef1 user: someone " * 3000
+    r = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_assign == 3000 and r.n_linked == 3000 and r.n_links == 3000
+    assert r.base_sha256 == hashlib.sha256(",".join(base(text)).encode()).hexdigest()
+    last = len(text) - 28  # as far from the identifier before it as from its own
+    assert r.links.endswith(f"identifier:{last - 14}:{last - 1}+assign:{last}:{last + 13}+-@14")
+
+
+def test_planted_credentials_of_a_whole_table(spark):
+    """Parts planted in every twentieth document are linked, and only there."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    from pyspark.sql import functions as F
+
+    planted = F.col("doc_id") % 20 == 3
+    key = "Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4MTIz"
+    docs = docs.withColumn("text", F.when(planted, F.concat(F.substring("text", 1, 500), F.lit(f" login: admin43 {key} at db://host.example/x "), F.substring("text", 501, 1 << 30))).otherwise(F.col("text")))
+    rows = S.scan(docs).collect()
+    assert all(any(f"{p}:" in x for x in [r.links]) == (r.doc_id % 20 == 3) for r in rows for p in ("endpoint",))
+    assert all(r.n_linked >= 3 and "identifier:" in r.links for r in rows if r.doc_id % 20 == 3)
+
+
 def test_links_match_brute_force_and_multipart_credentials_are_found(spark):
     rng = random.Random(9)
     key = lambda: "".join(rng.choices("ABCdefGHIjkl0123456789+/", k=40))
@@ -77,6 +116,8 @@ def test_links_match_brute_force_and_multipart_credentials_are_found(spark):
         got = {s for s in r.spans.split(",") if s} - set(base(every[r.doc_id]))
         assert got == linked_spans(every[r.doc_id], S.SCOPE), every[r.doc_id]
         assert r.n_linked == len(got)
+        assert [x for x in r.links.split(",") if x] == links(every[r.doc_id], S.SCOPE)
+        assert r.n_links == len([x for x in r.links.split(",") if x])
         found += r.doc_id in range(len(texts), len(texts) + len(planted)) and len(got) == 3
         assert r.doc_id < len(texts) + len(planted) or not got
     assert found == len(planted)
