@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tidewire.llm import kernels as K
 from tidewire.llm import passages as P
@@ -31,6 +32,15 @@ def test_windows_are_those_of_the_cartesian_tree():
             assert got == want
 
 
+def test_every_stretch_of_21_shingles_has_a_least_run():
+    rng = np.random.default_rng(4)
+    hashes, firsts = rng.integers(0, 2**63, 500).astype(np.uint64), np.array([0, 100, 110, 500])
+    _, begins, least = P.least_runs(hashes, firsts)
+    for a, b in zip(begins[:-1], begins[1:]):
+        assert all(least[k : k + P.NEXT].any() for k in range(a, b - P.NEXT + 1))
+    assert P.SHORT + P.NEXT - 1 == 21
+
+
 def test_ranges():
     f, s, e = (np.array(x) for x in ([0, 0, 1, 2], [0, 60, 10, 100], [50, 200, 120, 300]))
     assert P.covered(f, s, e, 2, 40) == [(10, 50), (60, 120), (100, 200)] or P.covered(f, s, e, 2, 40) == [(10, 50), (60, 200)]
@@ -132,3 +142,35 @@ def test_a_hot_passage_and_a_very_long_text(spark):
     got = P.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
     assert linked(got) == {frozenset(range(len(docs)))}
     assert len(got) <= 4 * len(docs) and all(r.end - r.start >= 50 for r in got)
+
+
+@pytest.mark.parametrize("words,edits,quoters,shortest", [(60, 1, 4, 45), (100, 2, 8, 45), (80, 1, 6, 30), (150, 3, 8, 48), (60, 1, 0, 45)])
+def test_near_passages_among_texts_that_quote_parts_of_them(spark, words, edits, quoters, shortest):
+    """Of 50 pairs with an edited passage, whose parts of up to 48 words others quote, nine in ten or more are linked."""
+    rng = random.Random(words + quoters)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    text = lambda n: [word() for _ in range(n)]
+    rows, pairs, close = [], [], 0
+    for _ in range(50):
+        passage = text(words)
+        edited = list(passage)
+        for e in range(edits):
+            edited[(2 * e + 1) * words // (2 * edits) + rng.randrange(-4, 5)] = word()
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (passage, edited))
+        close += len(x & y) / len(x | y) >= 0.8
+        pairs.append((len(rows), len(rows) + 1))
+        for own in (passage, edited):
+            rows.append(text(rng.randrange(60, 120)) + own + text(rng.randrange(60, 120)))
+        for _ in range(quoters):
+            n = rng.randrange(shortest, 49)
+            at = rng.randrange(words - n + 1)
+            rows.append(text(rng.randrange(60, 120)) + passage[at : at + n] + text(rng.randrange(60, 120)))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, " ".join(rows[i])) for i in order], "doc_id long, text string")
+    got = P.shared_passages(docs).collect()
+    classes = {}
+    for g in linked(got):
+        classes.update(dict.fromkeys(g, g))
+    assert close == 50 and sum(b in classes.get(a, ()) for a, b in pairs) >= 45
+    assert all(r.similarity >= 0.8 and r.end - r.start >= 50 for r in got)

@@ -26,6 +26,9 @@ FUNCTIONS, ENOUGH = 4, 2
 WORDS, WIDTH, THRESHOLD = 50, 5, 0.8
 LEAST = WORDS - WIDTH + 1
 FLUSH = 300_000
+#: Two passages of the threshold share a stretch of 21 shingles or more word for word; each such stretch has one of the runs of SHORT shingles that
+#: are least among NEXT neighbours.  A run's texts are held against one of them, by one of DRAWS orders of all texts, around SIDE shingles on both sides.
+SHORT, NEXT, DRAWS, SIDE = 16, 6, 6, 60
 
 
 def shingle_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -228,21 +231,46 @@ def _requested(enough: int):
     return requested
 
 
+def least_runs(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the runs of SHORT shingles, per text the index of its first, whether each is the least of some NEXT neighbours)."""
+    runs, begins = K.shingles(hashes, firsts, SHORT)
+    least = np.zeros(len(runs), bool)
+    if len(runs) >= NEXT:
+        wide = np.lib.stride_tricks.sliding_window_view(runs, NEXT)
+        least[np.arange(len(wide)) + wide.argmin(axis=1)] = True
+    else:
+        least[:] = True
+    return runs, begins, least
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, b, start): hashes of the runs of the least passage's length that lie in a window and hold its minimum."""
+    """(run, b, start, end, draw): hashes of the runs of the least passage's length that lie in a window and hold its minimum, with
+    draw -1, and of the least short runs about the minimum, with their surroundings in the window."""
     for part in K.slices(batches, "text", 1 << 20):
         hashes, firsts = shingle_hashes(part.column("text"))
-        runs, begins = K.shingles(hashes, firsts, LEAST)
+        b = part.column("b").to_numpy()
         spots = part.column("spots")
         x = spots.flatten()
         own = np.repeat(np.arange(part.num_rows), spots.value_lengths().to_numpy(zero_copy_only=False))
         place, low, high = (x.field(c).to_numpy().astype(np.int64) for c in ("place", "low", "high"))
+        runs, begins = K.shingles(hashes, firsts, LEAST)
         s = np.maximum(low, place - LEAST + 1)
         n = np.maximum(np.minimum(place, high - LEAST + 1) - s + 1, 0)
         at = np.unique(K.ragged(begins[own] + s, n))
         text = np.searchsorted(begins, at, "right") - 1
-        b = part.column("b").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(runs[at].view(np.int64)), pa.array(b[text]), pa.array((at - begins[text]).astype(np.int32))], ["run", "b", "start"])
+        start = at - begins[text]
+        whole = (runs[at].view(np.int64), b[text], start, start + LEAST - 1, np.full(len(at), -1))
+        runs, begins, least = least_runs(hashes, firsts)
+        s = np.maximum(low, place - LEAST)
+        n = np.maximum(np.minimum(place + LEAST, high) - SHORT + 1 - s + 1, 0)
+        at, first = np.unique(K.ragged(begins[own] + s, n), return_index=True)
+        spot = np.repeat(np.arange(len(own)), n)[first]
+        at, spot = at[least[at]], spot[least[at]]
+        start = at - begins[own[spot]]
+        name = K.mix(runs[at] ^ K.GOLDEN)
+        short = (name.view(np.int64), b[own[spot]], np.maximum(low[spot], start - SIDE), np.minimum(high[spot], start + SHORT - 1 + SIDE), (name % U64(DRAWS)).astype(np.int64))
+        columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(whole, short), (np.int64, np.int64, np.int32, np.int32, np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["run", "b", "start", "end", "draw"])
 
 
 #: The share of matches on both sides at which two sets reach the threshold.
@@ -314,7 +342,8 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     Rows of kind "passage" link different texts, each by its least doc_id, to the least text of a group: the words
     [start, end) of doc_id and [other_start, other_end) of other_id have shingle sets of a Jaccard similarity of 0.8 or more.  Where windows of a group
     don't share a passage with its least text, their runs of 46 shingles around the minimum are grouped by themselves, so that texts which
-    share a run word for word are linked whatever other texts hold its minima.  Rows of kind "copy"
+    share a run word for word are linked whatever other texts hold its minima; and so are short runs about it, each led by another
+    text, so that texts with a passage that is edited find each other among texts that quote parts of it.  Rows of kind "copy"
     link each further document of 50 words or more to the least doc_id with the same text, by 128 bits of hash.  Documents that share
     nothing have no row.  Null and empty texts share nothing, repeats within one text neither; repeated rows with
     one id are one document, and a null id counts as the least.  Other columns are ignored.
@@ -340,9 +369,10 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     left = K.kept(left, "left")
     several = left.groupBy("function", "key").agg(F.min("b").alias("low_b"), F.max("b").alias("high_b")).where("low_b <> high_b").select("function", "key")
     spots = left.join(several, ["function", "key"], "left_semi").groupBy("b").agg(F.collect_set(F.struct("place", "low", "high")).alias("spots"))
-    runs = K.kept(spots.join(texts, F.col("b") == F.col("tid")).select("b", "spots", "text").mapInArrow(_whole, "run long, b long, start int"), "runs")
-    leads = runs.groupBy("run").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("run", "a")
-    again = runs.join(leads, "run").where("a <> b").select("a", "b", F.lit(0).alias("function"), "start", (F.col("start") + LEAST - 1).alias("end"))
+    runs = K.kept(spots.join(texts, F.col("b") == F.col("tid")).select("b", "spots", "text").mapInArrow(_whole, "run long, b long, start int, end int, draw int"), "runs")
+    first = F.min(F.struct(F.when(F.col("draw") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("b", "draw")).alias("rank"), "b"))
+    leads = runs.groupBy("run").agg(first.alias("first"), F.min("b").alias("low_b"), F.max("b").alias("high_b")).where("low_b < high_b").select("run", F.col("first.b").alias("a"))
+    again = runs.join(leads, "run").where("a <> b").select("a", "b", F.lit(0).alias("function"), "start", "end").distinct()
     good = K.kept(good.unionByName(_passages(again, texts, 1)).distinct(), "passages")
     ids = members.groupBy("tid").agg(F.min("doc_id").alias("id"))
     passages = good.join(ids.select(F.col("tid").alias("b"), F.col("id").alias("doc_id")), "b").join(ids.select(F.col("tid").alias("a"), F.col("id").alias("other_id")), "a")
