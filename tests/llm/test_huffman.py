@@ -97,3 +97,24 @@ def test_files(spark, tmp_path):
     assert got == want
     H.write(docs.where("false"), PATH, str(tmp_path / "y"))
     assert H.digests(spark, str(tmp_path / "y")).count() == 0
+
+
+def test_many_rows_of_one_id(spark, tmp_path):
+    """A third of the rows have no id: they are several files, and starts still follow on one another."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(None if k % 3 else 5, f"text number {k % 200}") for k in range(900)] + [(9, "last")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        H.write(docs, PATH, str(tmp_path / "x"))
+        files = spark.read.parquet(str(tmp_path / "x/ids"))
+        assert files.where("doc_id is null").select("part").distinct().count() > 1
+        got = sorted((tuple(r) for r in H.digests(spark, str(tmp_path / "x")).collect()), key=lambda r: r[1])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r[0] for r in got] == [None] * 600 + [5] * 300 + [9]
+    assert [r[1] for r in got] == np.concatenate(([0], np.cumsum([r[2] for r in got])[:-1])).tolist()
+    tokenizer = Tokenizer.from_file(PATH)
+    assert sorted(r[3] for r in got) == sorted(zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")) for _, t in rows)

@@ -307,7 +307,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID)
     lengths = code_lengths(total)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1).write.parquet(f"{path}/lengths")
     bits = tokens.mapInArrow(_packed(spark.sparkContext.broadcast(Code(lengths))), "doc_id long, n_tokens long, bits binary")
-    bits = bits.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.md5("bits"))
+    place = F.md5("bits")  # many rows of one id, or of none, are many files
+    bits = bits.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place)
     bits.withColumn("part", F.spark_partition_id()).write.option("compression", "none").parquet(f"{path}/ids")
 
 
