@@ -106,8 +106,15 @@ def _ids(rows: DataFrame, order: list[Column], n: int, name: str) -> DataFrame:
     return some.agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "id"))), lambda x: x["id"]).alias(name))
 
 
+# The words of a day's lead, after the day, and before and after the number of items.
+LEAD = (" · AI 资讯日报", "今日新收录 ", " 条公开资讯，按模型 / 产品 / 行业 / 论文 / 观点 自动归类汇编（非 AI 生成，点击可溯源原文）。")
+
+
 def daily_report(items: DataFrame, target: str, categories: list[str], featured: int = 6, flashes: int = 6, per_section: int = 5) -> DataFrame:
-    """One row (day, n, featured, sections, flashes) of a day's items: arrays of ids; sections in the order of categories, empty ones too."""
+    """One row (day, n, lead, featured, sections, flashes) of a day's items: arrays of ids; sections in the order of categories, empty ones too.
+
+    lead is a struct (title, paragraph) that says what was compiled, null for a day without items.
+    """
     rows = items.where(day(F.col("first_seen")) == target)
     order = by_importance(rows)
     top = rows.withColumn("__n", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where(F.col("__n") <= per_section)
@@ -115,4 +122,6 @@ def daily_report(items: DataFrame, target: str, categories: list[str], featured:
     sections = top.agg(F.array(*(F.struct(F.lit(c).alias("category"), ids(c).alias("items")) for c in categories)).alias("sections"))
     parts = rows.agg(F.count(F.lit(1)).alias("n")).join(_ids(selected(rows), order, featured, "featured")).join(sections)
     parts = parts.join(_ids(rows, [F.coalesce("published_at", F.lit("")).desc(), F.col("id")], flashes, "flashes"))  # one row each
-    return parts.select(F.lit(target).alias("day"), "n", "featured", "sections", "flashes")
+    paragraph = F.concat(F.lit(LEAD[1]), F.col("n").cast("string"), F.lit(LEAD[2]))
+    lead = F.when(F.col("n") > 0, F.struct(F.lit(target + LEAD[0]).alias("title"), paragraph.alias("paragraph")))
+    return parts.select(F.lit(target).alias("day"), "n", lead.alias("lead"), "featured", "sections", "flashes")

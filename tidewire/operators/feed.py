@@ -63,12 +63,13 @@ def page(items: DataFrame, order: list[Column], number: int, size: int) -> DataF
 
     Sorted by ranges; only rows up to the end of the page are ranked.
     """
-    total = items.count()
-    pages = max(1, -(-total // size))
-    number = min(max(1, number), pages)
-    rows = items.orderBy(*order).limit(number * size)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return ranked.where(F.col("rank") > (number - 1) * size).withColumns({"page": F.lit(number).cast("long"), "total": F.lit(total).cast("long"), "total_pages": F.lit(pages).cast("long")})
+    total = items.agg(F.count(F.lit(1)).alias("total"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long")
+    total = total.select("total", pages.alias("total_pages")).withColumn("page", F.least(F.lit(max(1, number)).cast("long"), "total_pages"))
+    # as many rows as the page's end, or, where there are fewer pages, all that there are up to it
+    rows = items.orderBy(*order).limit(max(1, number) * size)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).join(F.broadcast(total))  # one row
+    return ranked.where((F.col("rank") > (F.col("page") - 1) * size) & (F.col("rank") <= F.col("page") * size))
 
 
 def personalised(items: DataFrame, muted: list[str], sources: list[str], categories: list[str]) -> DataFrame:

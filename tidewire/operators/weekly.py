@@ -68,6 +68,84 @@ def poster_picks(items: DataFrame, today: str, n: int = 5, least: int = 3) -> Da
     return news.orderBy(F.coalesce("heat", F.lit(0)).desc(), "id").limit(n)
 
 
+def poster_sections(items: DataFrame, today: str, categories: list[str], least: int = 3) -> DataFrame:
+    """(place, category, items) of the pool that poster_picks takes from: the ids of each category by heat, empty ones too.
+
+    A section is what a picture shows; its length is that of the category in a day's items or, on a thin day, in all.
+    """
+    new = F.substring(F.coalesce("first_seen", F.lit("")), 1, 10) == today
+    enough = F.broadcast(items.agg((F.count_if(new) >= least).alias("__enough")))  # one row
+    some = items.withColumn("__new", new).join(enough).where("__new or not __enough").where(F.col("category").isin(categories))
+    each = some.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("heat", F.lit(0))).alias("h"), "id"))), lambda x: x["id"]).alias("items"))
+    axis = items.sparkSession.createDataFrame(list(enumerate(categories)), "place long, category string")
+    none = F.array().cast(f"array<{items.schema['id'].dataType.simpleString()}>")
+    return axis.join(each, "category", "left").select("place", "category", F.coalesce("items", none).alias("items"))
+
+
+def insight_listing(items: DataFrame, start: str, end: str, least: int = 10, most: int = 30) -> DataFrame:
+    """One row (n, listing) of a week's items for a prompt: numbered lines of the hottest; no row if there are fewer than `least`."""
+    day = F.substring(F.coalesce("published_at", "first_seen", F.lit("")), 1, 10)
+    week = items.where(day.between(start, end))
+    order = [F.coalesce("heat", F.lit(0)).desc(), F.col("id")]
+    top = week.orderBy(*order).limit(most).withColumn("__n", F.row_number().over(Window.orderBy(*order)))  # most rows
+    noted = F.when(F.coalesce("ai_note", F.lit("")) != "", F.concat(F.lit(" — "), "ai_note")).otherwise("")
+    line = F.concat(F.col("__n").cast("string"), F.lit(". 【"), F.coalesce("source", F.lit("")), F.lit("】"), F.coalesce("title", F.lit("")), noted)
+    text = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", line.alias("line")))), lambda x: x["line"]), "\n").alias("listing"))
+    return week.agg(F.count(F.lit(1)).alias("n")).join(text).where(F.col("n") >= least)
+
+
+def weekly_reports(items: DataFrame, today: str, labels: dict[str, str], weeks: int = 6, top: int = 10, per_source: int = 4, per_section: int = 5, sources: int = 8, insights: DataFrame | None = None) -> DataFrame:
+    """A row for each of the last weeks up to today's that has items, all of them in one plan.
+
+    week, last (its Monday and Sunday), n, previous (n of the row before), top and sections' items (ids), sources, days and categories (with
+    counts, days and categories without items too), a summary of the top and of each section, and insight where insights
+    (label, insight) are given.  A week's items are those published in it, or else first seen; order is by heat, then id.
+    """
+    monday = lambda c: F.date_format(F.date_trunc("week", c), "yyyy-MM-dd")
+    day = F.substring(F.coalesce("published_at", "first_seen", F.lit("")), 1, 10)
+    dated = items.withColumn("day", day).where(F.col("day").rlike("^\\d{4}-\\d{2}-\\d{2}$"))
+    first = F.date_format(F.date_sub(F.date_trunc("week", F.lit(today).cast("date")), 7 * (weeks - 1)), "yyyy-MM-dd")
+    last = F.date_format(F.date_add(F.date_trunc("week", F.lit(today).cast("date")), 6), "yyyy-MM-dd")
+    rows = dated.where(F.col("day").between(first, last)).withColumn("week", monday(F.col("day").cast("date")))
+    if "ai_note" not in rows.columns:
+        rows = rows.withColumn("ai_note", F.lit(None).cast("string"))
+    rows = rows.select("id", "week", "day", "source", "category", "title", F.nullif("ai_note", F.lit("")).alias("ai_note"), F.coalesce("heat", F.lit(0)).alias("heat"))
+    counts = rows.groupBy("week", "day", "source", "category").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.desc("heat"), F.col("id")]
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("week", *keys).orderBy(*order))
+    values = lambda column, keep=None: F.transform(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull() if keep is None else keep, F.struct("k", F.col(column).alias("v"))))), lambda x: x["v"])
+    # the top, at most so many of a source
+    best = rows.withColumn("k", rank("source")).where(F.col("k") <= per_source).withColumn("k", rank()).where(F.col("k") <= top)
+    best = best.groupBy("week").agg(values("id").alias("top"), values("title").alias("titles"), values("ai_note", F.col("ai_note").isNotNull()).alias("notes"))
+    # sections: their first items, and the first notes, which may be of later ones
+    ranked = rows.withColumn("k", rank("category")).where(F.col("k") <= per_section)
+    heads = ranked.groupBy("week", "category").agg(values("id").alias("items"), values("title").alias("titles"))
+    noted = rows.where("ai_note is not null").withColumn("k", rank("category")).where("k <= 2").groupBy("week", "category").agg(values("ai_note").alias("notes"))
+    per = counts.groupBy("week", "category").agg(F.sum("n").alias("n")).join(heads, ["week", "category"]).join(noted, ["week", "category"], "left")
+    label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in labels.items() for x in p)), F.col("category")), F.col("category"))
+    text = F.concat(F.lit("本周"), label, F.lit("方向共 "), F.col("n").cast("string"), F.lit(" 条动态，重点包括："), F.array_join(F.slice("titles", 1, 3), "、"), F.lit("。"))
+    per = per.select("week", "category", "n", F.struct("items", F.when(F.size("notes") > 0, F.array_join("notes", "；")).otherwise(text).alias("summary")).alias("section"))
+    none = F.struct(F.array().cast(f"array<{items.schema['id'].dataType.simpleString()}>").alias("items"), F.lit("").alias("summary"))
+    of = lambda column, key, otherwise: F.coalesce(F.try_element_at(F.map_from_entries(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", column)))), F.lit(key)), otherwise)
+    sections = per.groupBy("week").agg(
+        F.array(*(F.struct(F.lit(c).alias("category"), of("section", c, none).alias("section")) for c in labels)).alias("sections"),
+        F.array(*(F.struct(F.lit(c).alias("category"), of("n", c, F.lit(0).cast("long")).alias("n")) for c in labels)).alias("categories"),
+    )
+    each = counts.groupBy("week", "source").agg(F.sum("n").alias("n"))
+    each = each.withColumn("k", F.row_number().over(Window.partitionBy("week").orderBy(F.desc("n"), "source"))).where(F.col("k") <= sources)
+    each = each.groupBy("week").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "source", "n"))), lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"))).alias("sources"))
+    daily = counts.groupBy("week", "day").agg(F.sum("n").alias("n")).groupBy("week").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("by_day"))
+    axis = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.date_format(F.date_add(F.col("week").cast("date"), k), "yyyy-MM-dd"))
+    daily = daily.withColumn("days", F.transform(axis, lambda d: F.struct(d.alias("day"), F.coalesce(F.try_element_at("by_day", d), F.lit(0)).alias("n"))))
+    out = daily.join(best, "week").join(sections, "week").join(each, "week")  # a row for each week
+    bare = F.transform(F.slice("notes", 1, 3), lambda x: F.regexp_replace(x, "[。；！？.;!?]+$", ""))
+    short = F.concat(F.lit("本周共收录 "), F.col("n").cast("string"), F.lit(" 条资讯，热度最高的包括「"), F.array_join(F.slice("titles", 1, 3), "」「"), F.lit("」。"))
+    summary = F.when(F.size("notes") >= 2, F.concat(F.array_join(bare, "；"), F.lit("。"))).otherwise(short)
+    before = F.lag("n").over(Window.orderBy("week"))
+    out = out.select("week", F.date_format(F.date_add(F.col("week").cast("date"), 6), "yyyy-MM-dd").alias("last"), "n", before.alias("previous"), "top", "sections", "sources", "days", "categories", summary.alias("summary"))
+    return with_insight(out, insights) if insights is not None else out
+
+
 def palette(query: str, categories: DataFrame, sources: DataFrame, found: DataFrame, most: int = 14) -> DataFrame:
     """(kind, id, label) of the command palette: categories (key, label), the daily page, at most eight sources (source, n), then found items (id, title, score).
 

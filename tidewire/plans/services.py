@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import notes
 from tidewire.lineage import shared_folder
-from tidewire.operators import admission, classify, concepts, fulltext, packing, search
+from tidewire.operators import admission, classify, concepts, daily, fulltext, packing, search, weekly
 from tidewire.plans.registry import query
 from tidewire.plans.site import LOOSE, REPO_VIEW, loose, repo_view
-from tidewire.sources import archive, feed_source, snapshots, tables
+from tidewire.sources import archive, exports, feed_source, snapshots, tables
 
 # -- search
 
@@ -220,3 +220,73 @@ def concept_queries(spark, d):
     asked = part.groupBy(F.col("p_size").alias("qid")).agg(F.concat_ws(" ", F.min("p_name"), F.max("p_type")).alias("query"))
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
     return concepts.ranked(rows, concepts.segmented(asked, search.Dictionary([])), {"name": 5, "kind": 2})
+
+
+# -- reports
+
+NOTED = "noted AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS source, event_type AS category, event_type || CAST(event_id AS VARCHAR) AS title, CASE WHEN event_id % 40 = 0 THEN 'Note ' || CAST(event_id AS VARCHAR) || '。' END AS ai_note, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS published_at, strftime(ts, '%Y-%m-%d') AS day, CAST(floor(value) AS BIGINT) AS heat, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week FROM events)"
+LABELS = {"view": "浏览", "purchase": "购买", "signup": "注册", "none": "无"}
+SECTION = "coalesce((SELECT string_agg(CAST(id AS VARCHAR), ' ' ORDER BY heat DESC, id) FROM (SELECT *, row_number() OVER (ORDER BY heat DESC, id) AS k FROM noted x WHERE x.week = w.week AND category = '{0}') WHERE k <= 5), '')"
+SECTION_NOTES = "coalesce((SELECT CASE WHEN count(ai_note) > 0 THEN array_to_string((array_agg(rtrim(ai_note) ORDER BY heat DESC, id) FILTER (ai_note IS NOT NULL))[1:2], '；') ELSE '本周{1}方向共 ' || count(*) || ' 条动态，重点包括：' || array_to_string((array_agg(title ORDER BY heat DESC, id))[1:3], '、') || '。' END FROM noted x WHERE x.week = w.week AND category = '{0}' HAVING count(*) > 0), '')"
+
+
+def noted(spark, d):
+    e = tables.table(spark, d, "events")
+    key = F.col("event_id")
+    return e.select(
+        key.alias("id"), F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("category"), F.concat("event_type", key.cast("string")).alias("title"), F.when(key % 40 == 0, F.concat(F.lit("Note "), key.cast("string"), F.lit("。"))).alias("ai_note"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"), F.lit(None).cast("string").alias("first_seen"), F.floor("value").cast("long").alias("heat"),
+    )
+
+
+@query("weekly_reports", f"""WITH {NOTED}, w AS (SELECT week, count(*) AS n FROM noted WHERE week BETWEEN '2023-12-25' AND '2024-01-29' GROUP BY week),
+c AS (SELECT *, row_number() OVER (PARTITION BY week, source ORDER BY heat DESC, id) AS k FROM noted), t AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY heat DESC, id) AS k2 FROM c WHERE k <= 4),
+b AS (SELECT week, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY k2) AS top, array_agg(title ORDER BY k2) AS titles, array_agg(regexp_replace(ai_note, '[。；！？.;!?]+$', '') ORDER BY k2) FILTER (ai_note IS NOT NULL) AS notes FROM t WHERE k2 <= 10 GROUP BY week)
+SELECT w.week, strftime(CAST(w.week AS DATE) + 6, '%Y-%m-%d') AS last, w.n, lag(w.n) OVER (ORDER BY w.week) AS previous, b.top,
+{" || '|' || ".join(SECTION.format(c) for c in LABELS)} AS items, {" || '|' || ".join(SECTION_NOTES.format(c, x) for c, x in LABELS.items())} AS texts,
+(SELECT string_agg(source || '=' || CAST(n AS VARCHAR), ' ' ORDER BY n DESC, source) FROM (SELECT source, count(*) AS n FROM noted x WHERE x.week = w.week GROUP BY source ORDER BY n DESC, source LIMIT 8)) AS sources,
+(SELECT string_agg(CAST(n AS VARCHAR), ' ' ORDER BY day) FROM (SELECT strftime(CAST(w.week AS DATE) + CAST(i AS INTEGER), '%Y-%m-%d') AS day, (SELECT count(*) FROM noted x WHERE x.day = strftime(CAST(w.week AS DATE) + CAST(i AS INTEGER), '%Y-%m-%d')) AS n FROM range(7) r(i))) AS days,
+{" || ' ' || ".join(f"CAST((SELECT count(*) FROM noted x WHERE x.week = w.week AND category = '{c}') AS VARCHAR)" for c in LABELS)} AS categories,
+CASE WHEN len(b.notes) >= 2 THEN array_to_string(b.notes[1:3], '；') || '。' ELSE '本周共收录 ' || CAST(w.n AS VARCHAR) || ' 条资讯，热度最高的包括「' || array_to_string(b.titles[1:3], '」「') || '」。' END AS summary,
+CASE WHEN w.week = '2024-01-15' THEN 'the insight' END AS insight FROM w JOIN b USING (week)""")
+def weekly_reports(spark, d):
+    insights = spark.createDataFrame([("2024-01-15 ~ 2024-01-21", "the insight"), ("2024-01-08 ~ 2024-01-14", "")], "label string, insight string")
+    got = weekly.weekly_reports(noted(spark, d), "2024-01-31", LABELS, insights=insights)
+    text = lambda c: c.cast("string")
+    joined = lambda column, f, by=" ": F.array_join(F.transform(column, f), by)
+    return got.select(
+        "week", "last", "n", "previous", joined("top", text).alias("top"), joined("sections", lambda s: F.array_join(F.transform(s["section"]["items"], text), " "), "|").alias("items"), joined("sections", lambda s: s["section"]["summary"], "|").alias("texts"),
+        joined("sources", lambda s: F.concat(s["source"], F.lit("="), text(s["n"]))).alias("sources"), joined("days", lambda s: text(s["n"])).alias("days"), joined("categories", lambda s: text(s["n"])).alias("categories"), "summary", "insight",
+    )
+
+
+@query("insight_listing", f"WITH {NOTED}, t AS (SELECT *, row_number() OVER (ORDER BY heat DESC, id) AS k FROM noted WHERE day BETWEEN '2024-01-15' AND '2024-01-21') SELECT (SELECT count(*) FROM t) AS n, string_agg(CAST(k AS VARCHAR) || '. 【' || source || '】' || title || coalesce(' — ' || ai_note, ''), chr(10) ORDER BY k) AS listing FROM t WHERE k <= 30")
+def insight_listing(spark, d):
+    return weekly.insight_listing(noted(spark, d), "2024-01-15", "2024-01-21")
+
+
+@query("poster_sections", f"WITH {NOTED} SELECT k - 1 AS place, c AS category, coalesce((SELECT string_agg(CAST(id AS VARCHAR), ' ' ORDER BY heat DESC, id) FROM noted WHERE category = c AND day = '2024-01-20'), '') AS items FROM (SELECT unnest({list(LABELS)}) AS c, generate_subscripts({list(LABELS)}, 1) AS k)")
+def poster_sections(spark, d):
+    rows = noted(spark, d).withColumn("first_seen", F.col("published_at"))
+    got = weekly.poster_sections(rows, "2024-01-20", list(LABELS))
+    return got.select("place", "category", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"))
+
+
+@query("daily_lead", f"WITH {NOTED} SELECT '2024-01-10' AS day, count(*) AS n, '2024-01-10 · AI 资讯日报' AS title, '今日新收录 ' || CAST(count(*) AS VARCHAR) || ' 条公开资讯，按模型 / 产品 / 行业 / 论文 / 观点 自动归类汇编（非 AI 生成，点击可溯源原文）。' AS paragraph FROM noted WHERE day = '2024-01-10'")
+def daily_lead(spark, d):
+    rows = noted(spark, d).withColumns({"first_seen": F.concat("published_at", F.lit(".000Z")), "ai_selected": F.lit(True)})
+    return daily.daily_report(rows, "2024-01-10", list(LABELS)).select("day", "n", "lead.title", "lead.paragraph")
+
+
+@query("api_latest", f"WITH {NOTED} SELECT day AS date, count(*) AS count, md5(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id)) AS items FROM noted WHERE day = (SELECT max(day) FROM noted) GROUP BY day")
+def api_latest(spark, d):
+    got = exports.latest_of(exports.latest_days(noted(spark, d), 30))
+    return got.select("date", "count", F.md5(F.array_join(F.transform("items", lambda x: x.cast("string")), " ")).alias("items"))
+
+
+@query("api_digest", f"WITH {NOTED}, p AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY heat DESC, id) AS place FROM noted) SELECT day AS date, string_agg(CAST(place AS VARCHAR) || ':' || title || ':' || source, ' ' ORDER BY place) AS picks FROM p WHERE place <= 5 AND day = (SELECT max(day) FROM noted) GROUP BY day")
+def api_digest(spark, d):
+    rows = noted(spark, d)
+    place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("heat"), "id"))
+    picks = rows.withColumn("date", F.substring("published_at", 1, 10)).withColumn("place", place).where("place <= 5").select("date", "place", "id", F.lit("hot").alias("reason"))
+    return exports.digest_of(rows, picks).select("date", F.array_join(F.transform("picks", lambda x: F.concat_ws(":", x["place"].cast("string"), x["title"], x["source"])), " ").alias("picks"))

@@ -61,8 +61,24 @@ def latest_days(items: DataFrame, days: int = 30) -> DataFrame:
     return keyed.join(F.broadcast(keyed.select("day").distinct().orderBy(F.desc("day")).limit(days)), "day")  # as many rows as days
 
 
-def write_endpoints(items: DataFrame, path: str, stories: DataFrame | None = None, repos: DataFrame | None = None, top: int = 500, per_category: int = 100, days: int = 30, top_stories: int = 50) -> None:
-    """JSON files under path: the hottest items, each category's, each of the latest days', the list of days, the sources, and stories and repositories."""
+def digest_of(items: DataFrame, picks: DataFrame) -> DataFrame:
+    """One row (date, picks) of a digest (date, place, id, reason): what is picked, in order, with the items' titles and sources; no row without picks."""
+    each = picks.join(items.select("id", "title", "source"), "id", "left")
+    row = each.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("place", "id", "title", "source", "reason"))).alias("picks"))
+    return row.orderBy(F.desc("date")).limit(1)
+
+
+def latest_of(recent: DataFrame) -> DataFrame:
+    """One row (date, count, items) of the last of some days' items (day, ...), in the order of their ids."""
+    last = recent.join(F.broadcast(recent.agg(F.max("day").alias("day"))), "day")  # one row
+    return last.groupBy(F.col("day").alias("date")).agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("id")).alias("items"))
+
+
+def write_endpoints(items: DataFrame, path: str, stories: DataFrame | None = None, repos: DataFrame | None = None, top: int = 500, per_category: int = 100, days: int = 30, top_stories: int = 50, meta: DataFrame | None = None, picks: DataFrame | None = None) -> None:
+    """JSON files under path: the hottest items, each category's, each of the latest days', the last day's, the list of days, the sources, the
+    metadata (of the items, where none is given), and the digest, stories and repositories where there are any."""
+    from tidewire.sources.snapshots import meta_of
+
     order = [F.coalesce("heat", F.lit(0)).desc(), F.col("id")]
     one = lambda frame, name: frame.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")  # noqa: E731  small tables
     one(items.orderBy(*order).limit(top), "items")
@@ -72,6 +88,10 @@ def write_endpoints(items: DataFrame, path: str, stories: DataFrame | None = Non
     recent.write.mode("overwrite").partitionBy("day").json(f"{path}/days")
     one(recent.groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("day")), "index")
     one(sources_list(items), "sources")
+    one(meta if meta is not None else meta_of(items), "meta")
+    one(latest_of(recent), "latest")
+    if picks is not None:
+        one(digest_of(items, picks), "digest")
     if stories is not None:
         one(stories.orderBy(F.desc("n_sources"), "story").limit(top_stories), "stories")
     if repos is not None:
