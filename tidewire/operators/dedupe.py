@@ -79,7 +79,7 @@ def collapse_near_dups(items: DataFrame, ord: str = "id") -> DataFrame:
     """Items (unique id) without near copies: token Jaccard 0.65, within 72 hours where both times are known, four tokens, and half of the Latin tokens.
 
     Items come in the order of ord.  Distinct token sets meet by the rarest tokens that sets so alike must share, and
-    each component of like sets is gone through in order: items of different components are never alike.
+    each component of like sets is gone through in order, stretch by stretch of time: items of different ones are never alike.
     """
     score = richness(items)
     time = F.coalesce(F.unix_millis(F.try_to_timestamp("published_at")), F.lit(0))
@@ -96,5 +96,11 @@ def collapse_near_dups(items: DataFrame, ord: str = "id") -> DataFrame:
     links = met.where(jaccard(F.col("x"), F.col("y")) >= LIKENESS).select("a", "b")
     named = rows.join(components(links).withColumnRenamed("id", "set"), "set", "left").withColumn("story", F.coalesce("story", "set")).drop("set")
     several = named.groupBy("story").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("story")
-    gone = named.join(several, "story", "left_semi").groupBy("story").applyInArrow(_collapsed, f"id {items.schema['id'].dataType.simpleString()}")
+    # items farther apart than the window are never alike: a component is gone through in stretches of time, if all of its times are known
+    several = named.join(several, "story", "left_semi")
+    own = Window.partitionBy("story")
+    apart = F.coalesce(F.col("time") - F.lag("time").over(own.orderBy("time")) > NEAR_HOURS * 3_600_000, F.lit(False))
+    several = several.withColumn("known", F.min(F.col("time") != 0).over(own)).withColumn("apart", apart.cast("int"))
+    several = several.withColumn("stretch", F.when(F.col("known"), F.sum("apart").over(own.orderBy("time"))).otherwise(0)).drop("known", "apart")
+    gone = several.groupBy("story", "stretch").applyInArrow(_collapsed, f"id {items.schema['id'].dataType.simpleString()}")
     return items.join(gone, "id", "left_anti")

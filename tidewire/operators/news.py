@@ -99,8 +99,13 @@ def matched(items: DataFrame, repos: DataFrame, now: str, days: int = WINDOW_DAY
     links = linked.join(r.select("repo"), "repo").select("repo", "id", "date")
     words = recent.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9_]+"), F.lit(0)))).alias("token"))
     met = words.join(r.select("repo", F.explode("tokens").alias("token")), "token").select("repo", "id").distinct()
-    met = met.join(r, "repo").join(recent, "id")
-    named = F.rlike("text", F.col("full")) | F.coalesce(F.rlike("text", F.col("name")), F.lit(False)) & (F.col("distinctive") | ((F.col("owners") != "") & F.rlike("text", F.col("owners"))))
-    found = met.where(named).select("repo", "id", "date").unionByName(links).dropDuplicates(["repo", "id"])
+    # the patterns go to the texts, so that a text moves once however many repositories it meets
+    tried = met.join(r.drop("tokens"), "repo").groupBy("id").agg(F.collect_list(F.struct("repo", "full", "name", "distinctive", "owners")).alias("repos"))
+
+    def named(x: Column) -> Column:
+        return F.rlike("text", x["full"]) | F.coalesce(F.rlike("text", x["name"]), F.lit(False)) & (x["distinctive"] | ((x["owners"] != "") & F.rlike("text", x["owners"])))
+
+    told = recent.join(tried, "id").select("id", "date", F.explode(F.filter("repos", named)).alias("x"))
+    found = told.select("x.repo", "id", "date").unionByName(links).dropDuplicates(["repo", "id"])
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("date"), "id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("repo", "id", "rank")
