@@ -62,8 +62,23 @@ def test_histogram_counts_exactly(spark):
     rows = S.keyed(docs).select("size", "key").persist()
     keys = [(int.from_bytes(r.key, "big"), r["size"]) for r in rows.collect()]
     probes = sorted({0, 1, S.END - 1, *(k for k, _ in keys[::7]), *(k + 1 for k, _ in keys[::9]), *((k >> 64) << 64 for k, _ in keys[::11])})
-    for m in S.histogram(rows, probes):
-        assert (m.size, m.rows) == (sum(s for k, s in keys if k < m.key), sum(k < m.key for k, _ in keys))
+    every = sorted(k for k, _ in keys)
+    bins = S.histogram(rows, probes)
+    for a, b in bins:
+        for m in (a, b):
+            assert (m.size, m.rows) == (sum(s for k, s in keys if k < m.key), sum(k < m.key for k in every))
+        assert a.key in every and b.key - 1 in every and not any(a.key < p < b.key for p in probes)
+    assert sum(b.rows - a.rows for a, b in bins) == len(every)
+
+
+def test_few_rounds_are_enough(spark, monkeypatch):
+    """Brackets shrink to rows, so that a splitter inside many equal texts needs few rounds."""
+    rounds = []
+    real = S.histogram
+    monkeypatch.setattr(S, "histogram", lambda rows, probes: rounds.append(len(probes)) or real(rows, probes))
+    rows = [(k, "hot " * 9 if k % 2 else f"text {k} " * (k % 40)) for k in range(5000)] + [(9000, "x" * 200_000)]
+    held(S.digests(spark.createDataFrame(rows, SCHEMA)).collect(), rows, 24, S.TOLERANCE)
+    assert len(rounds) <= 8
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a"), (2, "x" * 300_000), (None, None)]])

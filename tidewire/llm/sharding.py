@@ -2,12 +2,13 @@
 
 Rows have keys of 16 bytes: half a hash of the text, so that equal texts lie side by side, then a hash of doc_id and of the
 row's place in the input, so that no key holds many rows.  A round counts, for a few candidate boundaries in each splitter's bracket, the exact
-bytes and rows below them; the brackets shrink until each splitter is within the tolerance of its target.  The driver
+bytes and rows below them, and finds the rows next to them; the brackets shrink to these until each splitter is within the tolerance of its target.  The driver
 sees counts of candidates only.  Rows are exchanged once, to ranges that are parts of shards, and sorted there.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,30 +60,51 @@ def _packed(keys: list[int]) -> np.ndarray:
     return np.frombuffer(b"".join(k.to_bytes(KEY, "big") for k in keys), f"S{KEY}")
 
 
+_BIN = "at int, size long, rows long, first binary, last binary"
+
+
 def _counted(shared):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _packed(shared.value)
-        sizes, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
+        n = len(probes) + 1
+        sizes, rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        first, last = np.full(n, b"\xff" * KEY, f"S{KEY}"), np.zeros(n, f"S{KEY}")
         for batch in batches:
-            if batch.num_rows:
-                at = np.searchsorted(probes, _fixed(batch.column("key")), "right")
-                np.add.at(sizes, at, batch.column("size").to_numpy(zero_copy_only=False))
-                rows += np.bincount(at, minlength=len(rows))
+            if not batch.num_rows:
+                continue
+            keys = _fixed(batch.column("key"))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            edge = np.concatenate(([0], np.searchsorted(keys, probes, "left"), [len(keys)]))
+            below = np.concatenate(([0], np.cumsum(batch.column("size").to_numpy(zero_copy_only=False)[order])))
+            sizes += np.diff(below[edge])
+            rows += np.diff(edge)
+            some = np.flatnonzero(np.diff(edge))
+            low, high = keys[edge[some]], keys[edge[some + 1] - 1]
+            first[some] = np.where(low < first[some], low, first[some])
+            last[some] = np.where(high > last[some], high, last[some])
         used = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sizes[used]), pa.array(rows[used])], ["at", "size", "rows"])
+        keys = [pa.Array.from_buffers(pa.binary(KEY), len(used), [None, pa.py_buffer(x[used].tobytes())]).cast(pa.binary()) for x in (first, last)]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sizes[used]), pa.array(rows[used]), *keys], ["at", "size", "rows", "first", "last"])
 
     return counted
 
 
-def histogram(rows: DataFrame, probes: list[int]) -> list[Mark]:
-    """The exact bytes and rows below each of these ascending keys, and below all keys at last."""
+def histogram(rows: DataFrame, probes: list[int]) -> list[tuple[Mark, Mark]]:
+    """The bins between these ascending keys, each as a mark at its first row and one behind its last, with the exact bytes and rows below them.
+
+    Empty bins are left out, so that marks are always next to rows.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(probes)
-    got = rows.select("size", "key").mapInArrow(_counted(shared), "at int, size long, rows long").groupBy("at").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).collect()
+    bins = rows.select("size", "key").mapInArrow(_counted(shared), _BIN).groupBy("at")
+    got = bins.agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")).collect()
     shared.destroy()
-    sizes, counts = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
-    for r in got:
-        sizes[r["at"]], counts[r["at"]] = r["size"], r["rows"]
-    return [Mark(k, s, n) for k, s, n in zip([*probes, END], np.cumsum(sizes).tolist(), np.cumsum(counts).tolist())]
+    out, size, count = [], 0, 0
+    for r in sorted(got, key=lambda r: r["at"]):
+        low = Mark(int.from_bytes(r["first"], "big"), size, count)
+        size, count = size + r["size"], count + r["rows"]
+        out.append((low, Mark(int.from_bytes(r["last"], "big") + 1, size, count)))
+    return out
 
 
 def candidates(low: Mark, high: Mark) -> list[int]:
@@ -95,33 +117,35 @@ def candidates(low: Mark, high: Mark) -> list[int]:
     return [(first + (last - first) * k // max(1, n - 1) if n > 1 else (first + last) // 2) * step for k in range(n)]
 
 
-def splitters(rows: DataFrame, pieces: int, tolerance: float) -> list[Mark]:
-    """Boundaries that cut rows (size, key) into pieces of near equal bytes: each is within tolerance bytes of its target.
+def splitters(rows: DataFrame, shards: int, many: int, tolerance: float) -> list[Mark]:
+    """Boundaries that cut rows (size, key) into many pieces of each shard, all of near equal bytes: each is within tolerance, in parts of a shard's share, of its target.
 
-    Where one row is larger than that, the boundary is on that side of the row that is nearer to the target.
+    Where one row is larger than that, the boundary is on that side of the row that is nearer to the target.  No rows have boundaries behind all keys.
     """
-    low, high = Mark(0, 0, 0), histogram(rows, [])[-1]
-    targets = [high.size * k / pieces for k in range(1, pieces)]
-    brackets = [(low, high) for _ in targets]
+    pieces = shards * many
+    whole = histogram(rows, [])
+    if not whole:
+        return [Mark(END, 0, 0)] * (pieces - 1)
+    total = whole[0][1].size
+    targets = [total * k / pieces for k in range(1, pieces)]
+    brackets = [whole[0]] * len(targets)
 
     def near(k: int) -> Mark:
         return min(brackets[k], key=lambda m: abs(m.size - targets[k]))
 
     def open_(k: int) -> bool:
         a, b = brackets[k]
-        return abs(near(k).size - targets[k]) > tolerance and b.rows - a.rows > 1 and b.key - a.key > 1
+        return abs(near(k).size - targets[k]) > tolerance * total / shards and b.rows - a.rows > 1 and b.key - a.key > 1
 
     while unsure := [k for k in range(len(targets)) if open_(k)]:
-        marks = histogram(rows, sorted({p for b in {brackets[k] for k in unsure} for p in _wide(*b, sum(brackets[k] == b for k in unsure))}))[:-1]
-        sizes = [m.size for m in marks]
+        shares = Counter(brackets[k] for k in unsure)
+        # brackets' own ends too, so that every bin lies inside of one; the first candidate parts its first text or row from the rest
+        bins = histogram(rows, sorted({p for (a, b), n in shares.items() for p in (a.key, *_wide(a, b, n), b.key) if p < END}))
+        ends = [b.size for _, b in bins]
         for k in unsure:
-            a, b = brackets[k]
-            at = int(np.searchsorted(sizes, targets[k], "right"))
-            if at and marks[at - 1].key > a.key:
-                a = marks[at - 1]
-            if at < len(marks) and marks[at].key < b.key:
-                b = marks[at]
-            brackets[k] = (a, b)
+            # the bin that the target falls into, or the place between two
+            at = min(int(np.searchsorted(ends, targets[k], "left")), len(bins) - 1)
+            brackets[k] = bins[at]
     return [near(k) for k in range(len(targets))]
 
 
@@ -171,8 +195,7 @@ def exchanged(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     spark = rows.sparkSession
     rows = K.kept(rows, "keyed")
     many = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    marks = splitters(rows, shards * many, tolerance * total / shards) if total else [Mark(END, 0, 0)] * (shards * many - 1)
+    marks = splitters(rows, shards, many, tolerance)
     starts = [0, *(m.rows for m in marks)]
     below = [n - starts[k // many * many] for k, n in enumerate(starts)]
     context = spark.sparkContext
