@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -176,7 +177,7 @@ def shared_path(spark, name: str) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(os.environ.get("TMPDIR", "/tmp"), "tidewire-checkpoints")
         if not spark.sparkContext.getCheckpointDir():
