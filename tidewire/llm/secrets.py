@@ -36,6 +36,11 @@ ROLES = ("identifier", "secret", "endpoint")
 CHUNK = 64
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once; a column that is named twice in higher-order functions would be computed twice."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
     """Spans of leftmost matches that don't overlap, in code points; those whose group is shorter than least are left out.
 
@@ -44,10 +49,15 @@ def _found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
     wholes = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.zip_with(F.split(text, pattern, -1), wholes, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), (F.length(F.regexp_extract(m, pattern, group)) if group else F.length(m)).alias("part")))
     sizes = F.filter(sizes, lambda s: s["n"].isNotNull())
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda k: F.slice(sizes, k * CHUNK + 1, CHUNK))
     zero = F.lit(0).cast("long")
-    lengths = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda acc, s: acc + s["gap"] + s["n"]))
-    starts = F.aggregate(lengths, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def in_chunks(sizes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda k: F.slice(sizes, k * CHUNK + 1, CHUNK))
+
+    def starts_of(chunks: Column) -> Column:
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda acc, s: acc + s["gap"] + s["n"]))
+        return F.aggregate(lengths, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
     none = F.array().cast(f"array<{SPAN}>")
 
     def placed(chunk: Column, start: Column) -> Column:
@@ -59,7 +69,10 @@ def _found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0
 
         return F.aggregate(chunk, F.struct(start.cast("long").alias("at"), none.alias("spans")), step)["spans"]
 
-    spans = F.flatten(F.transform(F.arrays_zip(chunks.alias("chunk"), F.slice(starts, 1, F.size(chunks)).alias("start")), lambda x: placed(x["chunk"], x["start"])))
+    def all_placed(chunks: Column) -> Column:
+        return F.flatten(F.zip_with(chunks, F.slice(starts_of(chunks), 1, F.size(chunks)), placed))
+
+    spans = _let(sizes, lambda sizes: _let(in_chunks(sizes), all_placed))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
