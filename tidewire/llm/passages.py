@@ -244,8 +244,8 @@ def least_runs(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, b, start, end, draw): hashes of the runs of the least passage's length that lie in a window and hold its minimum, with
-    draw -1, and of the least short runs about the minimum, with their surroundings in the window."""
+    """(run, b, start, end, draw, asks): hashes of the runs of the least passage's length that lie in a window and hold its minimum, with
+    draw -1, and of the least short runs about the minimum, with their surroundings in the window, which ask if the window does."""
     for part in K.slices(batches, "text", 1 << 20):
         hashes, firsts = shingle_hashes(part.column("text"))
         b = part.column("b").to_numpy()
@@ -253,13 +253,16 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = spots.flatten()
         own = np.repeat(np.arange(part.num_rows), spots.value_lengths().to_numpy(zero_copy_only=False))
         place, low, high = (x.field(c).to_numpy().astype(np.int64) for c in ("place", "low", "high"))
+        asks = x.field("asks").to_numpy(zero_copy_only=False)
+        order = np.argsort(~asks, kind="stable")  # of windows with one run, one that asks comes first
+        own, place, low, high, asks = (v[order] for v in (own, place, low, high, asks))
         runs, begins = K.shingles(hashes, firsts, LEAST)
         s = np.maximum(low, place - LEAST + 1)
         n = np.maximum(np.minimum(place, high - LEAST + 1) - s + 1, 0)
         at = np.unique(K.ragged(begins[own] + s, n))
         text = np.searchsorted(begins, at, "right") - 1
         start = at - begins[text]
-        whole = (runs[at].view(np.int64), b[text], start, start + LEAST - 1, np.full(len(at), -1))
+        whole = (runs[at].view(np.int64), b[text], start, start + LEAST - 1, np.full(len(at), -1), np.ones(len(at), bool))
         runs, begins, least = least_runs(hashes, firsts)
         s = np.maximum(low, place - LEAST)
         n = np.maximum(np.minimum(place + LEAST, high) - SHORT + 1 - s + 1, 0)
@@ -268,9 +271,9 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, spot = at[least[at]], spot[least[at]]
         start = at - begins[own[spot]]
         name = K.mix(runs[at] ^ K.GOLDEN)
-        short = (name.view(np.int64), b[own[spot]], np.maximum(low[spot], start - SIDE), np.minimum(high[spot], start + SHORT - 1 + SIDE), (name % U64(DRAWS)).astype(np.int64))
-        columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(whole, short), (np.int64, np.int64, np.int32, np.int32, np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, ["run", "b", "start", "end", "draw"])
+        short = (name.view(np.int64), b[own[spot]], np.maximum(low[spot], start - SIDE), np.minimum(high[spot], start + SHORT - 1 + SIDE), (name % U64(DRAWS)).astype(np.int64), asks[spot])
+        columns = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(whole, short), (np.int64, np.int64, np.int32, np.int32, np.int32, bool))]
+        yield pa.RecordBatch.from_arrays(columns, ["run", "b", "start", "end", "draw", "asks"])
 
 
 #: The share of matches on both sides at which two sets reach the threshold.
@@ -368,11 +371,15 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     left = found.alias("f").join(inside.alias("g"), (F.col("f.a") == F.col("g.a")) & (F.col("f.b") == F.col("g.b")) & F.col("place").between(F.col("b_start"), F.col("b_end") - WIDTH), "left_anti")
     left = K.kept(left, "left")
     several = left.groupBy("function", "key").agg(F.min("b").alias("low_b"), F.max("b").alias("high_b")).where("low_b <> high_b").select("function", "key")
-    spots = left.join(several, ["function", "key"], "left_semi").groupBy("b").agg(F.collect_set(F.struct("place", "low", "high")).alias("spots"))
-    runs = K.kept(spots.join(texts, F.col("b") == F.col("tid")).select("b", "spots", "text").mapInArrow(_whole, "run long, b long, start int, end int, draw int"), "runs")
+    # where another leader's passage holds the minimum the text is linked already: there it may lead short runs, but needn't ask for a leader
+    ranges = inside.groupBy("b").agg(F.collect_set(F.struct("b_start", "b_end")).alias("ranges"))
+    spots = left.join(several, ["function", "key"], "left_semi").groupBy("b").agg(F.collect_set(F.struct("place", "low", "high")).alias("spots")).join(ranges, "b", "left")
+    linked = lambda s: F.exists("ranges", lambda r: s["place"].between(r["b_start"], r["b_end"] - WIDTH))
+    spots = spots.select("b", F.transform("spots", lambda s: F.struct(s["place"].alias("place"), s["low"].alias("low"), s["high"].alias("high"), (~F.coalesce(linked(s), F.lit(False))).alias("asks"))).alias("spots"))
+    runs = K.kept(spots.join(texts, F.col("b") == F.col("tid")).select("b", "spots", "text").mapInArrow(_whole, "run long, b long, start int, end int, draw int, asks boolean"), "runs")
     first = F.min(F.struct(F.when(F.col("draw") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("b", "draw")).alias("rank"), "b"))
     leads = runs.groupBy("run").agg(first.alias("first"), F.min("b").alias("low_b"), F.max("b").alias("high_b")).where("low_b < high_b").select("run", F.col("first.b").alias("a"))
-    again = runs.join(leads, "run").where("a <> b").select("a", "b", F.lit(0).alias("function"), "start", "end").distinct()
+    again = runs.where("asks").join(leads, "run").where("a <> b").select("a", "b", F.lit(0).alias("function"), "start", "end").distinct()
     good = K.kept(good.unionByName(_passages(again, texts, 1)).distinct(), "passages")
     ids = members.groupBy("tid").agg(F.min("doc_id").alias("id"))
     passages = good.join(ids.select(F.col("tid").alias("b"), F.col("id").alias("doc_id")), "b").join(ids.select(F.col("tid").alias("a"), F.col("id").alias("other_id")), "a")
