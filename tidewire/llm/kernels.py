@@ -185,9 +185,9 @@ def shared_path(spark, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(frame, name: str):
+def kept(frame, name: str, codec: str = "snappy"):
     """The frame, written to the shared folder and read again: a cut of the lineage that outlives executors."""
     spark = frame.sparkSession
     path = shared_path(spark, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", codec).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

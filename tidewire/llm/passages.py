@@ -359,7 +359,7 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.select("tid", "text").mapInArrow(_windows(parts), PACKED)
     found = packed.repartition(parts // 2, "part").sortWithinPartitions("part").mapInArrow(_grouped, CANDIDATE)
-    found = K.kept(found.distinct(), "candidates")
+    found = K.kept(found.distinct(), "candidates", "zstd")
     members = K.kept(rows.select("doc_id", "tid", more, (F.regexp_count("text", F.lit("[A-Za-z0-9\\x{80}-\\x{10FFFF}]+")) >= WORDS).alias("long")), "members")
     nodes = members.groupBy("tid").agg(F.min(node).alias("node"))
     wanted = found.select("a").unionByName(found.select(F.col("b").alias("a"))).distinct().join(nodes, F.col("a") == F.col("tid")).select("tid", "node")
@@ -369,14 +369,14 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     # windows that no passage with their leader holds, of groups with two or more of them
     inside = good.select("a", "b", "b_start", "b_end")
     left = found.alias("f").join(inside.alias("g"), (F.col("f.a") == F.col("g.a")) & (F.col("f.b") == F.col("g.b")) & F.col("place").between(F.col("b_start"), F.col("b_end") - WIDTH), "left_anti")
-    left = K.kept(left, "left")
+    left = K.kept(left, "left", "zstd")
     several = left.groupBy("function", "key").agg(F.min("b").alias("low_b"), F.max("b").alias("high_b")).where("low_b <> high_b").select("function", "key")
     # where another leader's passage holds the minimum the text is linked already: there it may lead short runs, but needn't ask for a leader
     ranges = inside.groupBy("b").agg(F.collect_set(F.struct("b_start", "b_end")).alias("ranges"))
     spots = left.join(several, ["function", "key"], "left_semi").groupBy("b").agg(F.collect_set(F.struct("place", "low", "high")).alias("spots")).join(ranges, "b", "left")
     linked = lambda s: F.exists("ranges", lambda r: s["place"].between(r["b_start"], r["b_end"] - WIDTH))
     spots = spots.select("b", F.transform("spots", lambda s: F.struct(s["place"].alias("place"), s["low"].alias("low"), s["high"].alias("high"), (~F.coalesce(linked(s), F.lit(False))).alias("asks"))).alias("spots"))
-    runs = K.kept(spots.join(texts, F.col("b") == F.col("tid")).select("b", "spots", "text").mapInArrow(_whole, "run long, b long, start int, end int, draw int, asks boolean"), "runs")
+    runs = K.kept(spots.join(texts, F.col("b") == F.col("tid")).select("b", "spots", "text").mapInArrow(_whole, "run long, b long, start int, end int, draw int, asks boolean"), "runs", "zstd")
     first = F.min(F.struct(F.when(F.col("draw") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("b", "draw")).alias("rank"), "b"))
     leads = runs.groupBy("run").agg(first.alias("first"), F.min("b").alias("low_b"), F.max("b").alias("high_b")).where("low_b < high_b").select("run", F.col("first.b").alias("a"))
     again = runs.where("asks").join(leads, "run").where("a <> b").select("a", "b", F.lit(0).alias("function"), "start", "end").distinct()
