@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import jaccard, title_key, url_key
+from tidewire.lineage import cut
 from tidewire.operators.stories import components
 
 LIKENESS, LATIN, LEAST_TOKENS, NEAR_HOURS = 0.65, 0.5, 4, 72
@@ -75,25 +76,52 @@ def _collapsed(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(gone, table.schema.field("id").type)})
 
 
+def like_sets(sets: DataFrame) -> DataFrame:
+    """(a, b) of token sets (unique set, tokens) with a Jaccard of 0.65, as many as connect whatever such pairs connect.
+
+    Sets meet by the rarest tokens that sets so alike must share, where the tokens from there on can suffice.  First each meets the least set
+    and its neighbour in size at a token; then only those that aren't connected yet meet, so that a crowd of copies makes no pairs.
+    """
+    sets = cut(sets)
+    each = sets.select("set", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    ranked = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("set").orderBy("df", "token"))
+    some = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * LIKENESS - 1e-9) + 1).where("df > 1")
+    some = cut(some.select("token", F.struct("n", "set", "place").alias("at")))
+
+    def can(a: Column, b: Column) -> Column:
+        """Whether a, the smaller, and b can be alike if this token is the first that they share."""
+        shared = 1 + F.least(a["n"] - a["place"], b["n"] - b["place"])
+        return (a["n"] >= b["n"] * LIKENESS - 1e-9) & (shared >= (a["n"] + b["n"]) * (LIKENESS / (1 + LIKENESS)) - 1e-9)
+
+    def alike(met: DataFrame) -> DataFrame:
+        met = met.distinct().join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
+        return cut(met.where(jaccard(F.col("x"), F.col("y")) >= LIKENESS).select("a", "b"))
+
+    by_size = Window.partitionBy("token").orderBy("at")
+    near = some.select("at", F.first("at").over(by_size).alias("least"), F.lag("at").over(by_size).alias("last"))
+    near = near.select("at", F.explode(F.array("least", "last")).alias("less"))
+    first = alike(near.where("less.set <> at.set").where(can(F.col("less"), F.col("at"))).select(F.col("less.set").alias("a"), F.col("at.set").alias("b")))
+    parts = components(first).select(F.col("id").alias("set"), "story")
+    placed = some.join(parts, some["at.set"] == parts["set"], "left").select("token", "at", F.coalesce("story", "at.set").alias("story"))
+    # the smaller of two sets shares even more of its tokens
+    short = placed.where(F.col("at.place") <= F.col("at.n") - F.ceil(F.col("at.n") * (2 * LIKENESS / (1 + LIKENESS)) - 1e-9) + 1)
+    x, y = (t.select("token", F.col("at").alias(c), F.col("story").alias(f"story_{c}")) for t, c in ((short, "p"), (placed, "q")))
+    less = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.set") < F.col("q.set")))
+    met = x.join(y, "token").where(less & (F.col("story_p") != F.col("story_q")) & can(F.col("p"), F.col("q")))
+    return first.unionByName(alike(met.select(F.col("p.set").alias("a"), F.col("q.set").alias("b"))))
+
+
 def collapse_near_dups(items: DataFrame, ord: str = "id") -> DataFrame:
     """Items (unique id) without near copies: token Jaccard 0.65, within 72 hours where both times are known, four tokens, and half of the Latin tokens.
 
-    Items come in the order of ord.  Distinct token sets meet by the rarest tokens that sets so alike must share, and
-    each component of like sets is gone through in order, stretch by stretch of time: items of different ones are never alike.
+    Items come in the order of ord.  Each component of like sets is gone through in order, stretch by stretch of time: items of different ones are never alike.
     """
     score = richness(items)
     time = F.coalesce(F.unix_millis(F.try_to_timestamp("published_at")), F.lit(0))
     rows = items.select("id", F.col(ord).alias("ord"), near_tokens(F.coalesce("title", F.lit(""))).alias("tokens"), time.alias("time"), score.alias("score"))
     rows = rows.where(F.size("tokens") >= LEAST_TOKENS).withColumn("set", F.md5(F.concat_ws(" ", "tokens")))
-    sets = rows.select("set", "tokens").dropDuplicates(["set"])
-    each = sets.select("set", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    ranked = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
-    place = F.row_number().over(Window.partitionBy("set").orderBy("df", "token"))
-    some = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * LIKENESS - 1e-9) + 1)
-    x, y = (some.select("token", F.col("set").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    met = x.join(y, "token").where("a < b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * LIKENESS - 1e-9).select("a", "b").distinct()
-    met = met.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
-    links = met.where(jaccard(F.col("x"), F.col("y")) >= LIKENESS).select("a", "b")
+    links = like_sets(rows.select("set", "tokens").dropDuplicates(["set"]))
     named = rows.join(components(links).withColumnRenamed("id", "set"), "set", "left").withColumn("story", F.coalesce("story", "set")).drop("set")
     several = named.groupBy("story").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("story")
     # items farther apart than the window are never alike: a component is gone through in stretches of time, if all of its times are known
