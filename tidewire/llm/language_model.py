@@ -201,6 +201,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             out.append(np.frombuffer(flags, np.uint8)[local])
             docs.append((flush, _unpack(places)))
             base += len(docs[-1][1])
+        rows.clear()
+        K.release()
         return np.concatenate(keys), np.concatenate(owners), np.concatenate(out) == 0, docs
 
     for batch in batches:
@@ -363,11 +365,11 @@ def log_probability(total: int, size: int, mix: np.ndarray, c_h: np.ndarray, c_w
 PART_SCORES = "flush long, docs binary, scores binary"
 
 
-def _bigram_scores(shared):
+def _bigram_scores(shared, mix: np.ndarray):
     """A row for each part and flush: places of texts, and the sums of their log probabilities in that part."""
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, mix = shared.value
+        words = shared.value
         for keys, owner, train, docs in _parts(batches):
             unique, which = np.unique(keys, return_inverse=True)
             n = np.bincount(which[train], minlength=len(unique))
@@ -404,9 +406,9 @@ def _flush_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield summed(rows)
 
 
-def _text_scores(shared):
+def _text_scores(shared, grid):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hot = shared.value
+        words, hot = shared.value, grid.value
         scale = np.log10(words.total + PAD * (words.distinct + 1))
         base = np.log10(words.counts + PAD) - scale
         for part in K.slices(batches, "text"):
@@ -435,6 +437,7 @@ def score_texts(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
     rows = rows.withColumn("rid", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary"))))
     counts = word_counts(rows)
     words = head(counts, head_size)
+    # the only copy of the words that a worker holds; a reused one keeps every broadcast that it has met
     shared = spark.sparkContext.broadcast(words)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.total // 4_000_000))
     blocks = rows.mapInArrow(_blocks(shared, parts), BLOCK).repartition(parts, "part").sortWithinPartitions("part")
@@ -457,8 +460,8 @@ def score_texts(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
     grid[h, w] = log_probability(words.total, words.size, mix, words.counts[h], words.counts[w], hot.reshape(HOT, HOT)[h, w])
 
     kind = "doc_id long, rid binary, held_out boolean, n_tokens long, n_known long, base double, score double"
-    own = K.kept(rows.mapInArrow(_text_scores(spark.sparkContext.broadcast((words, grid.ravel()))), kind), "scores")
-    scored = pairs.mapInArrow(_bigram_scores(spark.sparkContext.broadcast((words, mix))), PART_SCORES)
+    own = K.kept(rows.mapInArrow(_text_scores(shared, spark.sparkContext.broadcast(grid.ravel())), kind), "scores")
+    scored = pairs.mapInArrow(_bigram_scores(shared, mix), PART_SCORES)
     named = blocks.where("part < 0 and bits = 0").select("flush", "docs", F.lit(None).cast("binary").alias("scores"))
     partial = scored.unionByName(named).repartition(parts, "flush").sortWithinPartitions("flush").mapInArrow(_flush_scores, "rid binary, part_score double")
     copies = own.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
