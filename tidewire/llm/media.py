@@ -25,8 +25,10 @@ LEAST, MOST, CUT_BITS = 1024, 16384, 11
 FRAME = 576
 GEAR = (K.mix((np.arange(256, dtype=np.uint64) + np.uint64(77)) * K.GOLDEN) >> np.uint64(32)).astype(np.uint32)
 #: Bytes of the dictionary of what is shuffled, and of the texts that it is taken from.
-DICTIONARY, DICTIONARY_TEXTS = 1 << 18, (256, 4096)
-NAME_BYTES, LEVEL = 16, 9
+DICTIONARY, DICTIONARY_TEXTS = 1 << 19, (256, 4096)
+NAME_BYTES, LEVEL, PACK_LEVEL = 16, 9, 12
+#: Bytes of a page of stored samples: small rows next to each other compress as one.
+PAGE = 1 << 23
 CHUNK = "struct<pos:int,digest:binary,size:int,owned:boolean,shared:boolean>"
 
 
@@ -85,8 +87,8 @@ def dictionary(texts: DataFrame) -> bytes:
 def packers(content: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     """A compressor and a decompressor with this dictionary."""
     shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    shared.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared), zstandard.ZstdDecompressor(dict_data=shared)
+    shared.precompute_compress(level=PACK_LEVEL)
+    return zstandard.ZstdCompressor(level=PACK_LEVEL, dict_data=shared), zstandard.ZstdDecompressor(dict_data=shared)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,17 +191,17 @@ def write(docs: DataFrame, path: str) -> None:
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("node")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node, F.col("text").cast("string").alias("text"))
     content = rows.sparkSession.sparkContext.broadcast(dictionary(rows))
-    listed = K.kept(rows.mapInArrow(_listed, "doc_id long, node long, n_bytes long, media_id binary, chunks array<struct<digest:binary,size:int>>"), "lists")
-    listed.select("doc_id", "n_bytes", "media_id").write.parquet(f"{path}/rows")
+    listed = K.kept(rows.mapInArrow(_listed, "doc_id long, node long, n_bytes long, media_id binary, chunks array<struct<digest:binary,size:int>>"), "lists", "zstd")
+    listed.select("doc_id", "n_bytes", "media_id").write.option("compression", "zstd").parquet(f"{path}/rows")
     keeper = listed.groupBy("media_id").agg(F.min("node").alias("node"))
     media = listed.select("media_id", "node", "chunks").join(keeper, ["media_id", "node"]).dropDuplicates(["media_id", "node"])
-    each = K.kept(media.select("media_id", "node", F.posexplode("chunks").alias("pos", "c")).select("media_id", "node", "pos", "c.digest", "c.size"), "chunks")
+    each = K.kept(media.select("media_id", "node", F.posexplode("chunks").alias("pos", "c")).select("media_id", "node", "pos", "c.digest", "c.size"), "chunks", "zstd")
     owner = each.groupBy("digest").agg(F.min(F.struct("media_id", "pos")).alias("owner"), F.count(F.lit(1)).alias("n"))
     flags = each.join(owner, "digest").withColumn("owned", F.struct("media_id", "pos") == F.col("owner"))
     lists = flags.groupBy("media_id", "node").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "size", "owned", (F.col("n") > 1).alias("shared")))).alias("chunks"))
     blobs = rows.select("node", "text").mapInArrow(_packed(content), "node long, media_id binary, blob binary")
     whole = blobs.join(lists, ["media_id", "node"]).dropDuplicates(["media_id", "node"])
-    whole.select("media_id", "chunks", "blob").mapInArrow(_owned(content), f"media_id binary, chunks array<{CHUNK}>, blob binary").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(f"{path}/media")
+    whole.select("media_id", "chunks", "blob").mapInArrow(_owned(content), f"media_id binary, chunks array<{CHUNK}>, blob binary").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).option("parquet.page.size", PAGE).parquet(f"{path}/media")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
