@@ -26,7 +26,7 @@ FRAME = 576
 GEAR = (K.mix((np.arange(256, dtype=np.uint64) + np.uint64(77)) * K.GOLDEN) >> np.uint64(32)).astype(np.uint32)
 #: Bytes of the dictionary of what is shuffled, and of the texts that it is taken from.
 DICTIONARY, DICTIONARY_TEXTS = 1 << 19, (256, 4096)
-NAME_BYTES, LEVEL, PACK_LEVEL = 16, 9, 12
+NAME_BYTES, LEVEL, PACK_LEVEL, STORE_LEVEL = 16, 9, 12, 12
 #: Bytes of a page of stored samples: small rows next to each other compress as one.
 PAGE = 1 << 23
 CHUNK = "struct<pos:int,digest:binary,size:int,owned:boolean,shared:boolean>"
@@ -92,15 +92,13 @@ def packers(content: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDec
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32())]))
     for part in K.slices(batches, "text"):
         data, offsets, sizes = payloads(part.column("text"))
         raw, rows, names = memoryview(data), [], []
         for a, ends in zip(offsets[:-1].tolist(), cuts(data, offsets)):
-            begins = [a, *ends[:-1]]
-            rows.append([{"digest": name_of(raw[s:e]), "size": e - s} for s, e in zip(begins, ends)])
+            rows.append([name_of(raw[s:e]) for s, e in zip([a, *ends[:-1]], ends)])
             names.append(name_of(raw[a : ends[-1]]))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(rows, kind)], ["doc_id", "node", "n_bytes", "media_id", "chunks"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_id", "digests"])
 
 
 def _packed(content):
@@ -110,25 +108,26 @@ def _packed(content):
             data, offsets, _ = payloads(part.column("text"))
             raw = memoryview(data)
             spans = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([name_of(s) for s in spans], pa.binary()), pa.array([squeeze.compress(s) for s in spans], pa.binary())], ["node", "media_id", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in spans], pa.binary()), pa.array([squeeze.compress(s) for s in spans], pa.binary())], ["media_id", "blob"])
 
     return packed
 
 
 def _owned(content):
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keeps of each payload the chunks that it owns."""
+        """Cuts each payload again and keeps the chunks that it owns: all but those that its flags lend from others."""
         _, expand = packers(content.value)
+        kind = pa.list_(pa.struct([("pos", pa.int32()), ("digest", pa.binary()), ("size", pa.int32()), ("owned", pa.bool_()), ("shared", pa.bool_())]))
         for part in K.slices(batches, "blob", 1 << 18):
-            blobs = []
-            for blob, chunks in zip(part.column("blob"), part.column("chunks").to_pylist()):
-                raw, at, own = expand.decompress(blob.as_py()), 0, []
-                for c in chunks:
-                    if c["owned"]:
-                        own.append(raw[at : at + c["size"]])
-                    at += c["size"]
-                blobs.append(b"".join(own))
-            yield pa.RecordBatch.from_arrays([part.column("media_id"), part.column("chunks"), pa.array(blobs, pa.binary())], ["media_id", "chunks", "blob"])
+            raws = [expand.decompress(blob.as_py()) for blob in part.column("blob")]
+            offsets = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
+            lists, blobs = [], []
+            for raw, a, ends, flags in zip(raws, offsets.tolist(), cuts(np.frombuffer(b"".join(raws), np.uint8), offsets), part.column("flags").to_pylist()):
+                owned = {f["pos"]: f["owned"] for f in flags or []}
+                spans = [(s - a, e - a) for s, e in zip([a, *ends[:-1]], ends)]
+                lists.append([{"pos": k, "digest": name_of(raw[s:e]), "size": e - s, "owned": owned.get(k, True), "shared": k in owned} for k, (s, e) in enumerate(spans)])
+                blobs.append(b"".join(raw[s:e] for k, (s, e) in enumerate(spans) if owned.get(k, True)))
+            yield pa.RecordBatch.from_arrays([part.column("media_id"), pa.array(lists, kind), pa.array(blobs, pa.binary())], ["media_id", "chunks", "blob"])
 
     return owned
 
@@ -188,20 +187,17 @@ def write(docs: DataFrame, path: str) -> None:
 
     Null texts count as empty.  Equal texts are one media object.  Other columns are ignored.
     """
-    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("node")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node, F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     content = rows.sparkSession.sparkContext.broadcast(dictionary(rows))
-    listed = K.kept(rows.mapInArrow(_listed, "doc_id long, node long, n_bytes long, media_id binary, chunks array<struct<digest:binary,size:int>>"), "lists", "zstd")
+    listed = K.kept(rows.mapInArrow(_listed, "doc_id long, n_bytes long, media_id binary, digests array<binary>"), "lists", "zstd")
     listed.select("doc_id", "n_bytes", "media_id").write.option("compression", "zstd").parquet(f"{path}/rows")
-    keeper = listed.groupBy("media_id").agg(F.min("node").alias("node"))
-    media = listed.select("media_id", "node", "chunks").join(keeper, ["media_id", "node"]).dropDuplicates(["media_id", "node"])
-    each = K.kept(media.select("media_id", "node", F.posexplode("chunks").alias("pos", "c")).select("media_id", "node", "pos", "c.digest", "c.size"), "chunks", "zstd")
-    owner = each.groupBy("digest").agg(F.min(F.struct("media_id", "pos")).alias("owner"), F.count(F.lit(1)).alias("n"))
-    flags = each.join(owner, "digest").withColumn("owned", F.struct("media_id", "pos") == F.col("owner"))
-    lists = flags.groupBy("media_id", "node").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "size", "owned", (F.col("n") > 1).alias("shared")))).alias("chunks"))
-    blobs = rows.select("node", "text").mapInArrow(_packed(content), "node long, media_id binary, blob binary")
-    whole = blobs.join(lists, ["media_id", "node"]).dropDuplicates(["media_id", "node"])
-    whole.select("media_id", "chunks", "blob").mapInArrow(_owned(content), f"media_id binary, chunks array<{CHUNK}>, blob binary").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).option("parquet.page.size", PAGE).parquet(f"{path}/media")
+    # a chunk at one place only needs no row: its payload owns it; rows of equal payloads are the same place
+    each, place = listed.select("media_id", F.posexplode("digests").alias("pos", "digest")), F.struct("media_id", "pos")
+    several = each.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("last")).where("owner <> last").select("digest", "owner")
+    flags = each.join(several, "digest").select("media_id", F.struct("pos", (place == F.col("owner")).alias("owned")).alias("flag")).groupBy("media_id").agg(F.collect_set("flag").alias("flags"))
+    blobs = rows.select("text").mapInArrow(_packed(content), "media_id binary, blob binary").dropDuplicates(["media_id"])
+    whole = blobs.join(flags, "media_id", "left").select("media_id", "flags", "blob")
+    whole.mapInArrow(_owned(content), f"media_id binary, chunks array<{CHUNK}>, blob binary").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", STORE_LEVEL).option("parquet.page.size", PAGE).parquet(f"{path}/media")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
