@@ -138,3 +138,20 @@ def test_round_trip(spark, v, monkeypatch):
     for t in given:
         ids, firsts = small.encode(pa.array([t], pa.string()))
         assert P.texts(v, ids, firsts) == [t or ""]
+
+
+def test_few_units_are_in_the_lattice_at_once(monkeypatch):
+    from tidewire.llm import pieces
+
+    sizes, before = [], pieces.segmented
+
+    def seen(v, data, starts, lengths):
+        sizes.append(len(starts) * int(lengths.max()))
+        return before(v, data, starts, lengths)
+
+    monkeypatch.setattr(pieces, "segmented", seen)
+    v = pieces.public_vocabulary()
+    text = " ".join(f"{k:012d}" for k in range(40_000))
+    ids, firsts = pieces.Encoder(v).encode(pa.array([text]))
+    assert len(sizes) > 1 and max(sizes) <= pieces.LATTICE
+    assert pieces.texts(v, ids, firsts) == [text]

@@ -30,7 +30,9 @@ UNKNOWN_PENALTY = 10.0
 #: Units of more bytes are segmented one by one.
 WIDE = 48
 #: Segmentations that a worker keeps before it begins anew; only speed depends on it.
-KEPT_UNITS = 1_500_000
+KEPT_UNITS = 400_000
+#: Bytes of the units that move through the lattice together; each takes some twenty bytes of memory.
+LATTICE = 1 << 18
 
 
 class DoubleArray:
@@ -139,7 +141,7 @@ def public_vocabulary(name: str = "piece_bpe_32k.model") -> Vocabulary:
 
 def _char_lengths(data: np.ndarray) -> np.ndarray:
     """Bytes of the character that begins at each byte (1 for the others)."""
-    return np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1)))
+    return (1 + (data >= 0xC0) + (data >= 0xE0) + (data >= 0xF0)).astype(np.uint8)
 
 
 def segmented(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +161,7 @@ def segmented(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np.n
     chars = _char_lengths(cells)
     best = np.full((n, wide + 1), -np.inf)
     best[:, 0] = 0
-    back, piece = np.zeros((n, wide + 1), np.int64), np.full((n, wide + 1), -1, np.int64)
+    back, piece = np.zeros((n, wide + 1), np.int32), np.full((n, wide + 1), -1, np.int32)
     base, check, value = v.trie.base, v.trie.check, v.trie.value
     for s in range(wide):
         rows = np.flatnonzero((lengths > s) & (best[:, s] > -np.inf))
@@ -189,7 +191,7 @@ def segmented(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np.n
         r, to = r[win], to[win]
         best[r, to], back[r, to], piece[r, to] = offer[win], s, -1
     # back from the ends; an unknown character gives its bytes
-    marks = np.full((n, wide), -1, np.int64)
+    marks = np.full((n, wide), -1, np.int32)
     live, at = np.arange(n), lengths.copy()
     while len(live):
         b, p = back[live, at], piece[live, at]
@@ -218,7 +220,8 @@ class Encoder:
         at = 0
         while at < len(keys):
             if lengths[at] <= WIDE:
-                to = min(at + 65536, int(np.searchsorted(lengths, max(8, 2 * lengths[at]), "right")), int(np.searchsorted(lengths, WIDE, "right")))
+                wide = min(WIDE, max(8, 2 * int(lengths[at])))
+                to = min(at + max(1, LATTICE // wide), int(np.searchsorted(lengths, wide, "right")))
                 x, c = segmented(self.v, data, starts[at:to], lengths[at:to])
             else:
                 to = at + 1
