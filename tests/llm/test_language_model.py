@@ -158,3 +158,23 @@ def test_repeated_rows_in_another_order(spark, tmp_path):
             m = kept["mix"][min(23, int(math.log2(max(1, c[h]))))]
             total += math.log10(m[0] * b[h, w] / max(1, c[h]) + m[1] * c[w] / n + m[2] / size) if c[w] else math.log10(m[2] / size)
         assert r.score == pytest.approx(total, rel=1e-9)
+
+
+def test_a_part_is_sorted_in_pieces():
+    import numpy as np
+
+    from tidewire.llm import language_model
+
+    rng = np.random.default_rng(3)
+    rows, want, base = [], [], 0
+    for flush in range(4):
+        keys, local = rng.integers(0, 90_000, 160_000).astype(np.uint64), rng.integers(0, 8, 160_000).astype(np.uint64)
+        rows.append((5, flush, 4, language_model._pack(np.sort(keys << np.uint64(4) | local)), language_model._pack(np.arange(8, dtype=np.uint64) * 3), bytes([0, 1] * 4), None, None))
+        want += list(zip(keys.tolist(), (local + base).tolist(), (local % 2 == 0).tolist()))
+        base += 8
+    parts = [(docs, list(pieces)) for docs, pieces in language_model._parts(iter([language_model._rows(rows)]))]
+    assert len(parts) == 1 and [f for f, _ in parts[0][0]] == [0, 1, 2, 3]
+    pieces = parts[0][1]
+    assert len(pieces) == 4 and max(len(k) for k, _, _ in pieces) < 1.1 * language_model.PIECE
+    assert sum(len(np.unique(k)) for k, _, _ in pieces) == len({k for k, _, _ in want})
+    assert sorted((a, b, c) for k, o, t in pieces for a, b, c in zip(k.tolist(), o.tolist(), t.tolist())) == sorted(want)

@@ -32,6 +32,8 @@ END = U64(0xE4D0F7E47)
 HEAD, HOT = 1 << 20, 1024
 PAD = 0.1
 FLUSH = 800_000
+#: Occurrences of a part that are sorted at once; only memory depends on it.
+PIECE = 200_000
 ID_BITS = 21
 BUCKETS, QUARTERS = 24, 4
 
@@ -187,23 +189,37 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["part", "flush", "bits", "occ", "docs", "out", "pairs", "pair_counts"])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]]:
-    """(bigrams, their owners, whether they are for training, [(flush, its texts' places)]) of each part in turn; rows come sorted by part."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """([(flush, its texts' places)], its pieces) of each part in turn; rows come sorted by part.
+
+    A piece is (bigrams, their owners, whether they are for training), with all occurrences of its bigrams and about PIECE in all.
+    """
     now, rows = None, []
 
     def joined():
-        keys, owners, out, docs, base = [], [], [], [], 0
+        held, docs, base = [], [], 0
         for flush, bits, occ, places, flags in rows:
-            x = _unpack(occ)
-            keys.append((x >> U64(bits)).astype(np.int64))
-            local = (x & U64((1 << bits) - 1)).astype(np.int64)
-            owners.append(local + base)
-            out.append(np.frombuffer(flags, np.uint8)[local])
+            held.append((_unpack(occ), U64(bits), base, np.frombuffer(flags, np.uint8)))
             docs.append((flush, _unpack(places)))
             base += len(docs[-1][1])
         rows.clear()
+        return docs, pieces(held)
+
+    def pieces(held):
+        n = U64(max(1, -(-sum(len(x) for x, *_ in held) // PIECE)))
+        for k in range(int(n)):
+            keys, owners, out = [], [], []
+            for x, bits, base, flags in held:
+                if n > 1:
+                    x = x[K.mix((x >> bits) + K.GOLDEN) % n == k]  # parts are dealt by mix of the key itself
+                keys.append((x >> bits).astype(np.int64))
+                local = (x & ((U64(1) << bits) - U64(1))).astype(np.int64)
+                owners.append(local + base)
+                out.append(flags[local] == 0)
+            keys, owners, out = np.concatenate(keys), np.concatenate(owners), np.concatenate(out)
+            if len(keys):
+                yield keys, owners, out
         K.release()
-        return np.concatenate(keys), np.concatenate(owners), np.concatenate(out) == 0, docs
 
     for batch in batches:
         for r in batch.to_pylist():
@@ -249,10 +265,11 @@ def _cell_rows(got: tuple[np.ndarray, ...]) -> pa.RecordBatch:
 def _cells(shared):
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        for keys, _, train, _ in _parts(batches):
-            unique, n = np.unique(keys[train], return_counts=True)
-            if len(unique):
-                yield _cell_rows(held_out_cells(words.total, *counts_of(words, unique), n, n))
+        for _, pieces in _parts(batches):
+            for keys, _, train in pieces:
+                unique, n = np.unique(keys[train], return_counts=True)
+                if len(unique):
+                    yield _cell_rows(held_out_cells(words.total, *counts_of(words, unique), n, n))
 
     return cells
 
@@ -370,12 +387,14 @@ def _bigram_scores(shared, mix: np.ndarray):
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        for keys, owner, train, docs in _parts(batches):
-            unique, which = np.unique(keys, return_inverse=True)
-            n = np.bincount(which[train], minlength=len(unique))
-            value = log_probability(words.total, words.size, mix, *counts_of(words, unique), n)[which]
+        for docs, pieces in _parts(batches):
             edges = np.cumsum([0, *(len(x) for _, x in docs)])
-            total = np.bincount(owner, value, edges[-1])
+            total = np.zeros(edges[-1])
+            for keys, owner, train in pieces:
+                unique, which = np.unique(keys, return_inverse=True)
+                n = np.bincount(which[train], minlength=len(unique))
+                value = log_probability(words.total, words.size, mix, *counts_of(words, unique), n)
+                total += np.bincount(owner, value[which], edges[-1])
             columns = [[f for f, _ in docs], [_pack(x) for _, x in docs], [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["flush", "docs", "scores"])
 
