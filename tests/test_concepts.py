@@ -76,3 +76,25 @@ def test_empty_tables(spark):
     assert none.count() == 0 and C.ranked(rows, none, FIELDS).count() == 0
     some = C.segmented(spark.createDataFrame([(1, "agent")], "qid long, query string"))
     assert C.ranked(rows.where(F.lit(False)), some, FIELDS).count() == 0
+
+
+def test_a_common_concept_is_many_tasks(spark):
+    rows = spark.range(4000).selectExpr("id", "'agent memory' AS name")
+    queries = spark.createDataFrame([(1, "agent memory"), (2, "agent")], "qid long, query string")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(before, ("-1", "false")):
+            spark.conf.set(c, v)
+        got = C.ranked(rows, C.segmented(queries), {"name": 5}).select("qid", F.spark_partition_id().alias("p")).groupBy("qid", "p").count().collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sum(r["count"] for r in got) == 8000 and len(got) == 8 and max(r["count"] for r in got) < 2000
+
+
+def test_few_rows_are_objects_at_once():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"qid": list(range(1000))})
+    parts = list(C._few(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= 256 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))

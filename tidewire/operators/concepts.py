@@ -120,6 +120,10 @@ NOISE = (
 DICTIONARY = Dictionary([list(c) for c in CONCEPTS], [list(c) for c in SOFT], frozenset(NOISE))
 #: Terms that one scan of the rows looks for.
 TERMS_AT_ONCE = 50_000
+#: Rows that are Python objects at once in a worker.
+ROWS_AT_ONCE = 256
+#: Shares of the rows in joins by a query or a concept, of which there may be few.
+SHARES = 96
 RUN = re.compile("[a-z0-9][a-z0-9.+#-]*|[一-鿿]+")
 GROUP = "k int, terms array<string>, soft boolean, phrase string"
 
@@ -208,6 +212,18 @@ class Segmenter:
         return list(out.values())
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in order, at most ROWS_AT_ONCE at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def _shared_out(frame: DataFrame) -> DataFrame:
+    """Each row of frame for each share."""
+    return frame.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+
+
 def segmented(queries: DataFrame, words: Dictionary = DICTIONARY) -> DataFrame:
     """(qid, GROUP) of queries (qid, query): a row for each concept group in the query's order; null and empty queries have none.
 
@@ -218,7 +234,7 @@ def segmented(queries: DataFrame, words: Dictionary = DICTIONARY) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(shared.value)
-        for batch in batches:
+        for batch in _few(batches):
             rows = [[{"k": k, "terms": list(g.terms), "soft": g.soft, "phrase": g.phrase} for k, g in enumerate(segmenter.segmented(q))] for q in batch.column("query").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("qid"), pa.array(rows, kind)], ["qid", "groups"])
 
@@ -243,7 +259,7 @@ def hits(rows: DataFrame, terms: list[str], fields: dict[str, int], key: str = "
                     out.update(t for t, end in latin.starting(text, at) if len(t) > 2 or alone[end])
             return out
 
-        for batch in batches:
+        for batch in _few(batches):
             keys, names, weights = [], [], []
             columns = [(batch.column(c).to_pylist(), w) for c, w in fields.items()]
             for k, row in enumerate(batch.column(key).to_pylist()):
@@ -280,14 +296,14 @@ def ranked(rows: DataFrame, groups: DataFrame, fields: dict[str, int], key: str
     found = reduce(DataFrame.unionByName, met).join(each, "term").groupBy("name", key).agg(F.max("weight").alias("weight"))
     path = shared_folder(spark, "hits")
     found.write.parquet(path)
-    found = spark.read.parquet(path)
+    found = spark.read.parquet(path).withColumn("share", F.pmod(F.xxhash64(key), F.lit(SHARES)).cast("int"))
     df = found.groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     asked = groups.join(df, "name", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # a query that names a concept which no row has finds nothing
     per = asked.groupBy("qid").agg(F.bool_or(~F.col("soft")).alias("hard"), F.bool_and(F.col("soft") | (F.col("phrase") != "") | (F.col("df") > 0)).alias("possible"))
     asked = asked.join(per.where("possible"), "qid").join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("rows"))))  # one row
     idf = F.log(1 + F.col("rows") / (1 + F.col("df"))) * F.when(F.col("soft"), SOFT_FACTOR).otherwise(1.0)
-    scored = asked.select("qid", "name", "hard", "soft", idf.alias("idf")).join(found, "name").groupBy("qid", key)
+    scored = _shared_out(asked.select("qid", "name", "hard", "soft", idf.alias("idf"))).join(found, ["name", "share"]).groupBy("qid", "share", key)
     scored = scored.agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"), F.bool_or(~(F.col("hard") & F.col("soft"))).alias("some")).where("some and score > 0")
     top = scored.groupBy("qid").agg(F.max("score").alias("top"))
-    return scored.join(top, "qid").where(F.col("score") >= keep * F.col("top")).select("qid", key, "score")
+    return scored.join(_shared_out(top), ["qid", "share"]).where(F.col("score") >= keep * F.col("top")).select("qid", key, "score")
